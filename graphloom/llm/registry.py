@@ -1,6 +1,12 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import quality
+from . import decontaminate, quality
 
-QUERIES = {"op3_quality_rules": quality.op3_quality_rules}
-ORACLE_SQL = {"op3_quality_rules": quality.OP3_SQL}
+QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_quality_rules": quality.op3_quality_rules,
+}
+ORACLE_SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
+    "op3_quality_rules": quality.OP3_SQL,
+}
