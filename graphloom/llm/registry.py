@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, quality
+from . import decontaminate, quality, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality.op3_quality_rules,
 }
 ORACLE_SQL = {
