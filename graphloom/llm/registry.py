@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, quality, url_filter
+from . import decontaminate, packing, quality, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
