@@ -1,14 +1,16 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, packing, quality, url_filter
+from . import decontaminate, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op3_quality_rules": quality.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
 }
