@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, packing, quality, substring_dedup, url_filter
+from . import decontaminate, packing, quality, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
