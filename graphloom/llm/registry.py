@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, packing, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, lm_score, packing, quality, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
