@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             for i, text in enumerate(batch.column("text")):

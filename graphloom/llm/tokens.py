@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Words whose ids are kept at most; the store starts anew when it is full.
-STORE_WORDS = 400_000
+STORE_WORDS = 800_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TAIL = b".,!?;:|#$%&*"
@@ -36,7 +37,7 @@ class WordEncoder:
         new = [x for x in new if x not in self.store]
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for word, e in zip(new, found, strict=True):
-            self.store[word] = np.array(e.ids, np.uint32).tobytes()
+            self.store[word] = array("I", e.ids).tobytes()
         for w, b in body.items():
             self.store[w] = self.store[b] + self.store[w[len(b) :]]
 
@@ -53,3 +54,13 @@ class WordEncoder:
             self._learn(new)
             found = list(map(self.store.get, words))
         return np.frombuffer(b"".join(found), np.uint32)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """This process's encoder of a tokenizer, with the words that earlier tasks have left in its store."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_word_encoders", {})  # a module that outlives a task; shipped code doesn't
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
