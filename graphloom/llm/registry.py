@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, lm_score, packing, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op7_language_id": language_id.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_lm_score": lm_score.op10_lm_score,
