@@ -1,27 +1,71 @@
-"""The training-text pipeline: each stage takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""The training-text pipeline: each stage takes (spark, docs, sf_dir) and returns what the next one works on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.decontaminate import contamination
+from graphloom.llm.jaccard_join import jaccard_classes
+from graphloom.llm.packing import pack, token_pieces
 from graphloom.llm.quality import quality_rules
+from graphloom.llm.shared import written
+from graphloom.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: SQL cannot express the last stages.
+#: SQL cannot express the packing.
 ORACLE_SQL = None
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each document as one column beside its text, so that a filter needs no join to find the rest."""
+    return docs.select(F.struct(*COLUMNS).alias("row"), "text")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return docs.join(quality_rules(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return quality_rules(_rows(docs), id_col="row").where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of 0.8 over five-word shingles, the one with the smallest id stays."""
+    classes = jaccard_classes(docs, shingle=5, num=80, den=100)
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside repeated windows go; a document keeps its row even if no word is left."""
+    found = substring_dedup(docs, carry=("lang", "source"))
+    return found.select("doc_id", F.col("kept").alias("text"), "carry.lang", "carry.source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is in benchmark windows go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(_rows(docs), benchmark, id_col="row").where("NOT contaminated").select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    import public_tokenizers
+
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("quality_rules", _quality)]
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

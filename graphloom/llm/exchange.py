@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 DOCS_PER_CHUNK = 1024
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int = DOCS_PER_CHUNK) -> tuple[DataFrame, int]:
-    """(chunk, id, text) of every row, and the number of chunks. The chunk depends on id and text alone."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int = DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(chunk, id, text) of every row, with a struct of the columns to carry if any, and the number of chunks.
+
+    The chunk depends on id and text alone.
+    """
     n = max(1, math.ceil(docs.count() / docs_per_chunk))
-    start = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return start.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint").alias("chunk"), "id", "text"), n
+    start = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
+    return start.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint").alias("chunk"), "*"), n
 
 
 def in_order(table):

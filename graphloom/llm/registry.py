@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, jaccard_join, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, jaccard_join, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_language_id": language_id.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

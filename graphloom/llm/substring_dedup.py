@@ -80,16 +80,17 @@ def _whole(words: _Words, window: int, block: int, hits: np.ndarray):
     return starts, h
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", docs_per_chunk: int = DOCS_PER_CHUNK) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", docs_per_chunk: int = DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per input row: id_col, n_words, n_removed and kept, its words but those that a repeated window covers.
 
     Words are runs of anything but ASCII white space; a window is `window` consecutive words of one text, and repeats
     if its words also start anywhere else, in the same text too; all are judged on the input. `kept` is the words that
     stay, joined by one space. A null text has no words, and texts shorter than a window lose none. Repeated rows and
-    ids are rows of their own, so copies of a long enough text all go. Other columns of `docs` are not looked at.
+    ids are rows of their own, so copies of a long enough text all go. Other columns of
+    `docs` are not looked at; those named in `carry` come back in a struct of that name.
     """
     block = max(1, (window + 1) // 2)
-    start, n_chunks = chunked(docs, id_col, text_col, docs_per_chunk)
+    start, n_chunks = chunked(docs, id_col, text_col, docs_per_chunk, carry)
     n_buckets = max(8, n_chunks)
     by_chunk = start.groupBy("chunk")
 
@@ -182,16 +183,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             mine = stays[end - len(w) : end]
             removed.append(len(w) - int(mine.sum()))
             kept.append(b" ".join(w if not removed[-1] else [w[i] for i in np.flatnonzero(mine)]))
-        return pa.table(
+        out = pa.table(
             {"id": left.column("id"), "n_words": pa.array(words.sizes), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
         )
+        return out.append_column("carry", left.column("carry")) if carry else out
 
     blocks = by_chunk.applyInArrow(probe, _BLOBS)
     near = blocks.groupBy("bucket").applyInArrow(meet(0, unpack5, True), _MASKS)
     whole = by_chunk.cogroup(near.groupBy("chunk")).applyInArrow(extend, _BLOBS)
     again = whole.groupBy("bucket").applyInArrow(meet(1, unpack10, False), _MASKS)
     kind = start.schema["id"].dataType.simpleString()
-    done = by_chunk.cogroup(near.unionAll(again).groupBy("chunk")).applyInArrow(finish, f"id {kind}, n_words bigint, n_removed bigint, kept string")
+    schema = f"id {kind}, n_words bigint, n_removed bigint, kept string" + (f", carry {start.schema['carry'].dataType.simpleString()}" if carry else "")
+    done = by_chunk.cogroup(near.unionAll(again).groupBy("chunk")).applyInArrow(finish, schema)
     return done.withColumnRenamed("id", id_col)
 
 
