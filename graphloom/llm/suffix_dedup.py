@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import DOCS_PER_CHUNK, bits, bucket_ends, chunked, contains, distinct_sorted, in_order, mix, pack5, rolling, unbits, unpack5
+from .exchange import bits, bucket_ends, chunked, contains, distinct_sorted, in_order, mix, pack5, unbits, unpack5
 from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
+#: Fewer than elsewhere, as arrays here have an entry for each byte.
+DOCS_PER_CHUNK = 512
 ANCHOR = 16
 _NO_ID = np.iinfo(np.int64).max
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -37,14 +39,13 @@ class _Chunk:
         size = np.array([len(t) for t in own], np.int64)
         self.start = np.cumsum(size) - size
         self.data = b"".join(own)
-        raw = np.frombuffer(self.data, np.uint8)
-        grams = rolling(_BYTES[raw], ANCHOR, 0xD6E8FEB86659FD93)
         span = window - ANCHOR + 1
-        n = len(raw) - window + 1
+        n = len(self.data) - window + 1
         if n <= 0:
             self.first = self.last = self.doc = np.empty(0, np.int64)
             self.anchor = np.empty(0, np.uint64)
             return
+        grams = _grams(self.data)
         least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         least = _sliding_min(least, span)[:n] & _PLACE
         room = np.repeat(self.start + size, size)[:n] - np.arange(n)
@@ -59,6 +60,61 @@ class _Chunk:
         self.doc = np.searchsorted(self.start, self.first, "right") - 1
 
 
+def _grams(data: bytes) -> np.ndarray:
+    """A hash of every 16 consecutive bytes."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+        h ^= h >> np.uint64(32)
+        h += eight[8:]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xA0761D6478BD642F)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _prefix_hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bytes' values times powers of a base, up to each place, and the base's inverse powers."""
+    n = len(data)
+    with np.errstate(over="ignore"):
+        power = np.full(n + 1, _BASE, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        back = np.full(n + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
+        back[0] = 1
+        np.multiply.accumulate(back, out=back)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * power[:-1], dtype=np.uint64)])
+    return sums, back
+
+
+class _Segments:
+    """A chunk's segments with a repeated anchor, in order of anchor, content and document; equal ones are one group."""
+
+    def __init__(self, c: _Chunk, hits: np.ndarray, window: int):
+        at = np.flatnonzero(contains(hits, c.anchor))
+        sums, back = _prefix_hash(c.data)
+        a, z = c.first[at], c.last[at] + window
+        with np.errstate(over="ignore"):
+            content = mix((sums[z] - sums[a]) * back[a]) + (z - a).astype(np.uint64)
+        self.id = c.ids[c.doc[at]]
+        order = np.lexsort((self.id, content, c.anchor[at]))
+        self.id, self.first, self.size = self.id[order], a[order], (z - a)[order]
+        anchor, content = c.anchor[at][order], content[order]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])[: len(order)]
+        self.head = np.flatnonzero(new)  # of each group, the one with the smallest id
+        self.group = np.cumsum(new) - 1
+        self.anchor = anchor[self.head]
+
+
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for `size` places each, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -80,7 +136,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     start, n_chunks = chunked(docs, "id", "text", docs_per_chunk)
     start = start.withColumn("th", F.xxhash64("text"))
-    n_buckets = max(8, n_chunks)
+    n_buckets = max(8, 2 * n_chunks)
     digests = start.where(F.octet_length("text") >= window).select("chunk", "id", "th", F.md5("text").alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
@@ -107,15 +163,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         hit[order] = (np.bincount(group, 1 + many[order]) > 1)[group]
         return _answers(table, 0, n, hit)
 
-    def segments(c: _Chunk, masks):
-        """The distinct segments with a repeated anchor: (anchor, bytes) -> places in c, in order of anchors."""
+    def segments(c: _Chunk, masks) -> _Segments:
         values = distinct_sorted(c.anchor)[0]
-        hits = _hits(values, bucket_ends(values, n_buckets), masks, 0)
-        at = np.flatnonzero(contains(hits, c.anchor))
-        found: dict[tuple[int, bytes], list[int]] = {}
-        for i, anchor, a, z in zip(at.tolist(), c.anchor[at].tolist(), c.first[at].tolist(), (c.last[at] + window).tolist(), strict=True):
-            found.setdefault((anchor, c.data[a:z]), []).append(i)
-        return sorted(found.items())
+        return _Segments(c, _hits(values, bucket_ends(values, n_buckets), masks, 0), window)
 
     def ship(key, left, right):
         copies, masks = _split(right)
@@ -123,14 +173,14 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             return _blobs(0, np.empty(0, np.uint64), 1, None)
         c = _Chunk(in_order(left), copies, window)
         found = segments(c, masks)
-        values = np.array([k[0] for k, _ in found], np.uint64)
-        least = np.array([c.ids[c.doc[x]].min() for _, x in found], np.int64)
-        size = np.array([len(k[1]) for k, _ in found], "<u4")
+        least, size = found.id[found.head], found.size[found.head]
+        raw = np.frombuffer(c.data, np.uint8)[_spread(found.first[found.head], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])
 
         def pack(a, z):
-            return least[a:z].tobytes() + size[a:z].tobytes(), b"".join(k[1] for k, _ in found[a:z])
+            return least[a:z].tobytes() + size[a:z].astype("<u4").tobytes(), raw[ends[a] : ends[z]]
 
-        return _blobs(key[0].as_py(), values, n_buckets, pack)
+        return _blobs(key[0].as_py(), found.anchor, n_buckets, pack)
 
     def sort_shard(key, table):
         n = table.column("n").to_numpy()
@@ -170,33 +220,23 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         copies, masks = _split(right)
         left = in_order(left)
         c = _Chunk(left, copies, window)
-        gone = np.zeros(len(c.data) + 1, np.int64)
+        starts = np.zeros(len(c.data) + window, bool)
         if masks.num_rows:
             found = segments(c, masks)
-            ends = bucket_ends(np.array([k[0] for k, _ in found], np.uint64), n_buckets)
-            answer = {r["bucket"]: unbits(r["hits"], r["n"]) for r in masks.to_pylist() if r["kind"] == 1}
-            for b, hit in answer.items():
-                at = 0
-                for (_, raw), places in found[ends[b] : ends[b + 1]]:
-                    n = len(raw) - window + 1
-                    mine = hit[at : at + n]
-                    at += n
-                    least = c.ids[c.doc[places]].min()
-                    for p in places:
-                        s = c.first[p] + (np.flatnonzero(mine) if c.ids[c.doc[p]] == least else np.arange(n))
-                        gone[s] += 1
-                        gone[s + window] -= 1
-            # segments whose shard found nothing: only later copies in this chunk go
-            for b in range(n_buckets):
-                if b not in answer:
-                    for (_, raw), places in found[ends[b] : ends[b + 1]]:
-                        least = c.ids[c.doc[places]].min()
-                        for p in places:
-                            if c.ids[c.doc[p]] != least:
-                                s = c.first[p] + np.arange(len(raw) - window + 1)
-                                gone[s] += 1
-                                gone[s + window] -= 1
-        covered = np.cumsum(gone[:-1]) > 0
+            windows = found.size - window + 1
+            own = windows[found.head]
+            ends, mine = bucket_ends(found.anchor, n_buckets), np.zeros(int(own.sum()), bool)
+            upto = np.concatenate([[0], np.cumsum(own)])
+            for r in masks.select(["kind", "bucket", "n", "hits"]).to_pylist():
+                if r["kind"] == 1:
+                    a = upto[ends[r["bucket"]]]
+                    mine[a : a + r["n"]] = unbits(r["hits"], r["n"])
+            # of a group, rows with its smallest id lose what the shard says, and all later ones everything
+            later = found.id != found.id[found.head][found.group]
+            gone = mine[_spread(upto[:-1][found.group], windows)] | np.repeat(later, windows)
+            starts[_spread(found.first, windows)[gone]] = True
+        so_far = np.cumsum(starts)
+        covered = so_far - np.concatenate([np.zeros(window, np.int64), so_far[:-window]]) > 0
         raw = np.frombuffer(c.data, np.uint8)
         cols = ([], [], [], [])
         for text, copy, a in zip(c.texts, c.copy, c.start.tolist(), strict=True):
