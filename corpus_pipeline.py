@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import contamination
 from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.packing import pack, token_pieces
-from graphloom.llm.quality import quality_rules
+from graphloom.llm.quality import passing
 from graphloom.llm.shared import written
 from graphloom.llm.substring_dedup import substring_dedup
 
@@ -24,7 +24,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(_rows(docs), id_col="row").where("kept").select("row.*")
+    return passing(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

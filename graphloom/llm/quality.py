@@ -139,6 +139,14 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     return m.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that `quality_rules` keeps, with all their columns."""
+    judged = quality_rules(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), rules, "row")
+    # a row number is never computed anew, so the filter stays above the projection and doesn't copy it into itself
+    judged = judged.select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
