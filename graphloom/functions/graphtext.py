@@ -9,7 +9,7 @@ BONDS = "array<struct<src:int,trg:int>>"
 
 
 def _pairs(text: Column) -> Column:
-    numbers = F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast("int"))
+    numbers = F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.try_cast("int"))
     even = F.filter(numbers, lambda x, i: i % 2 == 0)
     odd = F.filter(numbers, lambda x, i: i % 2 == 1)
     return F.zip_with(even, odd, lambda a, b: F.struct(a.alias("src"), b.alias("trg")))
@@ -21,7 +21,7 @@ def parse_bonds(text: Column) -> Column:
 
 def parse_colors(text: Column) -> Column:
     body = F.substring(text, F.locate(";", text) + 1, F.length(text))
-    return F.transform(F.filter(F.split(body, ","), lambda x: x != ""), lambda x: x.cast("int"))
+    return F.transform(F.filter(F.split(body, ","), lambda x: x != ""), lambda x: x.try_cast("int"))
 
 
 def parse_labels(text: Column) -> Column:
