@@ -65,14 +65,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size(F.filter("w", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop"),
         F.when(n >= 3, F.sort_array(_windows(F.col("w"), n))).alias("g"),
     )
-    starts = counted.withColumn("starts", F.sort_array(_repeated(F.col("g"))))
+    # a row number is never computed anew, so a filter on what follows stays above and doesn't copy all this into itself
+    starts = counted.select("*", F.sort_array(_repeated(F.col("g"))).alias("starts"), F.monotonically_increasing_id().alias("at"))
     return starts.select(
         F.col("id").alias(id_col),
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.when(F.col("at") >= 0, _covered(F.col("starts"))), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_lines",
         "n_stop",
     )
@@ -141,10 +142,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `quality_rules` keeps, with all their columns."""
-    judged = quality_rules(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), rules, "row")
-    # a row number is never computed anew, so the filter stays above the projection and doesn't copy it into itself
-    judged = judged.select("row", "kept", F.monotonically_increasing_id().alias("at"))
-    return judged.where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+    return quality_rules(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), rules, "row").where("kept").select("row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
