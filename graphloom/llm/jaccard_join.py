@@ -196,3 +196,17 @@ def jaccard_classes(
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT r, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, doc_id, n FROM d JOIN (SELECT r, count(*) AS n FROM g GROUP BY r) USING (r)),
+p AS MATERIALIZED (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y
+      FROM (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY ALL) JOIN n a ON a.r = ra JOIN n b ON b.r = rb
+      WHERE 100 * c >= 90 * (a.n + b.n - c)),
+c AS (SELECT DISTINCT doc_id, doc_id AS m FROM d UNION SELECT p.y, c.m FROM c JOIN p ON p.x = c.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT doc_id, min(m) AS component_id FROM c GROUP BY doc_id) k ON k.doc_id = d.doc_id
+"""
