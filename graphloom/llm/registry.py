@@ -19,4 +19,5 @@ ORACLE_SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
+    "op9_suffix_array_dedup": suffix_dedup.OP9_SQL,
 }

@@ -316,3 +316,18 @@ def _hits(values: np.ndarray, ends: list[int], masks: pa.Table, kind: int) -> np
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     found = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT r, doc_id, j * 500 AS base, substring(h, j * 1000 + 1, 1098) AS h FROM (SELECT r, doc_id, h, unnest(range(0, (len(h) + 999) // 1000)) AS j FROM d)),
+w AS (SELECT r, doc_id, base + k AS k, substring(h, 2 * k - 1, 100) AS s FROM (SELECT r, doc_id, base, h, unnest(range(1, len(h) // 2 - 48)) AS k FROM p WHERE len(h) >= 100)),
+f AS (SELECT r, k FROM (SELECT r, k, doc_id, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE m < doc_id),
+b AS (SELECT r, base + k AS k, substring(h, 2 * k - 1, 2) AS x FROM (SELECT r, base, h, unnest(range(1, least(len(h) // 2, 500) + 1)) AS k FROM p)),
+c AS (SELECT b.r, b.k, x, max(f.k) OVER (PARTITION BY b.r ORDER BY b.k) AS last FROM b LEFT JOIN f ON f.r = b.r AND f.k = b.k),
+e AS (SELECT r, k, x, coalesce(k - last < 50, false) AS gone FROM c),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY k), false) AS opens FROM e),
+t AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, count(*) FILTER (opens) AS s, string_agg(x, '' ORDER BY k) FILTER (NOT gone) AS kept FROM o GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
