@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import graphtext
 from .functions.features import FEATURES, STATES
 from .operators import dictionary, linear, mining, scoring
+from .plans.shared import written
 from .sources.tables import read_json, write_json
 
 
@@ -111,7 +112,7 @@ def train(
     """
     if "extern_feat" not in rows.columns:
         rows = rows.withColumn("extern_feat", F.lit(None).cast(FEATURES))
-    good = dictionary.written(parsed(rows).where("filter = 'NONE'"), "parsed")
+    good = written(parsed(rows).where("filter = 'NONE'"), "parsed")
     seen = good.select("group", F.col("group_item").alias("item"), F.explode("labels").alias("label"), F.lit("label").alias("kind"))
     named = good.select("group", F.col("group_item").alias("item"), F.explode("extern_feat.name").alias("label"), F.lit("feature").alias("kind"))
     left = dictionary.mincount_cascade(seen.unionAll(named), min_count, "kind")
@@ -122,12 +123,12 @@ def train(
         names = labels if r["kind"] == "label" else features
         names[r["label"]] = len(names)
     items = left.select(F.col("item").alias("group_item")).distinct()
-    good = dictionary.written(good.join(items, "group_item", "left_semi"), "kept")
+    good = written(good.join(items, "group_item", "left_semi"), "kept")
     color = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]) if labels else F.create_map(F.lit(""), F.lit(0))
     graphs = good.where("size(labels) > 0").select(F.col("group_item").alias("graph_id"), "group", "weight", "bonds", F.transform("labels", lambda x: F.element_at(color, x)).alias("colors"))
     model = GraphModel(labels, features, mining.fit_fragments(graphs, max_size, limit, min_count, rounds, prune), max_size)
     if targets or filtered:
-        done = dictionary.written(model.process(good.drop("labels", "bonds")), "vectors")
+        done = written(model.process(good.drop("labels", "bonds")), "vectors")
         cells = long_cells(done)
         if filtered:
             distinct = done.where("filter = 'NONE'").select(F.array_sort("cells").alias("c")).distinct()

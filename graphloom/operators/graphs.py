@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dictionary import written
+from ..plans.shared import written
 
 
 def counts(vertices: DataFrame, bonds: DataFrame) -> DataFrame:

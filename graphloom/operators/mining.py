@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import normalized_logs
-from .dictionary import written
+from ..plans.shared import written
 from .kernels import canonical, fragments_of, most_disjoint, top_n_exact_covers
 
 
