@@ -9,7 +9,7 @@ from graphloom.llm.decontaminate import contamination
 from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.packing import pack, token_pieces
 from graphloom.llm.quality import passing
-from graphloom.llm.shared import written
+from graphloom.plans.shared import written
 from graphloom.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
