@@ -19,12 +19,12 @@ def state_rank(state: Column) -> Column:
 def canonical_columns(df: DataFrame, data: str, group: str | None = None, weight: str | None = None, features: str | None = None, targets: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """data, group, weight, filter, extern_feat and a value_<target> each.
 
-    Empty data is null, a missing weight 1; without a group column rows are numbered in the order of `order`, which
-    must tell rows apart, or without one by their data.
+    Empty data is null, a missing weight 1. Without a group column every row is a group of its own, numbered from 0 by
+    `order`, a column that tells rows apart (which takes one task over all rows), or else by any distinct numbers.
     """
     from pyspark.sql import Window
 
-    numbered = F.row_number().over(Window.orderBy(order or data)) - 1
+    numbered = F.row_number().over(Window.orderBy(order)) - 1 if order else F.monotonically_increasing_id()
     feats = F.lit(None).cast(FEATURES)
     if features:
         feats = F.col(features) if df.schema[features].dataType.simpleString().startswith("array") else decode_features(F.col(features))
