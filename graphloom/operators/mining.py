@@ -135,7 +135,7 @@ def fit_fragments(graphs: DataFrame, max_size: int, limit: int | None = None, mi
             large = sorted((t for t in model if size[t] > 1), key=lambda t: (model[t][1], t))
             for t in large[: int(len(large) * prune)]:
                 del model[t]
-        norm = math.log(sum(math.exp(w) for _, w in model.values()))
+        norm = math.log(sum(math.exp(w) for _, w in model.values()) or 1.0)
         model = {t: (i, w - norm) for t, (i, w) in model.items()}
     return model
 

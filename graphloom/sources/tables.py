@@ -25,7 +25,7 @@ def load_table(spark: SparkSession, path: str, keyword: str | None = None) -> Da
     kind = format_of(path, keyword)
     if kind == "parquet":
         return spark.read.parquet(path)
-    return spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True, inferSchema=True)
+    return spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True, inferSchema=True, escape='"')
 
 
 def save_table(df: DataFrame, path: str, keyword: str | None = None, one_file: bool = False) -> None:
@@ -35,7 +35,7 @@ def save_table(df: DataFrame, path: str, keyword: str | None = None, one_file: b
     if kind == "parquet":
         out.parquet(path)
     else:
-        out.csv(path, sep="\t" if kind == "tsv" else ",", header=True)
+        out.csv(path, sep="\t" if kind == "tsv" else ",", header=True, escape='"')
 
 
 def write_json(value: Any, path: str) -> None:
