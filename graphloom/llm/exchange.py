@@ -98,3 +98,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte for each count below 255, five for larger ones."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return np.uint32(len(counts)).tobytes() + low.tobytes() + counts[low == 255].astype("<u4").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    low = np.frombuffer(data, np.uint8, n, 4)
+    out = low.astype(np.uint32)
+    out[low == 255] = np.frombuffer(data, "<u4", offset=4 + n)
+    return out

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .exchange import DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, unpack5
+from .exchange import DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, pack_counts, unpack5, unpack_counts
 from ..plans.shared import written
 
-#: A context needs so many training occurrences, and so much gain an occurrence in natural logarithm.
-MIN_CONTEXT = 16
+#: A context needs this share of the training tokens (and MIN_COUNT of them), and so much gain an occurrence in natural
+#: logarithm. The share bounds the number of contexts and keeps it alike for any size of corpus.
+MIN_SHARE = 1e-4
+MIN_COUNT = 8
 MIN_GAIN = 0.01
 
 _END = xxh3_64_intdigest(b" ")
@@ -57,7 +59,8 @@ class _Tokens:
 
     def _totals(self, level: int, kind) -> np.ndarray:
         got = self.answers.get(level, {})
-        return np.concatenate([np.empty(0, kind), *(np.frombuffer(got[b], kind) for b in sorted(got))])
+        read = unpack_counts if kind == "<u4" else lambda x: np.frombuffer(x, kind)
+        return np.concatenate([np.empty(0, kind), *(read(got[b]) for b in sorted(got))])
 
     def count_words(self) -> None:
         self.c = self._totals(WORDS, "<u4")[self.word].astype(float)
@@ -116,7 +119,7 @@ class _Tokens:
                 "chunk": pa.array([chunk] * len(spans), pa.int64()),
                 "n": pa.array([z - a for _, a, z in spans], pa.int32()),
                 "keys": pa.array([values[a:z].tobytes() if exact else pack5(values[a:z]) for _, a, z in spans], pa.binary()),
-                "data": pa.array([data[a:z].tobytes() for _, a, z in spans], pa.binary()),
+                "data": pa.array([data[a:z].tobytes() if level in (ONE, TWO) else pack_counts(data[a:z]) for _, a, z in spans], pa.binary()),
             }
         )
 
@@ -140,7 +143,7 @@ def lm_score(
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_context: int = MIN_CONTEXT,
+    min_share: float = MIN_SHARE,
     min_gain: float = MIN_GAIN,
     docs_per_chunk: int = DOCS_PER_CHUNK,
 ) -> DataFrame:
@@ -179,12 +182,12 @@ def lm_score(
             out = _judge(sums, min_gain)[group]
             tokens = known = 0
         else:
-            sums = np.bincount(group, np.concatenate([np.frombuffer(d, "<u4") for d in data]), len(first)).astype("<u4")
+            sums = np.bincount(group, np.concatenate([unpack_counts(d) for d in data]), len(first)).astype("<u4")
             out = sums[group]
             tokens, known = int(sums.sum(dtype=np.int64)), int((sums > 0).sum())
         ends = np.cumsum(n)
         rows = len(n)
-        parts = [out[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)]
+        parts = [out[e - m : e].tobytes() if level in (ONE, TWO) else pack_counts(out[e - m : e]) for e, m in zip(ends, n, strict=True)]
         answer = pa.table({"chunk": table.column("chunk"), "level": pa.array([level] * rows, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(parts, pa.binary())})
         if level != WORDS:
             return answer
@@ -269,6 +272,7 @@ def lm_score(
     sums = [np.frombuffer(r["data"], np.int64) for r in words.where("chunk = -1").select("data").toLocalIterator()]
     train_tokens, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     z = train_tokens + 0.5 * (distinct + 1)
+    min_context = max(MIN_COUNT, int(min_share * train_tokens))
     known = words.where("chunk >= 0")
 
     def more(answers: DataFrame, send) -> DataFrame:
