@@ -20,10 +20,9 @@ from xxhash import xxh3_64_intdigest
 from .exchange import DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, pack_counts, unpack5, unpack_counts
 from ..plans.shared import written
 
-#: A context needs this share of the training tokens (and MIN_COUNT of them), and so much gain an occurrence in natural
-#: logarithm. The share bounds the number of contexts and keeps it alike for any size of corpus.
-MIN_SHARE = 1e-4
-MIN_COUNT = 8
+#: A context needs so many training occurrences, at any size of corpus, and so much gain an occurrence in natural
+#: logarithm.
+MIN_CONTEXT = 16
 MIN_GAIN = 0.01
 
 _END = xxh3_64_intdigest(b" ")
@@ -143,7 +142,7 @@ def lm_score(
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_share: float = MIN_SHARE,
+    min_context: int = MIN_CONTEXT,
     min_gain: float = MIN_GAIN,
     docs_per_chunk: int = DOCS_PER_CHUNK,
 ) -> DataFrame:
@@ -272,7 +271,6 @@ def lm_score(
     sums = [np.frombuffer(r["data"], np.int64) for r in words.where("chunk = -1").select("data").toLocalIterator()]
     train_tokens, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     z = train_tokens + 0.5 * (distinct + 1)
-    min_context = max(MIN_COUNT, int(min_share * train_tokens))
     known = words.where("chunk >= 0")
 
     def more(answers: DataFrame, send) -> DataFrame:

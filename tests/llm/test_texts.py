@@ -161,3 +161,19 @@ def test_lm_score(docs, rows):
     assert lm_score(docs.where("1 = 0"), held).collect() == []
     untaught = lm_score(docs, F.lit(True)).toPandas()
     assert (untaught.train_tokens == 0).all() and (untaught.n_known == 0).all()
+
+
+@pytest.mark.parametrize("n_filler", [2_000, 400_000])
+def test_lm_contexts_at_any_size(spark, n_filler):
+    import random
+
+    r = random.Random(2)
+    vocabulary = [f"f{k}" for k in range(50)]
+    filler = [r.choices(vocabulary, k=n_filler // 40) for _ in range(40)]
+    for word, times in (("often", 16), ("seldom", 15)):
+        for k in range(times):
+            filler[k] += [word, f"after-{word}", *r.choices(vocabulary, k=9)]
+    data = [*((k, " ".join(w)) for k, w in enumerate(filler)), (100, "often after-often"), (101, "seldom after-seldom")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {x["doc_id"]: x["n_context"] for x in lm_score(df, F.col("doc_id") >= 100, docs_per_chunk=20).where("held_out").collect()}
+    assert got == {100: 1, 101: 0}
