@@ -50,6 +50,7 @@ class CountTree:
     def __init__(self, text: str, count: Callable[[str], int]):
         self.count, self.starts = count, leaves(text)
         self.parts = [text[a:z] for a, z in zip(self.starts, [*self.starts[1:], len(text)], strict=True)]
+        self.leaf = list(range(len(self.parts)))
         self.size = 1 << (len(self.parts) - 1).bit_length()
         self.sums = [0] * self.size + [count(p) for p in self.parts] + [0] * (self.size - len(self.parts))
         for k in range(self.size - 1, 0, -1):
@@ -75,15 +76,17 @@ class CountTree:
         at = bisect_right(self.starts, start) - 1
         to = bisect_right(self.starts, end) - 1
         kept = "".join(self.parts[first:at]) + self.parts[at][: start - self.starts[at]]
-        # a leaf that an earlier edit has changed keeps its place, as edits come from the right
+        # edits come from the right, so a leaf that an earlier one has changed or merged is as it was up to `end`
         tail = self.parts[to][end - self.starts[to] :] + "".join(self.parts[to + 1 : last + 1])
         self.parts[first] = kept + new + tail
-        for k in range(first + 1, last + 1):
-            self.parts[k] = ""
+        merged = slice(first + 1, last + 1)
+        for k in self.leaf[merged]:
             self._set(k, 0)
+        # the text of merged leaves is found under the start of the one that holds it
+        del self.starts[merged], self.parts[merged], self.leaf[merged]
         n = self.count(self.parts[first])
         self.encoded += len(self.parts[first])
-        self._set(first, n)
+        self._set(self.leaf[first], n)
 
 
 def usable(edits, length: int) -> list[tuple[int, int, str]]:

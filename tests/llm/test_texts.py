@@ -14,7 +14,7 @@ from graphloom.llm.language_id import language_id
 from graphloom.llm.lm_score import lm_score
 from graphloom.llm.packing import best_fit, pack, token_pieces
 from graphloom.llm.quality import passing, quality_rules
-from graphloom.llm.token_counts import EDITS, CountTree, load_encoding, token_counts, usable
+from graphloom.llm.token_counts import EDITS, CountTree, cleaning_edits, load_encoding, token_counts, usable
 from graphloom.llm.tokens import WordEncoder
 from graphloom.llm.url_filter import RULES, fit, seed_table, url_filter
 
@@ -112,6 +112,20 @@ def test_token_counts(spark, rows):
     assert long.encoded < 3000 and long.total == 200001
 
 
+def test_edits_across_a_leaf_start():
+    encoding = load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    count = lambda x: len(encoding.encode_ordinary(x))
+    for lead in range(150, 215):
+        for words in ("a@bcd.ef g@hij.kl and the rest of it", "a@bcd.ef g@hij.kl m@nop.qr s@tuv.wx y@zab.cd", "ab a@bcd.ef 12345678901 g@hij.kl"):
+            text = "w " * lead + words + " tail" * 250
+            edits = usable(cleaning_edits(text), len(text))
+            tree, after = CountTree(text, count), text
+            for a, z, new in reversed(edits):
+                tree.edit(a, z, new)
+                after = after[:a] + new + after[z:]
+                assert tree.total == count(after), (lead, words)
+
+
 def test_word_encoder(rows):
     e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for text in [t for _, t in rows] + ["a<|endoftext|>b <|ENDOFTEXT|>", "don't, 12345. ΣΑΣ é x\u3000y", '"Hi!"; (a.) b?! ...']:
