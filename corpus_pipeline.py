@@ -28,12 +28,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of 0.8 over five-word shingles, the one with the smallest id stays."""
-    classes = jaccard_classes(docs, shingle=5, num=80, den=100)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows joined by links of 0.8 over five-word shingles, one stays: with the smallest id, then the smallest hash of
+    its text, then the smallest text.
+
+    Rows that share an id stand each for itself, so that those with unrelated texts all stay. Of rows with the same id
+    and text one stays, with the smallest lang, source and n_chars. Rows whose id is null all stay; they link with
+    nothing.
+    """
+    docs = docs.select(*COLUMNS)
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    # distinct ids name their rows as they are; the result is the same as with numbers
+    rows, name = (docs, "doc_id") if repeated.isEmpty() else (_numbered(docs), "number")
+    classes = jaccard_classes(rows, shingle=5, num=80, den=100, id_col=name)
+    gone = classes.where(f"{name} <> component_id").select(name).distinct()
+    return rows.join(gone, name, "left_anti").select(*COLUMNS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """One row for each id and text, with a number that goes by id, hash of the text and text; null ids are not numbered."""
+    named = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    order = ("doc_id", "hash", "text")
+    named = named.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions(*order)
+    named = named.select("doc_id", "text", "rest.*", F.monotonically_increasing_id().alias("number"))
+    unnamed = docs.where("doc_id IS NULL").withColumn("number", F.lit(None).cast("bigint"))
+    return written(named.unionByName(unnamed), "numbered")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,27 @@ def test_pipeline(spark, tmp_path):
     assert whole.agg(F.countDistinct("sequence_id")).first()[0] == 1
 
 
+def test_near_duplicates_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    near = text("a").replace("a59", "other")
+    rows = [
+        *((1, text("a"), "en", "s", 1), (1, text("a"), "de", "s", 1), (1, near, "en", "s", 1), (1, text("b"), "en", "s", 1)),  # two of one text, a near one, an unrelated one
+        *((2, text("a"), "en", "s", 1), (2, text("c"), "en", None, 1), (3, text("d"), "en", "s", 1)),  # a copy of another id's text
+        *((None, text(c), "en", "s", 1) for c in "aaef"),
+        *((4, "", "en", "s", 1), (4, None, "en", "s", 1), (4, None, None, "s", 1)),
+    ]
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    found = lambda x: sorted(map(tuple, corpus_pipeline.near_duplicates(spark, spark.createDataFrame(x, cols), "").collect()), key=repr)
+    got = found(rows)
+    first = [x for x in got if x[0] == 1 and x[1] != text("b")]
+    assert len(first) == 1 and first[0][1:3] in ((text("a"), "de"), (near, "en"))
+    rest = [rows[3], *rows[5:12], (4, None, None, "s", 1)]
+    assert [x for x in got if x not in first] == sorted(rest, key=repr)
+    assert found(rows[::-1]) == got
+    alone = [rows[0], (2, near, "en", "s", 1), rows[6], *rows[7:11]]  # no id repeats
+    assert found(alone) == sorted([rows[0], rows[6], *rows[7:11]], key=repr)
+
+
 def test_entry():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
