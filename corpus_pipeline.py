@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import contamination
 from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.packing import pack, token_pieces
-from graphloom.llm.quality import passing
+from graphloom.llm.quality import CORPUS_RULES, passing
 from graphloom.plans.shared import written
 from graphloom.llm.substring_dedup import substring_dedup
 
@@ -23,8 +23,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return passing(docs.select(*COLUMNS))
+    """Documents that the quality rules reject go; repeated lines count by their share of the words."""
+    return passing(docs.select(*COLUMNS), CORPUS_RULES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

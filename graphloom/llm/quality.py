@@ -37,6 +37,8 @@ RULES = (
     Rule("dup_line_share", None, 0.3),
     Rule("words_per_line", 2.0, None),
 )
+#: The table of the pipeline: repeated lines weigh by their words, as one short line in three is no fault of a long text.
+CORPUS_RULES = tuple(Rule("dup_word_share", None, 0.3) if r.ratio == "dup_line_share" else r for r in RULES)
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,6 +64,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("lines") > F.size(F.array_distinct("lines")), n - _n_words(F.array_distinct("lines"))).otherwise(0).cast("long").alias("n_dup_words"),
         F.size(F.filter("w", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop"),
         F.when(n >= 3, F.sort_array(_windows(F.col("w"), n))).alias("g"),
     )
@@ -75,10 +78,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "n_dup_lines",
         F.coalesce(F.when(F.col("at") >= 0, _covered(F.col("starts"))), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_lines",
+        "n_dup_words",
         "n_stop",
     )
 
 
+def _n_words(lines: Column) -> Column:
+    return F.size(F.filter(F.split(F.array_join(lines, "\n"), SPACE), lambda w: w != ""))
+
+
 def _windows(w: Column, n: Column) -> Column:
     """(hash, place) of every three words in a row."""
     at = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
@@ -114,6 +122,7 @@ def ratios() -> dict[str, Column]:
         "symbols_per_word": share(F.col("n_symbols"), n),
         "stop_word_share": share(F.col("n_stop"), n),
         "dup_line_share": share(F.col("n_dup_lines"), F.col("n_lines")),
+        "dup_word_share": share(F.col("n_dup_words"), n),
         "words_per_line": share(n, F.col("n_lines")),
     }
 

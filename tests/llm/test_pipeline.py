@@ -2,6 +2,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from graphloom.llm.quality import quality_rules
 
 
 def test_pipeline(spark, tmp_path):
@@ -26,6 +27,16 @@ def test_pipeline(spark, tmp_path):
     assert whole.agg(F.countDistinct("sequence_id")).first()[0] == 1
 
 
+def test_quality_repeated_lines(spark):
+    line = lambda c, n: " ".join(["the", *(f"{c}{k}" for k in range(n - 1))])
+    texts = [f"{line('a', 6)}\n{line('b', 60)}\n{line('a', 6)}", "\n".join([line("c", 10), line("d", 50), *[line("c", 10)] * 3]), f"{line('e', 60)}\n{line('f', 9)}"]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, docs, "").collect()) == [0, 2]
+    counts = {r["doc_id"]: (r["n_dup_words"], r["base_failed"]) for r in quality_rules(docs).collect()}
+    assert counts == {0: (6, False), 1: (30, False), 2: (0, False)}
+
+
 def test_near_duplicates_ids(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(60))
     near = text("a").replace("a59", "other")
