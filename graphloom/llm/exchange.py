@@ -1,8 +1,11 @@
-"""Documents in chunks of a stated size, and packed fingerprints dealt to buckets by value.
+"""Documents in chunks of a stated number of bytes, and packed fingerprints dealt to buckets by value.
 
 A fingerprint table has, for each chunk and bucket, one row with the chunk's sorted distinct values in that range. A
 value that a third of all documents share is thus one value for each chunk, and answers go back as one bit or one count
 for each value, in the same order.
+
+Chunks and buckets are as large as a task's memory allows, so their numbers grow with the corpus and a packed row's size
+shrinks with it; on executors with more memory both sizes should be larger.
 """
 
 from __future__ import annotations
@@ -13,18 +16,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of a chunk on average, which one task holds at once with some arrays of the size of its text.
-DOCS_PER_CHUNK = 1024
+#: Bytes of text in a chunk on average; one task holds it at once with some arrays of as many words.
+CHUNK_BYTES = 4 << 20
+#: Bytes of text whose fingerprints a bucket holds on average, and the least number of buckets.
+BUCKET_BYTES = 16 << 20
+MIN_BUCKETS = 8
+#: What a row counts for besides its text.
+ROW_BYTES = 64
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int = DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(chunk, id, text) of every row, with a struct of the columns to carry if any, and the number of chunks.
+def chunked(
+    docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES
+) -> tuple[DataFrame, int]:
+    """(chunk, id, text) of every row, with a struct of the columns to carry if any, and the number of buckets.
 
-    The chunk depends on id and text alone.
+    The chunk depends on id and text alone. A text longer than a chunk stands with few others.
     """
-    n = max(1, math.ceil(docs.count() / docs_per_chunk))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + ROW_BYTES)).first()[0] or 0
+    n, n_buckets = max(1, math.ceil(size / chunk_bytes)), max(MIN_BUCKETS, math.ceil(size / bucket_bytes))
     start = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
-    return start.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint").alias("chunk"), "*"), n
+    return start.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("bigint").alias("chunk"), "*"), n_buckets
 
 
 def in_order(table):

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .components import components
-from .exchange import DOCS_PER_CHUNK, bucket_ends, chunked, in_order, rolling
+from .exchange import CHUNK_BYTES, bucket_ends, chunked, in_order, rolling
 from ..plans.shared import written
 from .signature_tree import links
 
 SHINGLE, NUM, DEN = 3, 90, 100
-#: Sets that one tree holds at most.
+#: Sets that one tree holds at most, and shingles that its sets have in all on average, but for a single larger set.
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 21
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0xD6E8FEB86659FD93
@@ -39,9 +40,9 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(rolling(h, k, _BASE))
 
 
-def _pack3(values: np.ndarray) -> bytes:
-    """Bits 16 to 39: with the bucket's range enough to tell nearly all values apart; the order needs no more."""
-    return (values >> np.uint64(16)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _pack4(values: np.ndarray) -> bytes:
+    """Bits 16 to 47: with the bucket's range enough to tell nearly all values apart; the order needs no more."""
+    return (values >> np.uint64(16)).astype("<u4").tobytes()
 
 
 def jaccard_classes(
@@ -51,8 +52,9 @@ def jaccard_classes(
     den: int = DEN,
     id_col: str = "doc_id",
     text_col: str = "text",
-    docs_per_chunk: int = DOCS_PER_CHUNK,
+    chunk_bytes: int = CHUNK_BYTES,
     block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """Per input row: id_col, n_shingles and component_id, the smallest id that links lead to, its own included.
 
@@ -61,8 +63,7 @@ def jaccard_classes(
     one document, joined by the links of any of its texts. A null id links with nothing and gets a null component.
     Ids are integers. Other columns of `docs` are not looked at.
     """
-    start, n_chunks = chunked(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text", docs_per_chunk)
-    n_buckets = max(8, n_chunks)
+    start, n_buckets = chunked(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text", chunk_bytes)
     by_chunk = start.groupBy("chunk")
     none = np.empty(0, np.uint64)
 
@@ -78,20 +79,22 @@ def jaccard_classes(
             {
                 "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
                 "chunk": pa.array([key[0].as_py()] * len(spans), pa.int64()),
-                "values": pa.array([_pack3(values[a:z]) for _, a, z in spans], pa.binary()),
+                "values": pa.array([_pack4(values[a:z]) for _, a, z in spans], pa.binary()),
                 "n": pa.array([n[a:z].tobytes() for _, a, z in spans], pa.binary()),
             }
         )
 
     def count(key, table):
         raw = [v.as_py() for v in table.column("values")]
-        v = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 3).astype(np.uint32)
-        v = v[:, 0] | v[:, 1] << 8 | v[:, 2] << 16
+        v = np.frombuffer(b"".join(raw), "<u4")
         n = np.frombuffer(b"".join(x.as_py() for x in table.column("n")), np.uint8)
-        total = np.bincount(v, n, 1 << 24)[v] if len(v) > 1 << 18 else np.bincount((u := np.unique(v, return_inverse=True))[1], n)[u[1]]
-        total = np.minimum(total, 255).astype(np.uint8)
-        ends = np.cumsum([len(r) // 3 for r in raw])
-        parts = [total[e - len(r) // 3 : e].tobytes() for e, r in zip(ends, raw, strict=True)]
+        order = np.argsort(v)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(v[order]) > 0]))
+        total = np.empty(len(v), np.uint8)
+        sums = np.minimum(np.add.reduceat(n[order], first, dtype=np.int64), 255).astype(np.uint8)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(v))))
+        ends = np.cumsum([len(r) // 4 for r in raw])
+        parts = [total[e - len(r) // 4 : e].tobytes() for e, r in zip(ends, raw, strict=True)]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array(parts, pa.binary())})
 
     def prefixes(key, table, counts):
@@ -122,16 +125,21 @@ def jaccard_classes(
 
     # equal sets are one node, named by its smallest id
     full = rows.where("n_shingles > 0 AND id IS NOT NULL")
-    nodes = written(full.groupBy("key").agg(F.min_by(F.struct("chunk", "id", "prefix"), "id").alias("first")), "nodes")
+    nodes = written(full.groupBy("key").agg(F.min_by(F.struct("chunk", "id", "prefix", "n_shingles"), "id").alias("first")), "nodes")
     heads = nodes.select("first.*").where(F.size("prefix") > 0).withColumnRenamed("id", "node")
     entries = heads.select("node", F.explode("prefix").alias("e")).repartition("e")
     hubs = entries.groupBy("e").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most")
     stars = entries.join(hubs, "e").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(stars)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = clusters.join(sizes, "component").join(heads.select("node", "chunk"), "node")
-    placed = placed.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = written(placed.selectExpr("chunk", "node", "component AS cluster", "blocks", "block"), "clusters")
+    sized = clusters.join(heads.select("node", "chunk", "n_shingles"), "node")
+
+    def pieces():
+        """How many parts a group of sets is cut into."""
+        return F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / block_shingles)).cast("int")
+
+    placed = sized.join(sized.groupBy("component").agg(pieces().alias("blocks")), "component")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = written(placed.selectExpr("chunk", "node", "n_shingles", "component AS cluster", "blocks", "block"), "clusters")
 
     wanted_cols = ("chunk", "node", "cluster", "x", "y", "side", "label")
     shipped = "cluster bigint, x int, y int, side int, node bigint, label bigint, hashes binary"
@@ -175,13 +183,13 @@ def jaccard_classes(
             return written(large.join(components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
 
         heads_only = labelled(found).where("node = label")
-        parts = heads_only.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        parts = heads_only.groupBy("cluster").agg(pieces().alias("parts"))
         between = heads_only.join(parts, "cluster").withColumn("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         found = written(found.unionAll(linked(between.selectExpr("chunk", "node", "cluster", "x", "x AS y", "0 AS side", "label"))), "links")
         now = labelled(found)
         largest = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         apart = now.join(largest, "cluster").where("label <> main")
-        piles = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("piles"))
+        piles = apart.groupBy("cluster").agg(pieces().alias("piles"))
         apart = apart.join(piles, "cluster").withColumn("x", F.pmod(F.xxhash64("node"), F.col("piles")).cast("int"))
         left = apart.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).selectExpr("chunk", "node", "cluster", "x", "y", "0 AS side", "label")
         right = now.join(piles, "cluster").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("piles") - 1))).selectExpr("chunk", "node", "cluster", "x", "block AS y", "1 AS side", "label")

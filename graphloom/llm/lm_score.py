@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .exchange import DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, pack_counts, unpack5, unpack_counts
+from .exchange import CHUNK_BYTES as DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, pack_counts, unpack5, unpack_counts
 from ..plans.shared import written
 
 #: A context needs so many training occurrences, at any size of corpus, and so much gain an occurrence in natural

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .exchange import DOCS_PER_CHUNK, bits, bucket_ends, chunked, contains, distinct_sorted, in_order, pack5, rolling, unbits, unpack5
+from .exchange import CHUNK_BYTES, bits, bucket_ends, chunked, contains, distinct_sorted, in_order, pack5, rolling, unbits, unpack5
 
 WINDOW = 35
 _BLOBS = "bucket int, chunk bigint, n int, values binary, flags binary"
@@ -80,7 +80,7 @@ def _whole(words: _Words, window: int, block: int, hits: np.ndarray):
     return starts, h
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", docs_per_chunk: int = DOCS_PER_CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per input row: id_col, n_words, n_removed and kept, its words but those that a repeated window covers.
 
     Words are runs of anything but ASCII white space; a window is `window` consecutive words of one text, and repeats
@@ -90,8 +90,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     `docs` are not looked at; those named in `carry` come back in a struct of that name.
     """
     block = max(1, (window + 1) // 2)
-    start, n_chunks = chunked(docs, id_col, text_col, docs_per_chunk, carry)
-    n_buckets = max(8, n_chunks)
+    start, n_buckets = chunked(docs, id_col, text_col, chunk_bytes, carry)
     by_chunk = start.groupBy("chunk")
 
     def probe(key, table):

@@ -17,8 +17,8 @@ from .exchange import bits, bucket_ends, chunked, contains, distinct_sorted, in_
 from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
-#: Fewer than elsewhere, as arrays here have an entry for each byte.
-DOCS_PER_CHUNK = 512
+#: Less than elsewhere, as arrays here have an entry for each byte.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 ANCHOR = 16
 _NO_ID = np.iinfo(np.int64).max
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -46,8 +46,9 @@ class _Chunk:
             self.anchor = np.empty(0, np.uint64)
             return
         grams = _grams(self.data)
-        least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        least = _sliding_min(least, span)[:n] & _PLACE
+        least = (grams & ~_PLACE) | (np.arange(len(grams), dtype=np.uint64) & _PLACE)
+        # a place is kept up to a multiple of the mask's range, which is wider than any window
+        least = np.arange(n, dtype=np.uint64) + (((_sliding_min(least, span)[:n] & _PLACE) - np.arange(n, dtype=np.uint64)) & _PLACE)
         room = np.repeat(self.start + size, size)[:n] - np.arange(n)
         inside = room >= window
         # a segment goes on while the anchor stays; windows of one anchor lie in one text
@@ -123,7 +124,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", docs_per_chunk: int = DOCS_PER_CHUNK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per input row: id_col, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the bytes that stay).
 
     A byte goes if it is in a `window`-byte string of its text that also starts in a row with a smaller id; all is
@@ -134,9 +135,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     if window < ANCHOR:
         raise ValueError(f"window must be {ANCHOR} bytes or more")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    start, n_chunks = chunked(docs, "id", "text", docs_per_chunk)
+    start, n_buckets = chunked(docs, "id", "text", chunk_bytes, bucket_bytes=BUCKET_BYTES)
     start = start.withColumn("th", F.xxhash64("text"))
-    n_buckets = max(8, 2 * n_chunks)
     digests = start.where(F.octet_length("text") >= window).select("chunk", "id", "th", F.md5("text").alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))

@@ -21,7 +21,7 @@ def sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-@pytest.mark.parametrize("window, per_chunk", [(35, 1000), (35, 10), (4, 30)])
+@pytest.mark.parametrize("window, per_chunk", [(35, 1 << 20), (35, 5000), (4, 20_000)])
 def test_substring_dedup(docs, rows, window, per_chunk):
     words = [WORD.findall(t or "") for _, t in rows]
     times = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -29,7 +29,7 @@ def test_substring_dedup(docs, rows, window, per_chunk):
     for (i, _), w in zip(rows, words, strict=True):
         gone = {k + j for k in range(len(w) - window + 1) if times[tuple(w[k : k + window])] > 1 for j in range(window)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = [tuple(r) for r in substring_dedup(docs, window, docs_per_chunk=per_chunk).collect()]
+    got = [tuple(r) for r in substring_dedup(docs, window, chunk_bytes=per_chunk).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert any(x[2] for x in want)
 
@@ -38,7 +38,7 @@ def test_substring_dedup_of_nothing(none):
     assert substring_dedup(none).collect() == []
 
 
-@pytest.mark.parametrize("per_chunk", [1000, 20])
+@pytest.mark.parametrize("per_chunk", [1 << 20, 10_000])
 def test_suffix_dedup(docs, rows, per_chunk):
     first: dict[bytes, float] = {}
     raw = [(float("inf") if i is None else i, (t or "").encode()) for i, t in rows]
@@ -53,7 +53,7 @@ def test_suffix_dedup(docs, rows, per_chunk):
                 gone[k : k + 50] = True
         spans = int((gone[1:] < gone[:-1]).sum())
         want.append((i, len(b), int(gone.sum()), spans, sha(bytes(x for x, g in zip(b, gone, strict=False) if not g))))
-    got = suffix_dedup(docs, docs_per_chunk=per_chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    got = suffix_dedup(docs, chunk_bytes=per_chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
@@ -97,9 +97,9 @@ def classes(rows, k, num, den):
     return [(i, len(s), None if i is None else root(i)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
-@pytest.mark.parametrize("k, num, block, per_chunk", [(3, 90, 4096, 1000), (5, 80, 3, 25)])
+@pytest.mark.parametrize("k, num, block, per_chunk", [(3, 90, 4096, 1 << 20), (5, 80, 3, 15_000)])
 def test_jaccard_classes(docs, rows, k, num, block, per_chunk):
-    got = [tuple(r) for r in jaccard_classes(docs, k, num, 100, docs_per_chunk=per_chunk, block=block).collect()]
+    got = [tuple(r) for r in jaccard_classes(docs, k, num, 100, chunk_bytes=per_chunk, block=block).collect()]
     assert sorted(got, key=repr) == sorted(classes(rows, k, num, 100), key=repr)
 
 
