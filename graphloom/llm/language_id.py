@@ -25,6 +25,8 @@ UNKNOWN = -14.0
 STORE_WORDS = 300_000
 #: Documents whose new words are scored together.
 DOCS_AT_ONCE = 512
+#: Words of more letters are summed one by one, to the same result with less room.
+ONE_AT_A_TIME = 256
 UNDECIDED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,11 +48,15 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 class Lattice:
-    """All cuts of words of one length into pieces, as piece numbers; 0: no such piece, one more than the last: unknown."""
+    """All cuts of words of one length into pieces, as piece numbers; 0: no such piece, one more than the last: unknown.
+
+    Places are taken in stretches as long as the longest piece. Sums are kept next to a scale for each stretch, word and
+    language, so that they don't leave the range of a float however long the words are.
+    """
 
     def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
         marked = [_START + w for w in words]
-        self.n = len(marked[0])
+        self.n, self.stretch = len(marked[0]), max(16, longest)
         self.edges: list[tuple[int, int, np.ndarray]] = []
         get, unknown = pieces.get, len(pieces) + 1
         for end in range(1, self.n + 1):
@@ -62,22 +68,35 @@ class Lattice:
                 if ids.any():
                     self.edges.append((start, end, ids))
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums up to each place, by word and column of p."""
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Scaled sums up to each place by word and column of p, the log of the last scale, and the scales' steps."""
         a = np.zeros((self.n + 1, len(self.edges[0][2]), p.shape[1]))
         a[0] = 1
+        steps, log_scale = [np.ones(a.shape[1:])], np.zeros(a.shape[1:])
         for start, end, ids in self.edges:
-            a[end] += a[start] * p[ids]
-        return a
+            if end // self.stretch == len(steps):  # the stretch before is whole
+                largest = a[end - self.stretch : end].max(axis=0)
+                steps.append(1 / np.maximum(largest, 1e-300))
+                log_scale += np.log(np.maximum(largest, 1e-300))
+            share = a[start] * p[ids]
+            a[end] += share if start // self.stretch == end // self.stretch else share * steps[-1]
+        return a, log_scale, steps
+
+    def log_sums(self, p: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' sums over all cuts."""
+        a, log_scale, _ = self.forward(p)
+        return np.log(a[self.n]) + log_scale
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of the words, with a weight by word and column."""
-        a = self.forward(p)
+        a, _, steps = self.forward(p)
         b = np.zeros_like(a)
-        b[self.n] = weight / np.maximum(a[self.n], 1e-300)
+        b[self.n] = weight / a[self.n]
         out = np.zeros_like(p)
         for start, end, ids in reversed(self.edges):
             share = p[ids] * b[end]
+            if start // self.stretch != end // self.stretch:
+                share *= steps[end // self.stretch]
             b[start] += share
             share *= a[start]
             for k in range(p.shape[1]):
@@ -85,6 +104,26 @@ class Lattice:
         return out
 
 
+def long_word(word: str, pieces: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """`Lattice.log_sums` of one word of any length, with room for the last `longest` sums only."""
+    marked, unknown, total = _START + word, len(pieces) + 1, np.zeros(p.shape[1])
+    sums = np.zeros((longest, p.shape[1]))  # sums up to the latest places, the last one first
+    sums[0] = 1
+    get = pieces.get
+    for end in range(1, len(marked) + 1):
+        new = sums[0] * p[get(marked[end - 1], unknown)]
+        for back in range(2, min(longest, end) + 1):
+            if piece := get(marked[end - back : end]):
+                new += sums[back - 1] * p[piece]
+        sums[1:] = sums[:-1].copy()
+        sums[0] = new
+        if not end % 16:
+            largest = sums.max(axis=0)
+            sums /= largest
+            total += np.log(largest)
+    return np.log(sums[0]) + total
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     """Words in groups of one length, with their places."""
     groups: dict[int, list[int]] = {}
@@ -95,11 +134,6 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
             yield at[k : k + 5000], [words[i] for i in at[k : k + 5000]]
 
 
-def _cut(words: list[str], most: int = 64) -> list[str]:
-    """Words of more than `most` letters in parts of that many, so that no lattice grows with a text's odd words."""
-    return [w[i : i + most] for w in words for i in range(0, len(w), most)] if any(len(w) > most for w in words) else words
-
-
 def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and a row of piece probabilities for each piece number, by language."""
     languages = sorted(counts)
@@ -145,7 +179,7 @@ def language_id(
 
     def count(batches):
         for b in batches:
-            rows = [(lang, w) for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for w in _cut(words_of(text))]
+            rows = [(lang, w) for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for w in words_of(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["lang", "word"])
 
     counts: dict[str, dict[str, int]] = {}
@@ -160,7 +194,7 @@ def language_id(
         for b in batches:
             for first in range(0, b.num_rows, DOCS_AT_ONCE):
                 part = b.slice(first, DOCS_AT_ONCE)
-                texts = [_cut(words_of(t.as_py())) for t in part.column("text")]
+                texts = [words_of(t.as_py()) for t in part.column("text")]
                 new = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in slots]
                 if len(slots) + len(new) > STORE_WORDS:
                     slots.clear()
@@ -170,7 +204,10 @@ def language_id(
                 for _, some in _by_length(new) if languages else ():
                     known = len(slots)
                     slots.update(zip(some, range(known, known + len(some)), strict=True))
-                    logs[known : known + len(some)] = np.log(np.maximum(Lattice(some, pieces, longest).forward(p)[-1], 1e-300))
+                    if len(some[0]) > ONE_AT_A_TIME:
+                        logs[known : known + len(some)] = [long_word(w, pieces, longest, p) for w in some]
+                    else:
+                        logs[known : known + len(some)] = Lattice(some, pieces, longest).log_sums(p)
                 found, score = [], []
                 for words in texts:
                     if languages and any(c.isalpha() for w in words for c in w):
