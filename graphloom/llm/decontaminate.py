@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -93,7 +95,7 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, size = [], 0
+    block, size, first = [], 0, True
     rows = benchmark.select(F.col(item_col).cast("string"), text_col).where(F.col(item_col).isNotNull())
     for item, text in rows.toLocalIterator():
         if words := fold_words(text):
@@ -101,8 +103,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
             size += len(words)
         if size >= block_words:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, first = [], 0, False
+    if block or first:
+        yield block
 
 
 def contamination_spans(
@@ -120,12 +123,14 @@ def contamination_spans(
     A document word is inside a span when it lies in an occurrence of `window` consecutive words of an item (of the
     whole item if that has fewer). Null and empty texts have no words and no spans; items without words or without an
     id are never found; items that share an id count once; repeated rows each give a row. Items are read in blocks of
-    `block_words`, so driver and tasks hold one block; more than one block costs a pass each and one shuffle to merge.
+    `block_words`, and each block's spans are written before the next but one is read, so driver and tasks hold two
+    blocks at most; more than one block costs a pass each and one shuffle to merge.
     """
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = [Phrases(b, window) for b in _blocks(benchmark, item_col, item_text_col, block_words)]
-    many = len(blocks) > 1
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    first, second = next(blocks), next(blocks, None)
+    many = second is not None
     if many:
         source = source.withColumn("row", F.xxhash64("id", "text"))
 
@@ -154,12 +159,13 @@ def contamination_spans(
         return shards
 
     schema = f"id {kind.simpleString()}, " + "row bigint, " * many + "n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
-    parts = [source.mapInArrow(scan(p), schema) for p in blocks]
+    every, n_blocks = source.mapInArrow(scan(Phrases(first, window)), schema), 1
     if not many:
-        return parts[0].withColumnRenamed("id", id_col)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
+        return every.withColumnRenamed("id", id_col)
+    del first
+    every = written(every, "spans")
+    for block in chain([second], blocks):
+        every, n_blocks = every.unionAll(written(source.mapInArrow(scan(Phrases(block, window)), schema), "spans")), n_blocks + 1
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     start = F.struct(F.array().cast("array<struct<starts:bigint,ends:bigint>>").alias("done"), F.lit(None).cast("struct<starts:bigint,ends:bigint>").alias("open"))
     merged = F.aggregate(
@@ -178,7 +184,7 @@ def contamination_spans(
         F.max("n_words").alias("n_words"),
         merged.alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"),
+        (F.count(F.lit(1)) / n_blocks).cast("int").alias("copies"),
     )
     back = back.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return back.select(F.col("id").alias(id_col), "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
