@@ -11,8 +11,10 @@ shrinks with it; on executors with more memory both sizes should be larger.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,14 +114,59 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte for each count below 255, five for larger ones."""
+    """One byte for each count below 255, nine for larger ones."""
     low = np.minimum(counts, 255).astype(np.uint8)
-    return np.uint32(len(counts)).tobytes() + low.tobytes() + counts[low == 255].astype("<u4").tobytes()
+    return np.uint32(len(counts)).tobytes() + low.tobytes() + counts[low == 255].astype("<u8").tobytes()
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
+def unpack_counts(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The counts that start at a place of the data, and the place behind them."""
+    n = int(np.frombuffer(data, "<u4", 1, at)[0])
+    low = np.frombuffer(data, np.uint8, n, at + 4)
+    out, large = low.astype(np.int64), low == 255
+    m, at = int(large.sum()), at + 4 + n
+    out[large] = np.frombuffer(data, "<u8", m, at)
+    return out, at + 8 * m
+
+
+def pack_keys(values: np.ndarray) -> bytes:
+    """The top 56 bits of sorted distinct values: 24 as steps, mostly a byte each, and four bytes of the rest."""
+    step = np.diff((values >> np.uint64(40)).astype(np.int64), prepend=0)
+    low = np.minimum(step, 255).astype(np.uint8)
+    rest = (values >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    return np.uint32(len(values)).tobytes() + low.tobytes() + step[low == 255].astype("<u4").tobytes() + rest
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
     low = np.frombuffer(data, np.uint8, n, 4)
-    out = low.astype(np.uint32)
-    out[low == 255] = np.frombuffer(data, "<u4", offset=4 + n)
-    return out
+    step, large = low.astype(np.int64), low == 255
+    m, at = int(large.sum()), 4 + n
+    step[large] = np.frombuffer(data, "<u4", m, at)
+    return np.cumsum(step).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n, at + 4 * m).astype(np.uint64)
+
+
+def bundled(rows: DataFrame) -> DataFrame:
+    """(chunk, data): rows that have a column `chunk`, those of one chunk together and compressed; see `unbundled`."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+        for b in batches:
+            chunk = b.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            first = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            out = []
+            for a, z in zip(first, np.append(first[1:], len(order)), strict=True):
+                sink = pa.BufferOutputStream()
+                part = b.take(pa.array(order[a:z]))
+                with pa.ipc.new_stream(sink, part.schema, options=codec) as w:
+                    w.write_batch(part)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[order[first]]), pa.array(out, pa.binary())], ["chunk", "data"])
+
+    return rows.mapInArrow(bundle, "chunk bigint, data binary")
+
+
+def unbundled(table: pa.Table) -> pa.Table:
+    """The rows of a chunk, in the same order whenever they are read."""
+    return in_order(pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in table.column("data")))

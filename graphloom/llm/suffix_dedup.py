@@ -18,7 +18,9 @@ from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
 #: Less than elsewhere, as arrays here have an entry for each byte.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
+#: Segments around one anchor that go to one shard; of an anchor with more, each window goes by its own hash.
+HOT_SEGMENTS = 1 << 14
 ANCHOR = 16
 _NO_ID = np.iinfo(np.int64).max
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -90,18 +92,26 @@ def _prefix_hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Segments:
-    """A chunk's segments with a repeated anchor, in order of anchor, content and document; equal ones are one group."""
+    """A chunk's segments with a repeated anchor, in order of anchor, content and document; equal ones are one group.
 
-    def __init__(self, c: _Chunk, hits: np.ndarray, window: int):
-        at = np.flatnonzero(contains(hits, c.anchor))
+    Segments with a hot anchor are cut into their windows, which are segments with their own hash for an anchor.
+    """
+
+    def __init__(self, c: _Chunk, hits: np.ndarray, hot: np.ndarray, window: int):
+        is_hot = contains(hot, c.anchor)
+        at, cut = np.flatnonzero(contains(hits, c.anchor) & ~is_hot), np.flatnonzero(is_hot)
         sums, back = _prefix_hash(c.data)
-        a, z = c.first[at], c.last[at] + window
+        many = c.last[cut] - c.first[cut] + 1
+        a = np.concatenate([c.first[at], _spread(c.first[cut], many)])
+        z = np.concatenate([c.last[at], a[len(at) :]]) + window
+        doc = np.concatenate([c.doc[at], np.repeat(c.doc[cut], many)])
         with np.errstate(over="ignore"):
             content = mix((sums[z] - sums[a]) * back[a]) + (z - a).astype(np.uint64)
-        self.id = c.ids[c.doc[at]]
-        order = np.lexsort((self.id, content, c.anchor[at]))
+        anchor = np.concatenate([c.anchor[at], mix(content[len(at) :])])
+        self.id = c.ids[doc]
+        order = np.lexsort((self.id, content, anchor))
         self.id, self.first, self.size = self.id[order], a[order], (z - a)[order]
-        anchor, content = c.anchor[at][order], content[order]
+        anchor, content = anchor[order], content[order]
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])[: len(order)]
         self.head = np.flatnonzero(new)  # of each group, the one with the smallest id
         self.group = np.cumsum(new) - 1
@@ -124,7 +134,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Per input row: id_col, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the bytes that stay).
 
     A byte goes if it is in a `window`-byte string of its text that also starts in a row with a smaller id; all is
@@ -150,22 +160,28 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
         first = np.flatnonzero(new)
         many = d[first] != d[np.append(first[1:], len(a))[: len(first)] - 1]
-        return _blobs(key[0].as_py(), a[first], n_buckets, lambda x, z: (pack5(a[first[x:z]]), bits(many[x:z])))
+        n = np.minimum(np.diff(np.append(first, len(a))), 255).astype(np.uint8)
+        return _blobs(key[0].as_py(), a[first], n_buckets, lambda x, z: (pack5(a[first[x:z]]), bits(many[x:z]) + n[x:z].tobytes()))
 
     def repeated(key, table):
         n = table.column("n").to_numpy()
         values = np.concatenate([unpack5(v.as_py()) for v in table.column("a")])
-        many = np.concatenate([unbits(f.as_py(), k) for f, k in zip(table.column("b"), n, strict=True)])
+        flags = [f.as_py() for f in table.column("b")]
+        many = np.concatenate([unbits(f[:-k], k) for f, k in zip(flags, n.tolist(), strict=True)])
+        times = np.concatenate([np.frombuffer(f, np.uint8, k, len(f) - k) for f, k in zip(flags, n.tolist(), strict=True)])
         order = np.argsort(values, kind="stable")
         v = values[order]
         group = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
         hit = np.empty(len(v), bool)
         hit[order] = (np.bincount(group, 1 + many[order]) > 1)[group]
-        return _answers(table, 0, n, hit)
+        hot = np.empty(len(v), bool)
+        hot[order] = (np.bincount(group, times[order]) > hot_segments)[group]
+        return pa.concat_tables([_answers(table, 0, n, hit), _answers(table, 2, n, hit & hot)])
 
     def segments(c: _Chunk, masks) -> _Segments:
         values = distinct_sorted(c.anchor)[0]
-        return _Segments(c, _hits(values, bucket_ends(values, n_buckets), masks, 0), window)
+        ends = bucket_ends(values, n_buckets)
+        return _Segments(c, _hits(values, ends, masks, 0), _hits(values, ends, masks, 2), window)
 
     def ship(key, left, right):
         copies, masks = _split(right)
@@ -201,8 +217,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         text[body] = np.frombuffer(b"".join(known), np.uint8).astype(np.uint16) + 1
         keys = sort_keys(text)
         order = two_stage_order(text, keys, window)
-        room = np.repeat(stop, lengths + 1) - np.arange(len(text))
-        segment = np.repeat(np.arange(len(known)), lengths + 1)
+        room = np.repeat(stop.astype(np.int32), lengths + 1) - np.arange(len(text), dtype=np.int32)
+        segment = np.repeat(np.arange(len(known), dtype=np.int32), lengths + 1)
         order = order[room[order] >= window]
         group = np.cumsum(~common_prefix_reaches(order, text, keys, window)) - 1
         smallest = np.full(int(group[-1]) + 1, _NO_ID)
