@@ -1,140 +1,170 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-The root is the smoothed unigram distribution. A context of one or two words is a node if it occurs often enough in the
-training texts and its next words, each judged without itself, are likelier under the node than under its parent (the
-divergence test). A word's probability comes from the longest node that ends its history; each node's distribution is
-smoothed towards its parent's by its number of distinct next words.
+The root is the smoothed unigram distribution. A context of one to `max_depth` words is a node if it occurs often enough
+in the training texts and its next words, each judged without itself, are likelier under the node than under its parent,
+the context without its first word (the divergence test). A word's probability comes from the longest node that ends its
+history; each context's distribution is smoothed towards its parent's by its number of distinct next words.
 
-All counts are exact over all training texts: chunks send their distinct events to buckets of event hashes, and get
-the totals back in the same order.
+All counts are taken over all training texts: chunks send their distinct events to buckets of event hashes, and get
+the totals back in the same order. Words and sequences of words are told apart by hashes, in buckets by 56 bits of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from .exchange import CHUNK_BYTES as DOCS_PER_CHUNK, bucket_ends, chunked, in_order, mix, pack5, pack_counts, unpack5, unpack_counts
-from ..plans.shared import written
+from .exchange import bits, bucket_ends, bundled, chunked, mix, pack_counts, pack_keys, unbits, unbundled, unpack_counts, unpack_keys
+from .words import word_hashes
 
+#: Words of a context at most.
+MAX_DEPTH = 3
 #: A context needs so many training occurrences, at any size of corpus, and so much gain an occurrence in natural
 #: logarithm.
 MIN_CONTEXT = 16
 MIN_GAIN = 0.01
 
-_END = xxh3_64_intdigest(b" ")
-_PAIR, _TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BLOBS = "level int, bucket int, chunk bigint, n int, keys binary, data binary"
-_ANSWERS = "chunk bigint, level int, bucket int, data binary"
-#: What is exchanged: counts of words, pairs and triples; statistics of contexts of one and of two words.
-WORDS, PAIRS, TRIPLES, ONE, TWO = range(5)
-_STATS = np.dtype([("gain", "<f8"), ("n", "<f4"), ("single", "<f4"), ("types", "<f4")])
+#: More than elsewhere: the fewer the chunks, the fewer the events that several of them send.
+CHUNK_BYTES = 8 << 20
+
+_END = np.uint64(0x1D8AF066F2D1C3A5)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BLOBS = "level int, bucket int, chunk bigint, keys binary, data binary"
+_ANSWERS = "chunk bigint, level int, bucket int, data binary, tokens bigint, known bigint"
+
+
+def counts_level(depth: int) -> int:
+    """The number of the exchange that counts words after contexts of `depth` words."""
+    return 2 * depth
+
+
+def context_level(depth: int) -> int:
+    """The number of the exchange that judges contexts of `depth` words."""
+    return 2 * depth + 1
 
 
-class _Tokens:
+class _Places:
+    """The places of a chunk that follow a context of some depth, and the sequences of context and word there."""
+
+    def __init__(self, at: np.ndarray, before: np.ndarray | None, sequence: np.ndarray):
+        #: Token numbers, and for each the place, one level up, of the last word of its context.
+        self.at, self.before = at, before
+        self.events, self.event = np.unique(sequence, return_inverse=True)
+        self.n = self.first_here = np.empty(0)
+
+    def sequence(self) -> np.ndarray:
+        return self.events[self.event]
+
+
+class _Chunk:
     """A chunk's words and ends as hashes, and the totals that have come back for them."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table | None, n_buckets: int):
-        sizes, hashes = [], []
-        for text in table.column("text"):
-            raw = text.as_py()
-            words = raw.encode("utf-8").translate(_LOWER).split() if raw else []
-            sizes.append(len(words) + 1)
-            hashes.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
-            hashes.append(np.array([_END], np.uint64))
-        self.sizes = np.array(sizes, np.int64)
-        self.h = np.concatenate(hashes)
-        self.train = np.repeat(~table.column("held").to_numpy(), self.sizes)
+    def __init__(self, table: pa.Table, answers: pa.Table | None, least: int):
+        sizes, hashes = word_hashes([(t.as_py() or "").encode("utf-8") for t in table.column("text")])
+        self.sizes, self.least = sizes + 1, least
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.n_buckets = n_buckets
+        self.h = np.full(int(self.sizes.sum()), _END)
+        is_word = np.ones(len(self.h), bool)
+        is_word[self.starts + sizes] = False
+        self.h[is_word] = hashes
+        self.train = np.repeat(~table.column("held").to_numpy(), self.sizes)
         self.answers: dict[int, dict[int, bytes]] = {}
-        for level, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "data")), strict=True) if answers else ():
-            self.answers.setdefault(level, {})[bucket] = data
-        self.words, self.word = np.unique(self.h, return_inverse=True)
-
-    def _totals(self, level: int, kind) -> np.ndarray:
-        got = self.answers.get(level, {})
-        read = unpack_counts if kind == "<u4" else lambda x: np.frombuffer(x, kind)
-        return np.concatenate([np.empty(0, kind), *(read(got[b]) for b in sorted(got))])
-
-    def count_words(self) -> None:
-        self.c = self._totals(WORDS, "<u4")[self.word].astype(float)
-
-    def find_pairs(self, least: int) -> None:
-        """Places whose word before is a frequent one, and the distinct pairs there."""
-        after = np.ones(len(self.h), bool)
-        after[self.starts] = False
-        at = np.flatnonzero(after)
-        self.at1 = at[self.c[at - 1] >= least]
+        if answers is not None:
+            for level, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "data")), strict=True):
+                self.answers.setdefault(level, {})[bucket] = data
+            # every chunk has an end, so it always has an answer about words
+            words = answers.slice(answers.column("level").to_pylist().index(0), 1)
+            self.tokens, self.z = words.column("tokens")[0].as_py(), words.column("tokens")[0].as_py() + 0.5 * (words.column("known")[0].as_py() + 1)
+
+    def _back(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and flags that have come back for a level's values, in their order."""
+        numbers, flags = [np.empty(0, np.int64)], [np.empty(0, bool)]
+        for _, data in sorted(self.answers.get(level, {}).items()):
+            n, at = unpack_counts(data)
+            numbers.append(n)
+            flags.append(unbits(data[at:], len(n)))
+        return np.concatenate(numbers), np.concatenate(flags)
+
+    def words(self) -> _Places:
+        return _Places(np.arange(len(self.h)), None, self.h)
+
+    def counted(self, places: _Places, depth: int) -> _Places:
+        n, places.first_here = self._back(counts_level(depth))
+        places.n = n[places.event].astype(float)
+        return places
+
+    def longer(self, places: _Places) -> _Places:
+        """Places whose context is a sequence of `places` that occurs often enough."""
+        where = np.full(len(self.h), -1)
+        where[places.at] = np.arange(len(places.at))
+        before = np.concatenate([[-1], where[:-1]])
+        before[self.starts] = -1
+        at = np.flatnonzero(before >= 0)
+        at = at[places.n[before[at]] >= self.least]
+        before = before[at]
         with np.errstate(over="ignore"):
-            h = mix(self.h[self.at1 - 1] * _PAIR + self.h[self.at1])
-        self.pairs, self.pair = np.unique(h, return_inverse=True)
-
-    def count_pairs(self, least: int) -> None:
-        """And the same for places after a frequent pair."""
-        self.n1 = self._totals(PAIRS, "<u4")[self.pair].astype(float)
-        at = np.full(len(self.h), -1)
-        at[self.at1] = np.arange(len(self.at1))
-        before = at[self.at1 - 1]  # of the pair that ends a word earlier
-        self.sub = np.flatnonzero((before >= 0) & (self.n1[before] >= least))
-        self.before = before[self.sub]
-        with np.errstate(over="ignore"):
-            h = mix(self.pairs[self.pair[self.before]] * _TRIPLE + self.h[self.at1[self.sub]])
-        self.triples, self.triple = np.unique(h, return_inverse=True)
-
-    def node_one(self, z: float) -> None:
-        """Probabilities under contexts of one word, where they count."""
-        stats = self._totals(ONE, "<f4").reshape(-1, 2)
-        used, mine = np.unique(self.word[self.at1 - 1], return_inverse=True)
-        types, self.kept1 = stats[mine, 0], stats[mine, 1] > 0
-        self.p0 = (self.c + 0.5) / z
-        n = self.c[self.at1 - 1]
-        self.p1 = (self.n1 + types * self.p0[self.at1]) / np.maximum(n + types, 1e-9)
-
-    def context_stats(self, event: np.ndarray, times: np.ndarray, context: np.ndarray, n: np.ndarray, parent: np.ndarray, train: np.ndarray):
-        """Sums over this chunk's training occurrences, by context: see `_judge`."""
-        used, mine = np.unique(context, return_inverse=True)
-        out = np.zeros(len(used), _STATS)
-        w = train.astype(float)
-        many = times > 1
-        gain = np.where(many, np.log(np.maximum(times - 1, 1) / parent), 0.0)
-        for name, x in (("gain", w * gain), ("single", w * ~many), ("types", w / np.maximum(times, 1))):
-            out[name] = np.bincount(mine, x, len(used))
-        out["n"][mine] = n
-        return used, out
-
-    def blobs(self, chunk: int, level: int, values: np.ndarray, data: np.ndarray) -> pa.Table:
-        ends = bucket_ends(values, self.n_buckets)
+            return _Places(at, before, mix(places.events[places.event[before]] * _STEP + self.h[at]))
+
+    def blobs(self, chunk: int, level: int, values: np.ndarray, n_buckets: int, pack: Callable[[int, int], bytes]) -> pa.Table:
+        ends = bucket_ends(values, n_buckets)
         spans = [(b, a, z) for b, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
-        exact = level == WORDS
         return pa.table(
             {
                 "level": pa.array([level] * len(spans), pa.int32()),
                 "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
                 "chunk": pa.array([chunk] * len(spans), pa.int64()),
-                "n": pa.array([z - a for _, a, z in spans], pa.int32()),
-                "keys": pa.array([values[a:z].tobytes() if exact else pack5(values[a:z]) for _, a, z in spans], pa.binary()),
-                "data": pa.array([data[a:z].tobytes() if level in (ONE, TWO) else pack_counts(data[a:z]) for _, a, z in spans], pa.binary()),
+                "keys": pa.array([pack_keys(values[a:z]) for _, a, z in spans], pa.binary()),
+                "data": pa.array([pack(a, z) for _, a, z in spans], pa.binary()),
             }
         )
 
-    def counts(self, index: np.ndarray, n: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return np.bincount(index, self.train[places], n).astype("<u4")
+    def ask_counts(self, chunk: int, depth: int, places: _Places, n_buckets: int) -> pa.Table:
+        n = np.bincount(places.event, self.train[places.at], len(places.events)).astype(np.int64)
+        return self.blobs(chunk, counts_level(depth), places.events, n_buckets, lambda a, z: pack_counts(n[a:z]))
+
+    def contexts(self, places: _Places, parents: _Places) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts, and the context of each place."""
+        used, context = np.unique(parents.event[places.before], return_inverse=True)
+        return parents.events[used], context
+
+    def ask_contexts(self, chunk: int, depth: int, places: _Places, parents: _Places, p: np.ndarray, n_buckets: int) -> pa.Table:
+        """Sums over this chunk's training occurrences by context, for `_judge`."""
+        contexts, context = self.contexts(places, parents)
+        size, w = len(contexts), self.train[places.at].astype(float)
+        many = places.n > 1
+        gain = np.bincount(context, w * np.where(many, np.log(np.maximum(places.n - 1, 1) / p[places.at]), 0.0), size).astype("<f4")
+        single = np.bincount(context, w * ~many, size).astype(np.int64)
+        of_event = np.empty(len(places.events), np.int64)
+        of_event[places.event] = context
+        types = np.bincount(of_event[places.first_here], minlength=size)
+        n = np.zeros(size, np.int64)
+        n[context] = parents.n[places.before].astype(np.int64)
+
+        def pack(a, z):
+            return gain[a:z].tobytes() + b"".join(pack_counts(x[a:z]) for x in (n, single, types))
+
+        return self.blobs(chunk, context_level(depth), contexts, n_buckets, pack)
 
+    def judged(self, depth: int, places: _Places, parents: _Places, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities under the contexts, smoothed towards `p`, and which contexts are nodes, by place."""
+        types, kept = self._back(context_level(depth))
+        _, context = self.contexts(places, parents)
+        share = types[context]
+        return (places.n + share * p[places.at]) / np.maximum(parents.n[places.before] + share, 1e-9), kept[context]
 
-def _judge(sums: np.ndarray, least_gain: float) -> np.ndarray:
-    """(distinct next words, 1 if the context is a node) from a context's summed statistics.
+
+def _judge(n: np.ndarray, gain: np.ndarray, single: np.ndarray, types: np.ndarray, least_gain: float) -> np.ndarray:
+    """Whether contexts are nodes, from their summed statistics.
 
     Each occurrence is judged without itself: of a next word seen more than once by its other occurrences, of one seen
     once by the share that smoothing gives to the parent.
     """
-    n, types = np.maximum(sums["n"], 1.0), sums["types"].astype(float)
-    gain = sums["gain"] + sums["single"] * np.log(np.maximum(types, 1e-9)) - n * np.log(n + types)
-    return np.stack([types, (gain >= least_gain * n) & (types > 0)], axis=1).astype("<f4")
+    total = gain + single * np.log(np.maximum(types, 1)) - n * np.log(np.maximum(n + types, 1))
+    return (types > 0) & (total >= least_gain * n)
 
 
 def lm_score(
@@ -144,7 +174,8 @@ def lm_score(
     text_col: str = "text",
     min_context: int = MIN_CONTEXT,
     min_gain: float = MIN_GAIN,
-    docs_per_chunk: int = DOCS_PER_CHUNK,
+    max_depth: int = MAX_DEPTH,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10), n_context.
 
@@ -154,130 +185,125 @@ def lm_score(
     probability. Repeated rows count, and are scored, once each; other columns of `docs` are not looked at.
     """
     base = docs.withColumn(id_col, F.struct(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held")))
-    start, n_chunks = chunked(base, id_col, text_col, docs_per_chunk)
+    start, n_buckets = chunked(base, id_col, text_col, chunk_bytes)
     kind = docs.schema[id_col].dataType
     start = start.select("chunk", F.col("id.id").alias("id"), "text", F.col("id.held").alias("held"))
-    n_buckets = max(8, n_chunks)
-    by_chunk = start.groupBy("chunk")
+    by_chunk = bundled(start).groupBy("chunk")
 
     def total(key, table):
-        level, n = key[0].as_py(), table.column("n").to_numpy()
-        if level == WORDS:
-            keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in table.column("keys")])
-        else:
-            keys = np.concatenate([unpack5(k.as_py()) for k in table.column("keys")])
+        table = table.sort_by("chunk")  # sums are taken in one order
+        level, rows = key[0].as_py(), table.num_rows
+        parts = [unpack_keys(k.as_py()) for k in table.column("keys")]
+        ends = np.cumsum([len(x) for x in parts])
+        keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         group = np.empty(len(k), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-        data = [d.as_py() for d in table.column("data")]
-        if level in (ONE, TWO):
-            rows = np.concatenate([np.frombuffer(d, _STATS) for d in data])
-            sums = np.zeros(len(first), _STATS)
-            for name in ("gain", "single", "types"):
-                sums[name] = np.bincount(group, rows[name], len(first))
-            sums["n"][group] = rows["n"]
-            out = _judge(sums, min_gain)[group]
-            tokens = known = 0
+        tokens = known = 0
+        if level % 2:
+            columns = [[], [], [], []]
+            for data, x in zip(table.column("data"), parts, strict=True):
+                raw, at = data.as_py(), 4 * len(x)
+                columns[0].append(np.frombuffer(raw, "<f4", len(x)))
+                for c in columns[1:]:
+                    one, at = unpack_counts(raw, at)
+                    c.append(one)
+            gain, n, single, types = (np.concatenate(c) for c in columns)
+            every = np.zeros(len(first), np.int64)
+            every[group] = n
+            gain, single, types = (np.bincount(group, x, len(first)) for x in (gain, single, types))
+            numbers, flags = types.astype(np.int64)[group], _judge(every, gain, single, types, min_gain)[group]
         else:
-            sums = np.bincount(group, np.concatenate([unpack_counts(d) for d in data]), len(first)).astype("<u4")
-            out = sums[group]
-            tokens, known = int(sums.sum(dtype=np.int64)), int((sums > 0).sum())
-        ends = np.cumsum(n)
-        rows = len(n)
-        parts = [out[e - m : e].tobytes() if level in (ONE, TWO) else pack_counts(out[e - m : e]) for e, m in zip(ends, n, strict=True)]
-        answer = pa.table({"chunk": table.column("chunk"), "level": pa.array([level] * rows, pa.int32()), "bucket": table.column("bucket"), "data": pa.array(parts, pa.binary())})
-        if level != WORDS:
-            return answer
-        totals = pa.table({"chunk": [-1], "level": pa.array([level], pa.int32()), "bucket": pa.array([0], pa.int32()), "data": pa.array([np.array([tokens, known]).tobytes()], pa.binary())})
-        return pa.concat_tables([answer, totals.cast(answer.schema)])
+            n = np.concatenate([unpack_counts(d.as_py())[0] for d in table.column("data")])
+            sums = np.add.reduceat(n[order], first)
+            numbers = sums[group]
+            # of the chunks with an event in training the first counts it as a distinct one
+            at = np.minimum.reduceat(np.where(n[order] > 0, np.arange(len(n)), len(n)), first)
+            flags = np.zeros(len(n), bool)
+            flags[order[at[at < len(n)]]] = True
+            tokens, known = int(sums.sum()), int((sums > 0).sum())
+        back = [pack_counts(numbers[e - len(x) : e]) + bits(flags[e - len(x) : e]) for e, x in zip(ends, parts, strict=True)]
+        out = {"chunk": table.column("chunk").to_pylist(), "level": [level] * rows, "bucket": table.column("bucket").to_pylist(), "data": back}
+        out["tokens"] = out["known"] = [0] * rows
+        if not level:  # and a row of its own for the bucket's training tokens and distinct ones
+            out = {c: [*out[c], x] for c, x in (("chunk", -1), ("level", 0), ("bucket", 0), ("data", b""), ("tokens", tokens), ("known", known))}
+        kinds = {"level": pa.int32(), "bucket": pa.int32(), "data": pa.binary()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
     def send_words(key, table):
-        t = _Tokens(in_order(table), None, n_buckets)
-        return t.blobs(key[0].as_py(), WORDS, t.words, t.counts(t.word, len(t.words)))
-
-    def prepared(table, answers) -> _Tokens:
-        t = _Tokens(in_order(table), answers, n_buckets)
-        t.count_words()
-        t.find_pairs(min_context)
-        return t
-
-    def nothing():
-        kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-        return pa.table({n: pa.array([], kinds[k]) for n, k in (x.split(" ") for x in _BLOBS.split(", "))})
-
-    def send_pairs(key, table, answers):
-        if not table.num_rows:
-            return nothing()
-        t = prepared(table, answers)
-        return t.blobs(key[0].as_py(), PAIRS, t.pairs, t.counts(t.pair, len(t.pairs), t.at1))
-
-    def send_triples(key, table, answers):
-        if not table.num_rows:
-            return nothing()
-        t = prepared(table, answers)
-        t.count_pairs(min_context)
-        p0 = (t.c[t.at1] + 0.5) / z
-        used, stats = t.context_stats(t.pair, t.n1, t.word[t.at1 - 1], t.c[t.at1 - 1], p0, t.train[t.at1])
-        chunk = key[0].as_py()
-        return pa.concat_tables(
-            [t.blobs(chunk, ONE, t.words[used], stats), t.blobs(chunk, TRIPLES, t.triples, t.counts(t.triple, len(t.triples), t.at1[t.sub]))]
-        )
-
-    def send_two(key, table, answers):
-        if not table.num_rows:
-            return nothing()
-        t = prepared(table, answers)
-        t.count_pairs(min_context)
-        t.node_one(z)
-        times = t._totals(TRIPLES, "<u4")[t.triple].astype(float)
-        used, stats = t.context_stats(t.triple, times, t.pair[t.before], t.n1[t.before], t.p1[t.sub], t.train[t.at1[t.sub]])
-        return t.blobs(key[0].as_py(), TWO, t.pairs[used], stats)
+        t = _Chunk(unbundled(table), None, min_context)
+        return t.ask_counts(key[0].as_py(), 0, t.words(), n_buckets)
+
+    def walk(t: _Chunk, depth: int):
+        """(depth, places, places one level up, their probabilities, which are nodes, p): whatever has come back, and p before it."""
+        up = t.counted(t.words(), 0)
+        p = (up.n + 0.5) / t.z
+        yield 0, up, None, p[:0], None, p
+        for d in range(1, depth + 1):
+            places = t.counted(t.longer(up), d)
+            mine, kept = t.judged(d, places, up, p)
+            yield d, places, up, mine, kept, p
+            p[places.at] = mine
+            up = places
+
+    def send(depth: int):
+        """What a chunk sends once words after contexts of depth - 1 words are counted: those contexts, and longer ones' next words."""
+
+        def f(key, table, answers):
+            if not table.num_rows:
+                kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+                return pa.table({n: pa.array([], kinds[k]) for n, k in (x.split(" ") for x in _BLOBS.split(", "))})
+            t, chunk, out = _Chunk(unbundled(table), answers, min_context), key[0].as_py(), []
+            up = t.counted(t.words(), 0)
+            if depth > 1:
+                p = (up.n + 0.5) / t.z
+                for d in range(1, depth):
+                    places = t.counted(t.longer(up), d)
+                    if d < depth - 1:
+                        p[places.at] = t.judged(d, places, up, p)[0]
+                        up = places
+                out.append(t.ask_contexts(chunk, depth - 1, places, up, p, n_buckets))
+                up = places
+            if depth <= max_depth:
+                out.append(t.ask_counts(chunk, depth, t.longer(up), n_buckets))
+            return pa.concat_tables(out)
+
+        return f
 
     def score(key, table, answers):
-        table = in_order(table)
-        t = prepared(table, answers)
-        t.count_pairs(min_context)
-        t.node_one(z)
-        p = t.p0.copy()
-        depth = np.zeros(len(p), bool)
-        p[t.at1[t.kept1]] = t.p1[t.kept1]
-        depth[t.at1[t.kept1]] = True
-        stats = t._totals(TWO, "<f4").reshape(-1, 2)
-        used, mine = np.unique(t.pair[t.before], return_inverse=True)
-        types, kept = stats[mine, 0], stats[mine, 1] > 0
-        times = t._totals(TRIPLES, "<u4")[t.triple].astype(float)
-        p2 = (times + types * t.p1[t.sub]) / np.maximum(t.n1[t.before] + types, 1e-9)
-        p[t.at1[t.sub[kept]]] = p2[kept]
-        depth[t.at1[t.sub[kept]]] = True
+        table = unbundled(table)
+        t = _Chunk(table, answers, min_context)
+        for d, places, _, mine, kept, p in walk(t, max_depth):
+            if not d:
+                base, best, deep, c = p.copy(), p.copy(), np.zeros(len(p), np.int64), places.n
+            else:
+                best[places.at[kept]], deep[places.at[kept]] = mine[kept], 1
         add = lambda x: np.add.reduceat(x, t.starts)
-        n = len(t.starts)
         return pa.table(
             {
                 "id": table.column("id"),
                 "held_out": table.column("held"),
                 "n_tokens": pa.array(t.sizes),
-                "n_known": pa.array(add((t.c > 0).astype(np.int64))),
-                "train_tokens": pa.array([train_tokens] * n, pa.int64()),
-                "base_score": pa.array(add(np.log10(t.p0))),
-                "score": pa.array(add(np.log10(p))),
-                "n_context": pa.array(add(depth.astype(np.int64))),
+                "n_known": pa.array(add((c > 0).astype(np.int64))),
+                "train_tokens": pa.array([t.tokens] * len(t.starts), pa.int64()),
+                "base_score": pa.array(add(np.log10(base))),
+                "score": pa.array(add(np.log10(best))),
+                "n_context": pa.array(add(deep)),
             }
         )
 
-    words = written(by_chunk.applyInArrow(send_words, _BLOBS).groupBy("level", "bucket").applyInArrow(total, _ANSWERS), "word-counts")
-    # one row for each bucket: its training tokens and how many distinct ones
-    sums = [np.frombuffer(r["data"], np.int64) for r in words.where("chunk = -1").select("data").toLocalIterator()]
-    train_tokens, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    z = train_tokens + 0.5 * (distinct + 1)
-    known = words.where("chunk >= 0")
-
-    def more(answers: DataFrame, send) -> DataFrame:
-        sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(send, _BLOBS)
-        return answers.unionAll(sent.groupBy("level", "bucket").applyInArrow(total, _ANSWERS))
+    def totalled(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("level", "bucket").applyInArrow(total, _ANSWERS)
 
-    known = more(more(more(known, send_pairs), send_triples), send_two)
+    words = totalled(by_chunk.applyInArrow(send_words, _BLOBS))
+    sums = words.where("chunk = -1").agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known"))
+    # answers are dealt by chunk once, and their union stays so
+    known = words.where("chunk >= 0").drop("tokens", "known").crossJoin(F.broadcast(sums)).repartition("chunk")
+    for depth in range(1, max_depth + 2 if max_depth else 1):
+        found = totalled(by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send(depth), _BLOBS))
+        known = known.unionAll(found.repartition("chunk"))
     schema = f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_context bigint"
     return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
 
