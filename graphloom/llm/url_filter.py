@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import mix
+from .url_seed import seed_table
+
 #: Most labelled rows that the driver takes to fit the classifier.
 MAX_LABELLED = 100_000
 BUCKETS = 1 << 14
 NGRAMS = (3, 4, 5)
-BLOCK_FROM = 0.6
+BLOCK_FROM = 0.5
+#: Urls that are scored at once.
+ROWS_AT_ONCE = 4096
 
 # The rules of the production query, as (verdict, host and path).
 RULES = (
@@ -25,23 +29,6 @@ RULES = (
     ("block", "com/de/"),
 )
 
-# The labelled seed table, names that tell of unwanted sites and names of ordinary ones.
-UNWANTED = """
-casino-win.example casino-online.example best-casino.example/slots win-jackpot.example free-bets.example bet-bonus.example/odds
-sports-bets.example cheap-pills.example pills-online.example pharmacy-cheap.example/buy viagra-cheap.example spam-farm.example
-adult-site.example adult-chat.example/x link-farm.example seo-spam.example/links ads-track.example track-click.example/ads adserver.example/track click-ads.example/banner
-xxx-video.example free-porn.example hot-cams.example payday-loan.example/apply fast-loans.example replica-watch.example/buy
-free-download-crack.example/keygen warez.example/serial win-prize.example get-rich.example/money poker-win.example/bonus
-""".split()
-ORDINARY = """
-news.example/world library.example/catalog university.example/research blog.garden.example/roses docs.project.example/guide
-museum.example/visit weather.example/today recipes.example/soup school.example/lessons wiki.example/page/history
-forum.astronomy.example/stars city.example/council health.example/advice journal.example/article/12 shop.books.example/novels
-www.travel.example/rome m.sport.example/results archive.example/1990 code.example/python/tutorial music.example/piano
-maps.example/streets science.example/biology www.theatre.example/plays blog.kitchen.example/bread thesis.example/2020
-parks.example/trails en.nature.example/birds fr.histoire.example/rois de.technik.example/bahn es.cocina.example/arroz
-""".split()
-
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null or without ://."""
@@ -62,13 +49,23 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _features(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams of host and path; the two are told apart."""
-    out = set()
-    for mark, text in ((b"h", host), (b"p", path)):
-        raw = b"^" + text.encode("utf-8", "surrogatepass") + b"$"
-        out.update(zlib.crc32(mark + raw[i : i + n]) % BUCKETS for n in NGRAMS for i in range(len(raw) - n + 1))
-    return np.fromiter(out, np.int64, len(out))
+def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct hashed n-grams of hosts and paths, in order; the two are told apart."""
+    found = [np.empty(0, np.int64)]
+    for mark, texts in ((1, hosts), (2, paths)):
+        raw = [b"^" + t.encode("utf-8", "surrogatepass") + b"$" for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        size = np.array([len(x) for x in raw], np.int64)
+        room = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+        row = np.repeat(np.arange(len(raw)), size)
+        for n in NGRAMS:
+            at = np.flatnonzero(room >= n)
+            key = np.full(len(at), mark << 60 | n << 56, np.uint64)
+            for k in range(n):
+                key |= data[at + k] << np.uint64(8 * k)
+            found.append(row[at] * BUCKETS + (mix(key) % np.uint64(BUCKETS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
+    return both // BUCKETS, both % BUCKETS
 
 
 def fit(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
@@ -80,9 +77,9 @@ def fit(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0
     if not labelled:
         weights[-1] = -1.0
         return weights
-    rows = [_features(h, p) for h, p, _ in labelled]
-    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    size = 1.0 / np.sqrt(np.maximum(1, [len(r) for r in rows]))[at]
+    rows = labelled
+    at, col = _features([h for h, _, _ in rows], [p for _, p, _ in rows])
+    size = 1.0 / np.sqrt(np.maximum(1, np.bincount(at, minlength=len(rows))))[at]
     y = np.array([x for _, _, x in labelled], float)
     for _ in range(rounds):
         z = np.bincount(at, weights[col] * size, len(rows)) + weights[-1]
@@ -93,20 +90,17 @@ def fit(labelled: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0
     return weights
 
 
-def _score(host: str, path: str, weights: np.ndarray) -> float:
-    f = _features(host, path)
-    return float(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(max(1, len(f))) + weights[-1]))))
-
-
-def seed_table(spark) -> DataFrame:
-    rows = [(f"http://{u}", 1) for u in UNWANTED] + [(f"http://{u}", 0) for u in ORDINARY]
-    return spark.createDataFrame(rows, "url string, label int")
+def scores(hosts: list[str], paths: list[str], weights: np.ndarray) -> np.ndarray:
+    """Probabilities of unwanted."""
+    at, col = _features(hosts, paths)
+    n = np.bincount(at, minlength=len(hosts))
+    return 1 / (1 + np.exp(-(np.bincount(at, weights[col], len(hosts)) / np.sqrt(np.maximum(1, n)) + weights[-1])))
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", block_from: float = BLOCK_FROM) -> DataFrame:
     """Per input row: id_col, host, path, rule, verdict and score (the classifier's probability of unwanted).
 
-    The longest fitting rule decides, else the classifier. `labelled` has url and label (1 unwanted); the classifier
+    The longest fitting rule decides, else the classifier; a row that a rule decides has no score. `labelled` has url and label (1 unwanted); the classifier
     is fitted on at most MAX_LABELLED of its rows, the first by url; rows with a null are left out. A null url, or one
     without ://, has an empty host and path, fits no rule and is judged by the classifier's intercept and edges.
     Repeated rows each give a row; other columns of `pages` are not looked at.
@@ -116,19 +110,23 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str =
     weights = fit([tuple(r)[:3] for r in known.orderBy("url", "label").limit(MAX_LABELLED).collect()])
     host, path = parts(F.col(url_col))
     start = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    ruled = start.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "fit.rule", "fit.verdict")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [_score(h, p, weights) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "score"])
+            open_rows = np.flatnonzero(np.array(b.column("rule").is_null()))
+            score, known = np.zeros(b.num_rows), np.ones(b.num_rows, bool)
+            known[open_rows] = False
+            some = b.select(["host", "path"]).take(pa.array(open_rows))
+            for a in range(0, len(open_rows), ROWS_AT_ONCE):
+                part = some.slice(a, ROWS_AT_ONCE)
+                score[open_rows[a : a + ROWS_AT_ONCE]] = scores(part.column("host").to_pylist(), part.column("path").to_pylist(), weights)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, mask=known)], [*b.schema.names, "score"])
 
     kind = start.schema["id"].dataType.simpleString()
-    judged = start.mapInArrow(scored, f"id {kind}, host string, path string, score double")
-    judged = judged.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
+    judged = ruled.mapInArrow(scored, f"id {kind}, host string, path string, rule string, verdict string, score double")
     own = F.when(F.col("score") >= block_from, "block").otherwise("allow")
-    return judged.select(
-        F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "score"
-    )
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
