@@ -38,8 +38,9 @@ def test_substring_dedup_of_nothing(none):
     assert substring_dedup(none).collect() == []
 
 
-@pytest.mark.parametrize("per_chunk", [1 << 20, 10_000])
-def test_suffix_dedup(docs, rows, per_chunk):
+@pytest.mark.parametrize("per_chunk, hot", [(1 << 20, 1 << 14), (10_000, 5)])
+def test_suffix_dedup(docs, rows, per_chunk, hot, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.suffix_dedup._PLACE", np.uint64((1 << (28 if hot > 5 else 10)) - 1))  # places far beyond the mask's range
     first: dict[bytes, float] = {}
     raw = [(float("inf") if i is None else i, (t or "").encode()) for i, t in rows]
     for i, b in raw:
@@ -53,7 +54,7 @@ def test_suffix_dedup(docs, rows, per_chunk):
                 gone[k : k + 50] = True
         spans = int((gone[1:] < gone[:-1]).sum())
         want.append((i, len(b), int(gone.sum()), spans, sha(bytes(x for x, g in zip(b, gone, strict=False) if not g))))
-    got = suffix_dedup(docs, chunk_bytes=per_chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    got = suffix_dedup(docs, chunk_bytes=per_chunk, hot_segments=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
