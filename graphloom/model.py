@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,15 @@ from .plans.shared import written
 from .sources.tables import read_json, write_json
 
 
+#: Labels of a dictionary that is broadcast, at most.
+MAX_BROADCAST = 1_000_000
+
+
 @dataclass
 class GraphModel:
     """Label and feature dictionaries, fragments by canonical text with id and log-weight, and linear coefficients.
 
-    `train_rows` are distinct training vectors that span what the filter lets pass; None: no filter.
+    `span` has the columns, norms and basis of what training rows span, which the filter lets pass; None: no filter.
     """
 
     labels: dict[str, int]
@@ -26,7 +31,7 @@ class GraphModel:
     fragments: dict[str, tuple[int, float]]
     max_size: int = 1
     coefficients: dict[str, dict[int, float]] = field(default_factory=dict)
-    train_rows: list[dict[int, float]] | None = None
+    span: dict[str, list] | None = None
 
     def save(self, path: str) -> None:
         write_json({"type": "graph-model-1", "data": asdict(self)}, path)
@@ -40,7 +45,6 @@ class GraphModel:
         ints = lambda x: {int(k): v for k, v in x.items()}
         d["fragments"] = {k: (i, w) for k, (i, w) in d["fragments"].items()}
         d["coefficients"] = {t: ints(c) for t, c in d["coefficients"].items()}
-        d["train_rows"] = None if d["train_rows"] is None else [ints(r) for r in d["train_rows"]]
         return GraphModel(**d)
 
     def process(self, rows: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ class GraphModel:
         g = parsed(rows).withColumn("group_norm", F.lit(0)).withColumn("weight_ug", F.lit(1.0))
         labels = spark.createDataFrame(list(self.labels.items()) or [("", -1)], "label string, idx int").where("idx >= 0")
         feats = F.create_map(*[x for k, v in self.features.items() for x in (F.lit(k), F.lit(v))]) if self.features else F.lit(None).cast("map<string,int>")
-        vertices = g.select("group_item", F.posexplode("labels").alias("v", "label")).join(F.broadcast(labels), "label", "left")
+        vertices = g.select("group_item", F.posexplode("labels").alias("v", "label")).join(F.broadcast(labels) if len(self.labels) <= MAX_BROADCAST else labels, "label", "left")
         cells = F.array_sort(F.collect_list(F.struct("v", "idx")))
         colors = vertices.groupBy("group_item").agg(F.when(F.bool_and(F.col("idx").isNotNull()), F.transform(cells, lambda x: x["idx"])).alias("colors"))
         g = g.join(colors, "group_item", "left").withColumn("extras", F.transform(F.coalesce("extern_feat", F.array().cast(FEATURES)), lambda f: F.struct(F.try_element_at(feats, f["name"]).alias("idx"), f["count"].alias("count"))))
@@ -73,9 +77,9 @@ class GraphModel:
         more = F.transform("extras", lambda f: F.struct((f["idx"] + n).alias("idx"), f["count"].cast("double").alias("value")))
         out = out.withColumn("cells", F.when(F.col("filter") == "NONE", F.concat(own, more)))
         out = out.withColumn("part", F.coalesce("part", F.lit(0)))
-        if self.train_rows is not None:
-            train = spark.createDataFrame([(r, k, float(v)) for r, row in enumerate(self.train_rows) for k, v in row.items()], "row_id long, idx int, value double")
-            ok = linear.in_span(long_cells(out), train)
+        if self.span is not None:
+            n_columns = len(self.span["columns"])
+            ok = linear.in_span_of(long_cells(out), self.span["columns"], np.array(self.span["norms"]), np.array(self.span["basis"], float).reshape(n_columns, -1))
             out = out.withColumn("row_id", F.struct("group_item", "part")).join(ok, "row_id", "left").drop("row_id")
             out = out.withColumn("filter", F.when((F.col("filter") == "NONE") & ~F.coalesce("in_span", F.lit(True)), "FILTER").otherwise(F.col("filter"))).drop("in_span")
         for target, c in self.coefficients.items():
@@ -131,8 +135,8 @@ def train(
         done = written(model.process(good.drop("labels", "bonds")), "vectors")
         cells = long_cells(done)
         if filtered:
-            distinct = done.where("filter = 'NONE'").select(F.array_sort("cells").alias("c")).distinct()
-            model.train_rows = [{x["idx"]: x["value"] for x in r["c"]} for r in distinct.toLocalIterator()]
+            columns, norms, basis = linear.span_basis(cells)
+            model.span = {"columns": columns, "norms": norms.tolist(), "basis": basis.tolist()}
         for t in targets:
             known = scoring.final_weights(done.where("filter = 'NONE'"))
             y = known.select(F.struct("group_item", "part").alias("row_id"), F.col("final_weight").alias("weight"), F.col(f"value_{t}").alias("y"))

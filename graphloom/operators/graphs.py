@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,36 @@ def path_fragments(vertices: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def components(vertices: DataFrame, bonds: DataFrame) -> DataFrame:
-    """graph_id, v and component, the smallest vertex it is connected with. Labels spread and are then followed at once."""
+    """graph_id, v and component, the smallest vertex it is connected with. A graph's bonds are gathered and joined in one row."""
+    v = vertices.groupBy("graph_id").agg(F.collect_list("v").alias("vs"))
+    b = bonds.groupBy("graph_id").agg(F.collect_list(F.struct("src", "trg")).alias("bonds"))
+    kind = v.schema["vs"].dataType.elementType.simpleString()
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for vs, bonds in zip(batch.column("vs").to_pylist(), batch.column("bonds").to_pylist(), strict=True):
+                up = {x: x for x in vs}
+
+                def root(x, up=up):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                for e in bonds or ():
+                    a, b = sorted((root(e["src"]), root(e["trg"])))
+                    up[b] = a
+                out.append([{"v": x, "component": root(x)} for x in vs])
+            item = batch.schema.field("vs").type.value_type
+            found = pa.array(out, pa.list_(pa.struct([("v", item), ("component", item)])))
+            yield pa.RecordBatch.from_arrays([batch.column("graph_id"), found], ["graph_id", "found"])
+
+    schema = f"graph_id {v.schema['graph_id'].dataType.simpleString()}, found array<struct<v:{kind},component:{kind}>>"
+    return v.join(b, "graph_id", "left").mapInArrow(join, schema).select("graph_id", F.inline("found"))
+
+
+def components_at_large(vertices: DataFrame, bonds: DataFrame) -> DataFrame:
+    """The same for graphs that no task holds: labels spread to neighbours and are then followed at once, round by round."""
     labels = written(vertices.select("graph_id", "v", F.col("v").alias("component")), "components")
     pairs = written(both_ways(bonds).select("graph_id", "v", "w").distinct(), "pairs")
     while True:

@@ -48,17 +48,25 @@ def _refined(colors: list[int], near: list[int]) -> list[int]:
         colors = new
 
 
+def _twins(near: list[int]) -> list[tuple[bool, int]]:
+    """For each vertex what it shares with those that it can change places with alone: neighbours, with or without itself."""
+    apart = Counter(near)
+    return [(True, m) if apart[m] > 1 else (False, m | 1 << v) for v, m in enumerate(near)]
+
+
 @remembered
-def canonical(colors: tuple[int, ...], bonds: Bonds) -> tuple[str, int]:
-    """Text `bonds;colors` that isomorphic graphs share, and the number of automorphisms.
+def canonical_order(colors: tuple[int, ...], bonds: Bonds) -> tuple[tuple[int, ...], int]:
+    """Vertices in an order in which isomorphic graphs are equal, and the number of automorphisms.
 
     Vertices are told apart by refinement; where some stay alike, each of the smallest class is singled out in turn and
-    the smallest text wins. Ways that give the winning text count the automorphisms.
+    the smallest graph wins; of vertices that can change places alone, one is singled out for all. Ways that give the
+    winning graph count the automorphisms.
     """
     n, near = len(colors), neighbors(len(colors), bonds)
-    best: list = [None, 0]
+    twin = _twins(near)
+    best: list = [None, 0, ()]
 
-    def visit(split: list[int]) -> None:
+    def visit(split: list[int], ways: int) -> None:
         split = _refined(split, near)
         sizes = Counter(split)
         cell = min((s, c) for c, s in sizes.items() if s > 1) if len(sizes) < n else None
@@ -67,16 +75,29 @@ def canonical(colors: tuple[int, ...], bonds: Bonds) -> tuple[str, int]:
             order = sorted(range(n), key=split.__getitem__)
             key = (tuple(colors[v] for v in order), tuple(edges))
             if best[0] is None or key < best[0]:
-                best[:] = [key, 1]
+                best[:] = [key, ways, tuple(order)]
             elif key == best[0]:
-                best[1] += 1
+                best[1] += ways
             return
-        for v in (v for v in range(n) if split[v] == cell[1]):
-            visit([2 * c + (w != v and c == cell[1]) for w, c in enumerate(split)])
+        alike: dict[tuple[bool, int], list[int]] = {}
+        for v in range(n):
+            if split[v] == cell[1]:
+                alike.setdefault(twin[v], []).append(v)
+        for v, *more in alike.values():
+            visit([2 * c + (w != v and c == cell[1]) for w, c in enumerate(split)], ways * (1 + len(more)))
 
-    visit(list(colors)) if n else best.__setitem__(0, ((), ()))
-    cs, es = best[0]
-    return ",".join(f"{a},{b}" for b, a in es) + ";" + ",".join(map(str, cs)), max(1, best[1])
+    if n:
+        visit(list(colors), 1)
+    return best[2], max(1, best[1])
+
+
+@remembered
+def canonical(colors: tuple[int, ...], bonds: Bonds) -> tuple[str, int]:
+    """Text `bonds;colors` that isomorphic graphs share, and the number of automorphisms."""
+    order, automorphisms = canonical_order(colors, bonds)
+    at = {v: k for k, v in enumerate(order)}
+    edges = sorted((max(at[a], at[b]), min(at[a], at[b])) for a, b in set(bonds))
+    return ",".join(f"{a},{b}" for b, a in edges) + ";" + ",".join(str(colors[v]) for v in order), automorphisms
 
 
 def induced(members: Iterable[int], colors: list[int], near: list[int]) -> tuple[tuple[int, ...], Bonds]:
@@ -156,6 +177,20 @@ def most_disjoint(covers: Iterable[Iterable[int]], exact: bool = True) -> int:
         states = following
 
 
+def overlap_clusters(sets: Iterable[Iterable[int]]) -> int:
+    """How many clusters the sets make, of those that share items, directly or through others."""
+    clusters: list[int] = []
+    for mask in (sum(1 << x for x in set(s)) for s in sets):
+        apart = []
+        for c in clusters:
+            if c & mask:
+                mask |= c
+            else:
+                apart.append(c)
+        clusters = [*apart, mask]
+    return len(clusters)
+
+
 class _Covers:
     """Rows as bit masks over columns in order of (frequency, item)."""
 

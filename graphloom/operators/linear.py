@@ -88,7 +88,11 @@ def span_basis(cells: DataFrame, tolerance: float = 1e-9) -> tuple[list[int], np
 
 def in_span(cells: DataFrame, train: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """row_id and whether the row is a combination of the training rows, up to a relative residual."""
-    idx, norm, basis = span_basis(train)
+    return in_span_of(cells, *span_basis(train), tolerance)
+
+
+def in_span_of(cells: DataFrame, idx: list[int], norm: np.ndarray, basis: np.ndarray, tolerance: float = 1e-6) -> DataFrame:
+    """The same for a span that `span_basis` has found."""
     at = {k: n for n, k in enumerate(idx)}
 
     def judge(batches):

@@ -10,20 +10,25 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.logs import normalized_logs
+from ..functions.logs import logsumexp, normalized_logs
 from ..plans.shared import written
-from .kernels import canonical, fragments_of, most_disjoint, top_n_exact_covers
+from .kernels import all_exact_covers, canonical, fragments_of, most_disjoint, top_n_exact_covers, top_p_exact_covers
 
 
-def _graph(row: dict) -> tuple[list[int], list[tuple[int, int]]]:
+#: Fragments of a model, and of a level of its search, at most.
+MAX_FRAGMENTS = 200_000
+
+
+def graph_of(row: dict) -> tuple[list[int], list[tuple[int, int]]]:
     return list(row["colors"] or ()), [(b["src"], b["trg"]) for b in row["bonds"] or ()]
 
 
-def _each(fields: list[tuple[str, pa.DataType]], kernel):
+def each(fields: list[tuple[str, pa.DataType]], kernel):
     """A mapInArrow function that gives the rows that `kernel` makes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,18 +40,23 @@ def _each(fields: list[tuple[str, pa.DataType]], kernel):
 
 
 def canonical_forms(graphs: DataFrame) -> DataFrame:
-    """graph_id, canonical text and number of automorphisms; equal graphs are worked on once."""
-    distinct = graphs.groupBy("bonds", "colors").agg(F.min("graph_id").alias("first"))
+    """graph_id, canonical text and number of automorphisms; a task works on equal graphs once, and nothing is shuffled."""
 
     def kernel(r):
-        colors, bonds = _graph(r)
+        colors, bonds = graph_of(r)
         text, n = canonical(tuple(colors), tuple(bonds))
-        yield {"first": r["first"], "bonds": r["bonds"], "colors": r["colors"], "canonical": text, "automorphisms": n}
+        yield {"graph_id": r["graph_id"], "canonical": text, "automorphisms": n}
+
+    fields = [("graph_id", pa.int64()), ("canonical", pa.string()), ("automorphisms", pa.int64())]
+    return graphs.select("graph_id", "bonds", "colors").mapInArrow(each(fields, kernel), "graph_id bigint, canonical string, automorphisms bigint")
 
-    bond = pa.list_(pa.struct([("src", pa.int32()), ("trg", pa.int32())]))
-    fields = [("first", pa.int64()), ("bonds", bond), ("colors", pa.list_(pa.int32())), ("canonical", pa.string()), ("automorphisms", pa.int64())]
-    named = distinct.mapInArrow(_each(fields, kernel), "first bigint, bonds array<struct<src:int,trg:int>>, colors array<int>, canonical string, automorphisms bigint")
-    return graphs.select("graph_id", "bonds", "colors").join(named.drop("first"), ["bonds", "colors"]).select("graph_id", "canonical", "automorphisms")
+
+def _bounded(rows: DataFrame) -> list:
+    """Rows of a model's dictionary, on the driver; too many are an error."""
+    found = rows.limit(MAX_FRAGMENTS + 1).collect()
+    if len(found) > MAX_FRAGMENTS:
+        raise ValueError(f"more than {MAX_FRAGMENTS} fragments; set a larger min_count, a limit or a smaller size")
+    return found
 
 
 def embeddings(graphs: DataFrame, most: int, accepted: frozenset[str] | None = None) -> DataFrame:
@@ -56,12 +66,12 @@ def embeddings(graphs: DataFrame, most: int, accepted: frozenset[str] | None = N
     """
 
     def kernel(r):
-        found = fragments_of(*_graph(r), most, None if accepted is None else accepted.__contains__)
+        found = fragments_of(*graph_of(r), most, None if accepted is None else accepted.__contains__)
         for text, sets in found.items():
             yield {"graph_id": r["graph_id"], "group": r["group"], "weight": r["weight"], "fragment": text, "size": len(sets[0]), "n": len(sets), "n_disjoint": most_disjoint(sets, exact=False)}
 
     fields = [("graph_id", pa.int64()), ("group", pa.int64()), ("weight", pa.float64()), ("fragment", pa.string()), ("size", pa.int32()), ("n", pa.int64()), ("n_disjoint", pa.int64())]
-    return graphs.mapInArrow(_each(fields, kernel), "graph_id bigint, `group` bigint, weight double, fragment string, size int, n bigint, n_disjoint bigint")
+    return graphs.mapInArrow(each(fields, kernel), "graph_id bigint, `group` bigint, weight double, fragment string, size int, n bigint, n_disjoint bigint")
 
 
 def most_common(graphs: DataFrame, max_size: int, limit: int | None = None, min_count: int | None = None) -> DataFrame:
@@ -77,32 +87,113 @@ def most_common(graphs: DataFrame, max_size: int, limit: int | None = None, min_
         level = found.agg(F.sum(F.col("n_disjoint") * F.col("weight")).alias("weight"), F.countDistinct("group").alias("n_groups"))
         level = level.where((F.col("size") == 1) | (F.col("n_groups") >= (min_count or 1)))
         if size < max_size:
-            accepted = frozenset(r["fragment"] for r in level.select("fragment").toLocalIterator())
+            accepted = frozenset(r["fragment"] for r in _bounded(level.select("fragment")))
     order = Window.orderBy((F.col("size") > 1).cast("int"), F.desc(F.round("weight", 9)), F.desc("n_groups"))
     ranked = level.withColumn("rank", F.rank().over(order))
     return ranked if limit is None else ranked.where((F.col("rank") <= limit) | (F.col("size") == 1))
 
 
-def partitions(graphs: DataFrame, model: dict[str, tuple[int, float]], most: int, limit: int | None = 64, max_iter: int | None = 65536, max_heap: int | None = 65536) -> DataFrame:
-    """graph_id, part, lweight and frags (id, count) of the likeliest partitions into the model's fragments.
+def partitions(
+    graphs: DataFrame,
+    model: dict[str, tuple[int, float]],
+    most: int,
+    limit: int | None = 64,
+    max_iter: int | None = 65536,
+    max_heap: int | None = 65536,
+    share: float | None = None,
+    every: bool = False,
+) -> DataFrame:
+    """graph_id, part, lweight and frags (id, count) of partitions into the model's fragments.
 
     `model` maps a fragment's text to its id and log-weight. A graph with a vertex that no fragment covers has none.
+    The likeliest come first, `limit` of them; with `share`, as many as leave at most that share of the likelihood by
+    estimate; with `every`, all there are, in no order.
     """
 
+    def search(covers: list[list[int]], costs: list[float]):
+        if every:
+            return all_exact_covers(covers)
+        if share is not None:
+            return top_p_exact_covers(covers, costs, share, max_iter, max_heap)
+        return top_n_exact_covers(covers, costs, limit, max_iter, max_heap)
+
     def kernel(r):
-        colors, bonds = _graph(r)
+        colors, bonds = graph_of(r)
         found = fragments_of(colors, bonds, most)
         rows = [(m, *model[t]) for t, sets in found.items() if t in model for m in sets]
         if not colors or {v for m, _, _ in rows for v in m} != set(range(len(colors))):
             return
         rows.sort()
-        for k, cover in enumerate(top_n_exact_covers([list(m) for m, _, _ in rows], [-w for _, _, w in rows], limit, max_iter, max_heap)):
+        for k, cover in enumerate(search([list(m) for m, _, _ in rows], [-w for _, _, w in rows])):
             used = Counter(rows[x][1] for x in cover)
             yield {"graph_id": r["graph_id"], "part": k, "lweight": sum(rows[x][2] for x in cover), "frags": [{"id": i, "n": n} for i, n in sorted(used.items())]}
 
     frag = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())]))
     fields = [("graph_id", pa.int64()), ("part", pa.int32()), ("lweight", pa.float64()), ("frags", frag)]
-    return graphs.mapInArrow(_each(fields, kernel), "graph_id bigint, part int, lweight double, frags array<struct<id:int,n:int>>")
+    return graphs.mapInArrow(each(fields, kernel), "graph_id bigint, part int, lweight double, frags array<struct<id:int,n:int>>")
+
+
+def fragment_loss(parts: DataFrame, weights: DataFrame, model: dict[str, tuple[int, float]]) -> DataFrame:
+    """id and loss: what stays of the likelihood without a fragment, less what the fragment itself costs.
+
+    Of a graph's partitions those without the fragment stay, likelier by the mass that it frees, to the power of the
+    number of their pieces; graphs add the logarithm of the sum by weight. A graph with none left makes it minus
+    infinity. The fragment's own cost is the log-likelihood of its colours, by their counts over the model's fragments.
+    `parts` is a table of `partitions`, `weights` has graph_id and weight. Sums are made in each task for all fragments,
+    which the model bounds.
+    """
+    ids = sorted(i for i, _ in model.values())
+    at, free = {i: k for k, i in enumerate(ids)}, np.zeros(len(ids))
+    for i, w in model.values():
+        free[at[i]] = math.log1p(-math.exp(w)) if w < 0 else -math.inf
+    counts = Counter(c for t in model for c in t.partition(";")[2].split(",") if c)
+    total = sum(counts.values())
+    own = {i: sum(math.log(counts[c] / total) for c in t.partition(";")[2].split(",") if c) for t, (i, _) in model.items()}
+    each_graph = parts.groupBy("graph_id").agg(F.collect_list(F.struct("lweight", "frags")).alias("parts")).join(weights.select("graph_id", "weight"), "graph_id")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(ids))
+        for b in batches:
+            for r in b.to_pylist():
+                q = np.stack([p["lweight"] - sum(f["n"] for f in p["frags"]) * free for p in r["parts"]])
+                for k, p in enumerate(r["parts"]):
+                    q[k, [at[f["id"]] for f in p["frags"]]] = -math.inf
+                top = q.max(axis=0)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found += r["weight"] * np.where(top == -math.inf, -math.inf, top + np.log(np.exp(q - top).sum(axis=0)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(found)], ["id", "loss"])
+
+    loss = each_graph.mapInArrow(sums, "id int, loss double").groupBy("id").agg(F.sum("loss").alias("loss"))
+    cost = F.create_map(*[F.lit(x) for i in ids for x in (i, own[i])]) if ids else F.create_map().cast("map<int,double>")
+    return loss.select("id", (F.col("loss") - F.element_at(cost, F.col("id"))).alias("loss"))
+
+
+def least_lossy(table: DataFrame, share: float) -> DataFrame:
+    """`table` (id, size, lweight, loss) without the share of its fragments that lose least, one at least, single vertices exempt.
+
+    The next to go has the largest loss, then the smallest log-weight, then the largest id.
+    """
+    several = table.where("size > 1")
+    n = several.agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1)).alias("_n"))
+    place = F.row_number().over(Window.orderBy(F.desc("loss"), "lweight", F.desc("id")))  # of a model's fragments, not of rows
+    gone = several.withColumn("_place", place).crossJoin(F.broadcast(n)).where("_place <= _n").select("id")
+    return table.join(gone, "id", "left_anti")
+
+
+def floored(table: DataFrame, floor: float) -> DataFrame:
+    """Log-weights of at least `floor`, which then sum to 1."""
+    raised = table.withColumn("lweight", F.greatest("lweight", F.lit(floor)))
+    total = raised.agg(F.ln(F.sum(F.exp("lweight"))).alias("_total"))
+    return raised.crossJoin(F.broadcast(total)).withColumn("lweight", F.col("lweight") - F.col("_total")).drop("_total")
+
+
+def em_step_unweighted(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`em_step` with every graph counting once, and the log-likelihood of the graphs themselves."""
+    shared = normalized_logs(parts, ["graph_id"], "lweight", "share")
+    mass = shared.select(F.exp("share").alias("m"), F.explode("frags").alias("f")).groupBy(F.col("f.id").alias("id")).agg(F.sum(F.col("m") * F.col("f.n")).alias("mass"))
+    total = mass.agg(F.sum("mass").alias("total"))
+    likelihood = logsumexp(parts, ["graph_id"], "lweight", "ll").agg(F.sum("ll").alias("log_likelihood"))
+    return mass.crossJoin(F.broadcast(total)).where("mass > 0").select("id", F.ln(F.col("mass") / F.col("total")).alias("lweight")), likelihood
 
 
 def em_step(parts: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +211,7 @@ def fit_fragments(graphs: DataFrame, max_size: int, limit: int | None = None, mi
     After the first half of the rounds the share `prune` of fragments of more than one vertex with the least weight goes.
     """
     graphs = written(graphs, "graphs")
-    rows = most_common(graphs, max_size, limit, min_count).orderBy("rank", "fragment").toLocalIterator()
+    rows = _bounded(most_common(graphs, max_size, limit, min_count).orderBy("rank", "fragment"))
     seeds = [(r["fragment"], r["size"], r["weight"]) for r in rows]
     total = sum(w for _, _, w in seeds) or 1.0
     model = {t: (k, math.log(w / total) if w else floor) for k, (t, _, w) in enumerate(seeds)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import INF, ln
@@ -71,7 +71,8 @@ def compact(rows: DataFrame, predictions: tuple[str, ...] = (), strict: bool = T
 
     Partitions of one graph are averaged by exp(lweight_part), and their log-weight is ln of the sum; graphs of one row
     are averaged by weight_ug. Rows whose filter isn't NONE take no part. Strictly, an input with a graph that has no
-    row left gives no result at all. Null log-weights give null.
+    row left gives no result at all. A null among the log-weights or predictions that are averaged makes the average null;
+    a null log-weight does so to the predictions too.
     """
     item, graph = ["group", "group_item"], ["group", "group_item", "group_norm"]
     if strict:
@@ -81,10 +82,17 @@ def compact(rows: DataFrame, predictions: tuple[str, ...] = (), strict: bool = T
     rows = rows.where("filter = 'NONE'").withColumn("_top", F.max("lweight_part").over(Window.partitionBy(*graph)))
     e = F.when(F.col("_top") == -INF, 0.0).otherwise(F.exp(F.col("lweight_part") - F.col("_top")))
     rows = rows.withColumn("_e", e)
+
+    def whole(c: str, value: Column) -> Column:
+        """`value`, null if a row of the group has none of column c."""
+        return F.when(F.count(c) == F.count(F.lit(1)), value)
+
+    weighted = [whole(p, F.sum(F.col("_e") * F.col(p)) / F.nullif(F.sum("_e"), F.lit(0.0))) for p in predictions]
     per_graph = rows.groupBy(*graph).agg(
-        (ln(F.sum("_e")) + F.max("_top")).alias("lweight_part"),
+        whole("lweight_part", ln(F.sum("_e")) + F.max("_top")).alias("lweight_part"),
         F.max("weight_ug").alias("weight_ug"),
-        *((F.sum(F.col("_e") * F.col(p)) / F.nullif(F.sum("_e"), F.lit(0.0))).alias(p) for p in predictions),
+        *(whole("lweight_part", x).alias(p) for p, x in zip(predictions, weighted, strict=True)),
     )
     share = F.sum("weight_ug")
-    return per_graph.groupBy(*item).agg(*((F.sum(F.col(c) * F.col("weight_ug")) / share).alias(c) for c in ("lweight_part", *predictions)))
+    averages = ((c, F.sum(F.col(c) * F.col("weight_ug")) / share) for c in ("lweight_part", *predictions))
+    return per_graph.groupBy(*item).agg(*(whole(c, x).alias(c) for c, x in averages))

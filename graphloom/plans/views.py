@@ -34,10 +34,10 @@ def path_bonds(vertices: DataFrame) -> DataFrame:
 
 
 def supplier_bonds(vertices: DataFrame) -> DataFrame:
-    """Path bonds and, as chords, bonds between vertices with one supplier."""
+    """Path bonds and, as chords, bonds between vertices with one supplier that aren't consecutive."""
     a, b = vertices.select("graph_id", F.col("v").alias("src"), "supplier"), vertices.select("graph_id", F.col("v").alias("trg"), "supplier")
-    chords = a.join(b, ["graph_id", "supplier"]).where("src < trg").select("graph_id", "src", "trg")
-    return path_bonds(vertices).unionAll(chords).distinct()
+    chords = a.join(b, ["graph_id", "supplier"]).where("trg - src > 1").select("graph_id", "src", "trg")
+    return path_bonds(vertices).unionAll(chords)
 
 
 def session_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

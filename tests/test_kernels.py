@@ -4,13 +4,21 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.operators.kernels import all_exact_covers, canonical, connected_sets, most_disjoint, neighbors, top_exact_covers, top_n_exact_covers, top_p_exact_covers
+from graphloom.operators.bonded import canonical_bonded, canonical_typed
+from graphloom.operators.kernels import all_exact_covers, canonical, connected_sets, most_disjoint, neighbors, overlap_clusters, top_exact_covers, top_n_exact_covers, top_p_exact_covers
 
+# Covers whose order, and whose number by share, must come out as below.
 SMALL = [[1], [2], [3], [4], [5], [6], [7], [1, 2], [1, 2, 3], [3, 4]]
 
 
 def test_exact_covers():
-    assert list(all_exact_covers([[1, 4, 7], [1, 4], [4, 5, 7], [3, 5, 6], [2, 3, 6, 7], [2, 7]])) == [[1, 3, 5]]
+    r = random.Random(3)
+    for _ in range(50):
+        covers = [r.sample(range(6), r.randint(1, 3)) for _ in range(8)]
+        items = {x for c in covers for x in c}
+        want = {s for n in range(1, 9) for s in itertools.combinations(range(8), n) if sum(len(covers[k]) for k in s) == len(items) and {x for k in s for x in covers[k]} == items}
+        assert {tuple(sorted(x)) for x in all_exact_covers(covers)} == want
+        assert {tuple(sorted(x)) for x in top_exact_covers(covers, [1.0] * 8)} == want
     found = [sorted(x) for x in top_exact_covers(SMALL, [1] * 10)]
     assert found == [[4, 5, 6, 7, 9], [3, 4, 5, 6, 8], [0, 1, 4, 5, 6, 9], [2, 3, 4, 5, 6, 7], [0, 1, 2, 3, 4, 5, 6]]
     assert [sorted(x) for x in top_n_exact_covers(SMALL, [1] * 10, 3)] == found[:3]
@@ -47,6 +55,49 @@ def test_canonical_form_does_not_depend_on_names(seed):
     assert canonical(tuple(colors), tuple(bonds)) == canonical(tuple(moved), tuple((to[i], to[j]) for i, j in bonds))
 
 
+def test_like_vertices_are_not_tried_in_turn():
+    many = tuple((i, j) for i in range(12) for j in range(i))
+    assert canonical((1,) * 12, many) == canonical((1,) * 12, many[::-1]) and canonical((1,) * 12, many)[1] == 479001600
+    assert canonical((2,) * 11, ())[1] == 39916800
+    star = tuple((0, k) for k in range(1, 10))
+    assert canonical((0,) * 10, star)[1] == 362880
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32))
+def test_automorphisms_by_all_permutations(seed):
+    r = random.Random(seed)
+    n = r.randint(1, 6)
+    colors = [r.randint(0, 1) for _ in range(n)]
+    bonds = [(i, j) for i in range(n) for j in range(i) if r.random() < 0.5]
+    pairs = {frozenset(b) for b in bonds}
+    same = sum(all(colors[p[v]] == colors[v] for v in range(n)) and {frozenset((p[a], p[b])) for a, b in bonds} == pairs for p in itertools.permutations(range(n)))
+    assert canonical(tuple(colors), tuple(bonds))[1] == same
+    assert canonical_typed(["xyz"[c] for c in colors], bonds) == canonical_typed(["xyz"[c] for c in colors], [(b, a) for a, b in bonds])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32))
+def test_bond_colored_form_does_not_depend_on_names(seed):
+    r = random.Random(seed)
+    n = r.randint(0, 6)
+    colors = [r.randint(0, 2) for _ in range(n)]
+    bonds = [(i, j, r.randint(0, 2)) for i in range(n) for j in range(i) if r.random() < 0.4]
+    to = r.sample(range(n), n)
+    moved = [0] * n
+    for i in range(n):
+        moved[to[i]] = colors[i]
+    form = canonical_bonded(colors, bonds)
+    assert form == canonical_bonded(moved, [(to[j], to[i], c) for i, j, c in bonds])
+    if bonds:
+        i, j, c = bonds[0]
+        assert canonical_bonded(colors, [(i, j, c + 5), *bonds[1:]])[0] != form[0]
+
+
+def test_overlap_clusters():
+    assert [overlap_clusters(x) for x in ([], [[1]], [[1, 2], [3, 4], [2, 3]], [[1, 2], [3, 4], [4, 5]])] == [0, 1, 1, 2]
+
+
 def test_automorphisms_and_connected_sets():
     ring = tuple((i, (i + 1) % 6) for i in range(6))
     assert canonical((0,) * 6, ring)[1] == 12

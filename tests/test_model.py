@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.cli import evaluate
 from graphloom.model import GraphModel, train
 
+# Rows and a query whose information and prediction must come out as below.
 ROWS = [
     (0, 1, 0.5, '0,1;["A","A"]', -20.24), (1, 2, 1.0, '0,1,1,2;["A","B","A"]', -24.82), (2, 3, 1.0, '0,1,1,2,2,3;["A","B","B","A"]', -30.15),
     (3, 4, 1.0, '0,1,1,2;["A","C","D"]', -56.2), (4, 5, 1.0, '0,1,1,2,2,3;["D","C","C","D"]', -92.4), (5, 6, 1.0, '0,1,1,2,2,3,3,4;["D","C","B","C","D"]', -104.04),

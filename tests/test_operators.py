@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,22 +9,25 @@ from graphloom.operators import dictionary, graphs, mining, scoring
 from graphloom.sources import tables
 from graphloom.streaming import scoring as streaming
 
-CASES = [
-    ("1,4,E 0,1,E 1,2,A 3,3,A 1,2,B 3,0,A 1,2,E 2,4,C 4,0,D 0,2,B", {1: "ABECD", 2: "ABE", 3: ""}),
-    ("1,4,D 0,0,E 0,3,D 3,2,A 4,3,E 0,4,D 0,4,D 4,4,C 2,1,E 2,2,B", {1: "EDABC", 2: "ED", 3: "E", 4: ""}),
-    ("3,3,D 0,0,D 1,1,C 0,0,E 1,1,E 2,2,B 4,4,D 4,4,B 2,2,A 1,1,A", {1: "DABEC", 2: ""}),
-    ("4,4,E 1,1,B 1,1,C 3,3,C 4,4,A 3,3,E 2,2,C 2,2,E 3,3,B 4,4,D", {1: "CEBAD", 2: "CBE", 3: ""}),
-]
+def largest_without_rare(rows, k):
+    """What is left when items with a label of fewer than k groups go, again and again."""
+    while True:
+        groups = {}
+        for g, _, x in rows:
+            groups.setdefault(x, set()).add(g)
+        bad = {(g, i) for g, i, x in rows if len(groups[x]) < k}
+        if not bad:
+            return {x: len(g) for x, g in groups.items()}
+        rows = [r for r in rows if r[:2] not in bad]
 
 
-@pytest.mark.parametrize("text, expected", CASES)
-def test_cascade(spark, text, expected):
-    rows = [(int(g), int(i), x) for g, i, x in (r.split(",") for r in text.split())]
-    occ = spark.createDataFrame(rows, "group int, item int, label string")
-    for k, want in expected.items():
-        left = dictionary.mincount_cascade(occ, k)
-        ranked = left.groupBy("label").agg(F.countDistinct("group").alias("n")).orderBy(F.desc("n"), "label").collect()
-        assert "".join(r["label"] for r in ranked) == want
+def test_cascade(spark):
+    r = random.Random(11)
+    for k in (0, 1, 2, 3, 4):
+        rows = [(g, i, x) for g in range(7) for i in range(3) for x in r.sample("ABCDEFGH", r.randint(1, 3))]
+        left = dictionary.mincount_cascade(spark.createDataFrame([*rows, rows[0]], "group int, item int, label string"), k)
+        got = {x["label"]: x["n"] for x in left.groupBy("label").agg(F.countDistinct("group").alias("n")).collect()}
+        assert got == largest_without_rare(rows, k)
 
 
 @pytest.mark.parametrize(
@@ -63,6 +67,10 @@ def test_compact(spark):
     df = spark.createDataFrame(rows, "group int, group_item int, group_norm int, weight_ug double, lweight_part double, pred_x double, filter string")
     strict = scoring.compact(df, ("pred_x",)).collect()
     assert [r["group_item"] for r in strict] == [2] and strict[0]["lweight_part"] is None
+    mixed = df.where("group_item = 1").withColumn("lweight_part", F.expr("nullif(lweight_part, 0.0)"))
+    assert [tuple(r)[2:] for r in scoring.compact(mixed, ("pred_x",), strict=False).collect()] == [(None, None)]
+    between = spark.createDataFrame([(1, 1, 0, 1.0, -1.0, 2.0, "NONE"), (1, 1, 1, 1.0, 0.0, None, "NONE")], df.schema)
+    assert [tuple(r)[2:] for r in scoring.compact(between, ("pred_x",)).collect()] == [(-0.5, None)]
     loose = {r["group_item"]: r for r in scoring.compact(df, ("pred_x",), strict=False).collect()}
     assert math.isclose(loose[1]["pred_x"], 3.0) and math.isclose(loose[1]["lweight_part"], math.log(4 / 3))
 
@@ -80,8 +88,9 @@ def test_mining(spark):
 def test_components_and_ties(spark):
     v = spark.createDataFrame([(0, k) for k in range(9)] + [(1, 0)], "graph_id long, v int")
     b = spark.createDataFrame([(0, k, k + 1) for k in range(5)] + [(0, 7, 8)], "graph_id long, src int, trg int")
-    got = {(r["graph_id"], r["v"]): r["component"] for r in graphs.components(v, b).collect()}
-    assert got == {**{(0, k): 0 for k in range(6)}, (0, 6): 6, (0, 7): 7, (0, 8): 7, (1, 0): 0}
+    for find in (graphs.components, graphs.components_at_large):
+        got = {(r["graph_id"], r["v"]): r["component"] for r in find(v, b).collect()}
+        assert got == {**{(0, k): 0 for k in range(6)}, (0, 6): 6, (0, 7): 7, (0, 8): 7, (1, 0): 0}
     t = spark.createDataFrame([(x,) for x in (9, 9, 9, 6, 5)], "n int")
     assert [graphs.top_with_ties(t, k, "n").count() for k in (0, 1, 3, 4)] == [0, 3, 3, 4]
 
