@@ -24,3 +24,22 @@ def permute(m: Column, values: Column) -> Column:
 
 def is_permutation(m: Column) -> Column:
     return F.coalesce(F.array_sort(m) == F.transform(F.array_sort(m), lambda x, i: i), F.lit(False))
+
+
+def identity(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def identity_minus(n: Column, i: Column) -> Column:
+    """The identity of n places without the one to i."""
+    return F.filter(identity(n), lambda x: x != i)
+
+
+def append(m: Column, i: Column) -> Column:
+    """One place more, which is mapped to i."""
+    return F.concat(m, F.array(i.cast("int")))
+
+
+def subst(m: Column, place: Column, i: Column) -> Column:
+    """`place` mapped to i instead."""
+    return F.transform(m, lambda x, k: F.when(k == place, i.cast("int")).otherwise(x))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import graphtext
-from .functions.features import FEATURES, STATES
+from .functions.features import FEATURES, STATES, state_rank
 from .operators import dictionary, linear, mining, scoring
 from .plans.shared import written
 from .sources.tables import read_json, write_json
@@ -33,12 +33,12 @@ class GraphModel:
     coefficients: dict[str, dict[int, float]] = field(default_factory=dict)
     span: dict[str, list] | None = None
 
-    def save(self, path: str) -> None:
-        write_json({"type": "graph-model-1", "data": asdict(self)}, path)
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        write_json({"type": "graph-model-1", "data": asdict(self)}, path, spark)
 
     @staticmethod
-    def load(path: str) -> GraphModel:
-        found = read_json(path)
+    def load(path: str, spark: SparkSession | None = None) -> GraphModel:
+        found = read_json(path, spark)
         if found.get("type") != "graph-model-1":
             raise ValueError(f"no model of a known type: {found.get('type')!r}")
         d = found["data"]
@@ -88,6 +88,22 @@ class GraphModel:
             out = out.withColumn(f"pred_{target}", F.when(F.col("filter") == "NONE", total))
         return out.drop("lweight", "frags", "extras", "bonds", "labels", "colors")
 
+    def explain(self, rows: DataFrame) -> DataFrame:
+        """group_item, filter and reason of each input: what stopped it, in words; null for those that nothing stopped."""
+        known = F.array(*map(F.lit, sorted(self.labels))).cast("array<string>")
+        done = self.process(rows).groupBy("group_item").agg(F.max_by("filter", state_rank(F.col("filter"))).alias("filter"))
+        found = parsed(rows if "extern_feat" in rows.columns else rows.withColumn("extern_feat", F.lit(None).cast(FEATURES)))
+        unknown = F.array_sort(F.array_except(F.coalesce("labels", F.array().cast("array<string>")), known))
+        named = found.select("group_item", unknown.alias("unknown"), F.array_sort(F.array_distinct("labels")).alias("labels"))
+        says = (
+            F.when(F.col("filter") == "PARSE", "no graph text, or bonds beyond its vertices")
+            .when((F.col("filter") == "COLOR") & (F.size("unknown") > 0), F.concat(F.lit("unknown labels: "), F.array_join("unknown", ", ")))
+            .when(F.col("filter") == "COLOR", "unknown features")
+            .when(F.col("filter") == "PARTITION", F.concat(F.lit("no partition into known fragments of: "), F.array_join("labels", ", ")))
+            .when(F.col("filter") == "FILTER", "outside the span of the training rows")
+        )
+        return done.join(named, "group_item").select("group_item", "filter", says.alias("reason"))
+
     def evaluate(self, rows: DataFrame, strict: bool = True) -> DataFrame:
         """One row per input: information (lweight_part) and predictions over all its partitions."""
         return scoring.compact(self.process(rows), tuple(f"pred_{t}" for t in self.coefficients), strict)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.logs import logsumexp, normalized_logs
+from ..functions.logs import logsumexp, normalized_logs, shares_of_counts
 from ..plans.shared import written
 from .kernels import all_exact_covers, canonical, fragments_of, most_disjoint, top_n_exact_covers, top_p_exact_covers
 
@@ -187,6 +187,18 @@ def floored(table: DataFrame, floor: float) -> DataFrame:
     return raised.crossJoin(F.broadcast(total)).withColumn("lweight", F.col("lweight") - F.col("_total")).drop("_total")
 
 
+def subset(table: DataFrame, keep: str) -> DataFrame:
+    """The fragments for which the condition holds, their log-weights to sum to 1 again."""
+    return floored(table.where(keep), -math.inf)
+
+
+def color_likelihoods(fragments: DataFrame) -> DataFrame:
+    """fragment and lweight, the log-likelihood of its colours by their counts over all the fragments."""
+    colors = fragments.select("fragment", F.posexplode(F.split(F.element_at(F.split("fragment", ";"), -1), ",")).alias("place", "color"))
+    shares = shares_of_counts(colors.groupBy("color").agg(F.count(F.lit(1)).alias("n")), "n", "share")
+    return colors.join(F.broadcast(shares), "color").groupBy("fragment").agg(F.sum("share").alias("lweight"))
+
+
 def em_step_unweighted(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`em_step` with every graph counting once, and the log-likelihood of the graphs themselves."""
     shared = normalized_logs(parts, ["graph_id"], "lweight", "share")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import path_queries  # noqa: F401 (registers its queries)
+from . import path_queries, table_queries  # noqa: F401 (these register their queries)
 from .catalog import CHORDS, FREQ, NEAR, ORACLE_SQL, OV, PATH, QUERIES, query  # noqa: F401
 from .catalog import order_lines as _ov
 from .catalog import rounded as _r
@@ -435,13 +435,24 @@ def tune_model(spark, sf_dir) -> DataFrame:
     return mining.model_table(spark, mining.fit_fragments(_order_graphs(spark, sf_dir), 2, limit=20, min_count=5, rounds=3, prune=0.2))
 
 
-@query()
+def _solved_sql() -> str:
+    """Elimination of six columns, one step each; column 9 is the right side."""
+    steps = [f"""{_CELLS}, w AS (SELECT graph_id AS row_id, any_value(weight) AS weight FROM ov GROUP BY graph_id), k AS (SELECT c.*, weight, o_totalprice / 1000 AS y FROM c JOIN w USING (row_id) JOIN orders ON o_orderkey = row_id),
+a0 AS (SELECT a.idx AS i, b.idx AS j, sum(a.value * b.value * a.weight) AS v FROM k a JOIN k b USING (row_id) GROUP BY ALL UNION ALL SELECT idx, 9, sum(value * weight * y) FROM k GROUP BY idx)"""]
+    for p in range(6):
+        steps.append(f"""a{p + 1} AS (SELECT x.i, x.j, CASE WHEN x.i = {p} THEN x.v / d.v ELSE x.v - coalesce(l.v, 0) * coalesce(r.v, 0) / d.v END AS v
+FROM a{p} x JOIN a{p} d ON d.i = {p} AND d.j = {p} LEFT JOIN a{p} l ON l.i = x.i AND l.j = {p} LEFT JOIN a{p} r ON r.i = {p} AND r.j = x.j)""")
+    return f"WITH {', '.join(steps)} SELECT i AS idx, round(v, 4) AS coef FROM a6 WHERE j = 9"
+
+
+@query(_solved_sql())
 def weighted_least_squares(spark, sf_dir) -> DataFrame:
     coef = linear.least_squares(_cells(spark, sf_dir), _targets(spark, sf_dir))
-    return spark.createDataFrame(sorted(coef.items()), "idx int, coef double")
+    return spark.createDataFrame(sorted(coef.items()), "idx int, coef double").withColumn("coef", _r("coef", 4))
 
 
-@query()
+@query(f"WITH {_CELLS} SELECT row_id, bool_and(idx < 4) AS in_span FROM c GROUP BY row_id")
 def in_span_filter(spark, sf_dir) -> DataFrame:
+    """Of rows of all labels, those in the span of what the first four labels give; there, they span all four columns."""
     cells = _cells(spark, sf_dir)
     return linear.in_span(cells, cells.where("idx < 4"))

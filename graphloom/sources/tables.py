@@ -38,10 +38,15 @@ def save_table(df: DataFrame, path: str, keyword: str | None = None, one_file: b
         out.csv(path, sep="\t" if kind == "tsv" else ",", header=True, escape='"')
 
 
-def write_json(value: Any, path: str) -> None:
-    """One JSON value, compressed."""
-    Path(path).write_bytes(zlib.compress(json.dumps(value).encode("utf-8")))
+def write_json(value: Any, path: str, spark: SparkSession | None = None) -> None:
+    """One JSON value, compressed; with a session, where Spark writes (one row of a table), else in a local file."""
+    data = zlib.compress(json.dumps(value).encode("utf-8"))
+    if spark is None:
+        Path(path).write_bytes(data)
+    else:
+        spark.createDataFrame([(bytearray(data),)], "value binary").coalesce(1).write.parquet(path)
 
 
-def read_json(path: str) -> Any:
-    return json.loads(zlib.decompress(Path(path).read_bytes()))
+def read_json(path: str, spark: SparkSession | None = None) -> Any:
+    data = Path(path).read_bytes() if spark is None else bytes(spark.read.parquet(path).first()["value"])
+    return json.loads(zlib.decompress(data))
