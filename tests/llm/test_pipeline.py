@@ -62,3 +62,17 @@ def test_entry():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_pipeline_of_nothing_and_repeats(spark, tmp_path):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int"
+    text = "\n".join(f"the w{k} a{k} b{k}" for k in range(60))
+    other = "\n".join(f"the v{k} c{k} d{k}" for k in range(60))
+    for name, rows, want in (("none", [], []), ("some", [(1, text, "en", "a", 1, "r", 2)] * 3 + [(None, other, None, None, None, None, None)] * 2, [1, None])):
+        path = tmp_path / name
+        spark.createDataFrame(rows, cols).write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+        found = corpus_pipeline.run(spark, str(path)).collect()
+        # rows without an id all stay, though the passages that they share go
+        assert sorted({r["doc_id"] for r in found}, key=repr) == want
+        assert sum(r["doc_id"] is None for r in found) == (2 if rows else 0)
