@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -19,6 +20,17 @@ from .sources.tables import read_json, write_json
 MAX_BROADCAST = 1_000_000
 
 
+@dataclass(frozen=True)
+class Stages:
+    """What may be replaced in `GraphModel.process`: each takes and returns a table, as the function that stands here does."""
+
+    parse: Callable[[DataFrame], DataFrame] | None = None
+    color: Callable[[DataFrame], DataFrame] | None = None
+    partition: Callable[..., DataFrame] = mining.partitions
+    in_span: Callable[..., DataFrame] = linear.in_span_of
+    predict: Callable[[DataFrame], DataFrame] | None = None
+
+
 @dataclass
 class GraphModel:
     """Label and feature dictionaries, fragments by canonical text with id and log-weight, and linear coefficients.
@@ -47,16 +59,18 @@ class GraphModel:
         d["coefficients"] = {t: ints(c) for t, c in d["coefficients"].items()}
         return GraphModel(**d)
 
-    def process(self, rows: DataFrame) -> DataFrame:
+    def process(self, rows: DataFrame, stages: Stages = Stages()) -> DataFrame:
         """One row per input and partition: group_item, filter, lweight_part, cells (idx, value) and pred_<target>.
 
         `rows` has group_item (a long that tells rows apart), group, data (labelled graph text) and may have
         extern_feat. A row that fails keeps its place with the state of the stage that stopped it and null results.
+        `stages` may replace the parser (see `parsed`), change what colouring or prediction has made, and replace the
+        partition search and the span test.
         """
         spark = rows.sparkSession
         if "extern_feat" not in rows.columns:
             rows = rows.withColumn("extern_feat", F.lit(None).cast(FEATURES))
-        g = parsed(rows).withColumn("group_norm", F.lit(0)).withColumn("weight_ug", F.lit(1.0))
+        g = (stages.parse or parsed)(rows).withColumn("group_norm", F.lit(0)).withColumn("weight_ug", F.lit(1.0))
         labels = spark.createDataFrame(list(self.labels.items()) or [("", -1)], "label string, idx int").where("idx >= 0")
         feats = F.create_map(*[x for k, v in self.features.items() for x in (F.lit(k), F.lit(v))]) if self.features else F.lit(None).cast("map<string,int>")
         vertices = g.select("group_item", F.posexplode("labels").alias("v", "label")).join(F.broadcast(labels) if len(self.labels) <= MAX_BROADCAST else labels, "label", "left")
@@ -65,8 +79,9 @@ class GraphModel:
         g = g.join(colors, "group_item", "left").withColumn("extras", F.transform(F.coalesce("extern_feat", F.array().cast(FEATURES)), lambda f: F.struct(F.try_element_at(feats, f["name"]).alias("idx"), f["count"].alias("count"))))
         unknown = (F.size("labels") > 0) & F.col("colors").isNull() | F.exists("extras", lambda f: f["idx"].isNull())
         g = g.withColumn("filter", F.when((F.col("filter") == "NONE") & unknown, "COLOR").otherwise(F.col("filter")))
+        g = stages.color(g) if stages.color else g
         good = g.where("filter = 'NONE'").select(F.col("group_item").alias("graph_id"), "bonds", "colors")
-        n, parts = len(self.fragments), mining.partitions(good.where("size(colors) > 0"), self.fragments, self.max_size).withColumnRenamed("graph_id", "group_item")
+        n, parts = len(self.fragments), stages.partition(good.where("size(colors) > 0"), self.fragments, self.max_size).withColumnRenamed("graph_id", "group_item")
         out = g.join(parts, "group_item", "left")
         # a row without a graph but with features has one partition, of log-weight 0
         bare = (F.col("filter") == "NONE") & (F.coalesce(F.size("labels"), F.lit(0)) == 0)
@@ -79,13 +94,14 @@ class GraphModel:
         out = out.withColumn("part", F.coalesce("part", F.lit(0)))
         if self.span is not None:
             n_columns = len(self.span["columns"])
-            ok = linear.in_span_of(long_cells(out), self.span["columns"], np.array(self.span["norms"]), np.array(self.span["basis"], float).reshape(n_columns, -1))
+            ok = stages.in_span(long_cells(out), self.span["columns"], np.array(self.span["norms"]), np.array(self.span["basis"], float).reshape(n_columns, -1))
             out = out.withColumn("row_id", F.struct("group_item", "part")).join(ok, "row_id", "left").drop("row_id")
             out = out.withColumn("filter", F.when((F.col("filter") == "NONE") & ~F.coalesce("in_span", F.lit(True)), "FILTER").otherwise(F.col("filter"))).drop("in_span")
         for target, c in self.coefficients.items():
             weights = F.create_map(*[x for k, v in c.items() for x in (F.lit(k), F.lit(v))])
             total = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at(weights, x["idx"]), F.lit(0.0)))
             out = out.withColumn(f"pred_{target}", F.when(F.col("filter") == "NONE", total))
+        out = stages.predict(out) if stages.predict else out
         return out.drop("lweight", "frags", "extras", "bonds", "labels", "colors")
 
     def explain(self, rows: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.cli import evaluate
-from graphloom.model import GraphModel, train
+from graphloom.cli import evaluate, main
+from graphloom.model import GraphModel, Stages, parsed, train
+from graphloom.operators import mining
 
 # Rows and a query whose information and prediction must come out as below.
 ROWS = [
@@ -51,3 +52,25 @@ def test_features_and_weights(spark):
     assert set(got) == {0, 1, 2} and all(math.isclose(got[k], v, rel_tol=1e-6) for k, v in {0: 3.0, 1: 5.0, 2: 1.0}.items())
     states = {r["group_item"]: r["filter"] for r in model.process(rows).collect()}
     assert states == {0: "NONE", 1: "NONE", 2: "NONE", 3: "PARSE"}
+
+
+def test_command_line(spark, rows, tmp_path, capsys):
+    rows.drop("group_item").coalesce(1).write.csv(str(tmp_path / "in.csv"), header=True, escape='"')
+    path, model = str(tmp_path / "in.csv"), str(tmp_path / "model")
+    assert main(["train", path, model, "--group-column", "group", "--target-column", "value_h"]) == 0
+    assert main(["map", model, path, str(tmp_path / "out.parquet"), "--compact", "--group-column", "group"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out.parquet")).count() == 6
+    capsys.readouterr()
+    assert main(["eval", "filter", model, BUTANOL]) == 0 and "NONE" in capsys.readouterr().out
+    assert main(["eval", "info", model, ';["unknown"]']) == 1
+
+
+def test_replaced_stages(spark):
+    model = GraphModel({"A": 0}, {}, {";0": (0, -1.0)}, 1, {"y": {0: 2.0}})
+    data = spark.createDataFrame([(0, 0, "A A A"), (1, 1, "B")], "group_item long, group long, data string")
+    as_labels = lambda df: parsed(df.withColumn("data", F.concat(F.lit(";"), F.to_json(F.split("data", " ")))))
+    half = lambda df: df.withColumn("pred_y", F.col("pred_y") / 2)
+    first = lambda *x: mining.partitions(*x, limit=1)
+    got = {r["group_item"]: (r["filter"], r["lweight_part"], r["pred_y"]) for r in model.process(data, Stages(as_labels, partition=first, predict=half)).collect()}
+    assert got == {0: ("NONE", -3.0, 3.0), 1: ("COLOR", None, None)}
+    assert {r["group_item"]: r["filter"] for r in model.process(data).collect()} == {0: "PARSE", 1: "PARSE"}
