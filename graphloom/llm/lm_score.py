@@ -6,7 +6,8 @@ the context without its first word (the divergence test). A word's probability c
 history; each context's distribution is smoothed towards its parent's by its number of distinct next words.
 
 All counts are taken over all training texts: chunks send their distinct events to buckets of event hashes, and get
-the totals back in the same order. Words and sequences of words are told apart by hashes, in buckets by 56 bits of them.
+the totals back in the same order. An event whose shorter one, without the first word, stands in one chunk alone can
+stand nowhere else, so that chunk counts it for itself. Words and sequences of words are told apart by hashes, in buckets by 56 bits of them.
 """
 
 from __future__ import annotations
@@ -50,14 +51,15 @@ def context_level(depth: int) -> int:
 class _Places:
     """The places of a chunk that follow a context of some depth, and the sequences of context and word there."""
 
-    def __init__(self, at: np.ndarray, before: np.ndarray | None, sequence: np.ndarray):
+    def __init__(self, at: np.ndarray, before: np.ndarray | None, sequence: np.ndarray, shorter_alone: np.ndarray | None = None):
         #: Token numbers, and for each the place, one level up, of the last word of its context.
         self.at, self.before = at, before
         self.events, self.event = np.unique(sequence, return_inverse=True)
-        self.n = self.first_here = np.empty(0)
-
-    def sequence(self) -> np.ndarray:
-        return self.events[self.event]
+        #: Events that other chunks may have too.
+        self.shared = np.ones(len(self.events), bool)
+        if shorter_alone is not None:
+            self.shared[self.event] = ~shorter_alone
+        self.n = self.first_here = self.alone = np.empty(0)
 
 
 class _Chunk:
@@ -80,20 +82,28 @@ class _Chunk:
             words = answers.slice(answers.column("level").to_pylist().index(0), 1)
             self.tokens, self.z = words.column("tokens")[0].as_py(), words.column("tokens")[0].as_py() + 0.5 * (words.column("known")[0].as_py() + 1)
 
-    def _back(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+    def _back(self, level: int, n_flags: int) -> tuple[np.ndarray, ...]:
         """Numbers and flags that have come back for a level's values, in their order."""
-        numbers, flags = [np.empty(0, np.int64)], [np.empty(0, bool)]
+        columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)], *([np.empty(0, bool)] for _ in range(n_flags))]
         for _, data in sorted(self.answers.get(level, {}).items()):
             n, at = unpack_counts(data)
-            numbers.append(n)
-            flags.append(unbits(data[at:], len(n)))
-        return np.concatenate(numbers), np.concatenate(flags)
+            columns[0].append(n)
+            width = (len(n) + 7) // 8
+            for k in range(n_flags):
+                columns[1 + k].append(unbits(data[at + k * width : at + (k + 1) * width], len(n)))
+        return tuple(np.concatenate(c) for c in columns)
+
+    def own(self, places: _Places) -> np.ndarray:
+        """How often each event stands in this chunk's training texts."""
+        return np.bincount(places.event, self.train[places.at], len(places.events)).astype(np.int64)
 
     def words(self) -> _Places:
         return _Places(np.arange(len(self.h)), None, self.h)
 
     def counted(self, places: _Places, depth: int) -> _Places:
-        n, places.first_here = self._back(counts_level(depth))
+        n = self.own(places)
+        places.first_here, places.alone = n > 0, np.ones(len(n), bool)
+        n[places.shared], places.first_here[places.shared], places.alone[places.shared] = self._back(counts_level(depth), 2)
         places.n = n[places.event].astype(float)
         return places
 
@@ -107,7 +117,7 @@ class _Chunk:
         at = at[places.n[before[at]] >= self.least]
         before = before[at]
         with np.errstate(over="ignore"):
-            return _Places(at, before, mix(places.events[places.event[before]] * _STEP + self.h[at]))
+            return _Places(at, before, mix(places.events[places.event[before]] * _STEP + self.h[at]), places.alone[places.event[where[at]]])
 
     def blobs(self, chunk: int, level: int, values: np.ndarray, n_buckets: int, pack: Callable[[int, int], bytes]) -> pa.Table:
         ends = bucket_ends(values, n_buckets)
@@ -123,8 +133,8 @@ class _Chunk:
         )
 
     def ask_counts(self, chunk: int, depth: int, places: _Places, n_buckets: int) -> pa.Table:
-        n = np.bincount(places.event, self.train[places.at], len(places.events)).astype(np.int64)
-        return self.blobs(chunk, counts_level(depth), places.events, n_buckets, lambda a, z: pack_counts(n[a:z]))
+        n = self.own(places)[places.shared]
+        return self.blobs(chunk, counts_level(depth), places.events[places.shared], n_buckets, lambda a, z: pack_counts(n[a:z]))
 
     def contexts(self, places: _Places, parents: _Places) -> tuple[np.ndarray, np.ndarray]:
         """Distinct contexts, and the context of each place."""
@@ -151,7 +161,7 @@ class _Chunk:
 
     def judged(self, depth: int, places: _Places, parents: _Places, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities under the contexts, smoothed towards `p`, and which contexts are nodes, by place."""
-        types, kept = self._back(context_level(depth))
+        types, kept = self._back(context_level(depth), 1)
         _, context = self.contexts(places, parents)
         share = types[context]
         return (places.n + share * p[places.at]) / np.maximum(parents.n[places.before] + share, 1e-9), kept[context]
@@ -214,17 +224,18 @@ def lm_score(
             every = np.zeros(len(first), np.int64)
             every[group] = n
             gain, single, types = (np.bincount(group, x, len(first)) for x in (gain, single, types))
-            numbers, flags = types.astype(np.int64)[group], _judge(every, gain, single, types, min_gain)[group]
+            numbers, flags = types.astype(np.int64)[group], [_judge(every, gain, single, types, min_gain)[group]]
         else:
             n = np.concatenate([unpack_counts(d.as_py())[0] for d in table.column("data")])
             sums = np.add.reduceat(n[order], first)
             numbers = sums[group]
             # of the chunks with an event in training the first counts it as a distinct one
             at = np.minimum.reduceat(np.where(n[order] > 0, np.arange(len(n)), len(n)), first)
-            flags = np.zeros(len(n), bool)
-            flags[order[at[at < len(n)]]] = True
+            leads = np.zeros(len(n), bool)
+            leads[order[at[at < len(n)]]] = True
+            flags = [leads, (np.diff(np.append(first, len(k))) == 1)[group]]
             tokens, known = int(sums.sum()), int((sums > 0).sum())
-        back = [pack_counts(numbers[e - len(x) : e]) + bits(flags[e - len(x) : e]) for e, x in zip(ends, parts, strict=True)]
+        back = [pack_counts(numbers[e - len(x) : e]) + b"".join(bits(f[e - len(x) : e]) for f in flags) for e, x in zip(ends, parts, strict=True)]
         out = {"chunk": table.column("chunk").to_pylist(), "level": [level] * rows, "bucket": table.column("bucket").to_pylist(), "data": back}
         out["tokens"] = out["known"] = [0] * rows
         if not level:  # and a row of its own for the bucket's training tokens and distinct ones
