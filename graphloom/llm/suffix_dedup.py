@@ -18,7 +18,7 @@ from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
 #: Less than elsewhere, as arrays here have an entry for each byte.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20
 #: Segments around one anchor that go to one shard; of an anchor with more, each window goes by its own hash.
 HOT_SEGMENTS = 1 << 14
 ANCHOR = 16
@@ -215,10 +215,11 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         body = np.ones(len(text), bool)
         body[stop] = False
         text[body] = np.frombuffer(b"".join(known), np.uint8).astype(np.uint16) + 1
+        del known, raw, body
         keys = sort_keys(text)
         order = two_stage_order(text, keys, window)
         room = np.repeat(stop.astype(np.int32), lengths + 1) - np.arange(len(text), dtype=np.int32)
-        segment = np.repeat(np.arange(len(known), dtype=np.int32), lengths + 1)
+        segment = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
         order = order[room[order] >= window]
         group = np.cumsum(~common_prefix_reaches(order, text, keys, window)) - 1
         smallest = np.full(int(group[-1]) + 1, _NO_ID)

@@ -14,10 +14,11 @@ PER_KEY = 7
 
 def sort_keys(text: np.ndarray) -> np.ndarray:
     """For each place the next PER_KEY symbols as one number; beyond the end there are zeros."""
-    padded = np.concatenate([text, np.zeros(PER_KEY, text.dtype)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(PER_KEY, text.dtype)])
     key = np.zeros(len(text), np.uint64)
     for k in range(PER_KEY):
-        key = key << np.uint64(9) | padded[k : k + len(text)]
+        key <<= np.uint64(9)
+        key |= padded[k : k + len(text)]
     return key
 
 
@@ -27,8 +28,8 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
         return np.empty(0, bool)
     rises = np.append(text[:-1] < text[1:], True)
     differs = np.append(text[:-1] != text[1:], True)
-    at = np.flatnonzero(differs)
-    return rises[at[np.searchsorted(at, np.arange(len(text)))]]
+    at = np.flatnonzero(differs)  # a run of equal symbols goes by its last one
+    return np.repeat(rises[at], np.diff(at, prepend=-1))
 
 
 def _sort_directly(places: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
