@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, jaccard_join, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_chat_format": chat_format.op11_chat_format,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_suffix_array_dedup": suffix_dedup.OP9_SQL,
+    "op11_chat_format": chat_format.OP11_SQL,
 }
