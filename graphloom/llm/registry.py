@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_chat_format": chat_format.op11_chat_format,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op9_suffix_array_dedup": suffix_dedup.OP9_SQL,
     "op11_chat_format": chat_format.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm.chat_format import END, SAYS, TURN, chat_examples, digests, escaped, read_back, unescaped
+from graphloom.llm.prefix_trie import prefix_trie, rebuilt
 
 SCHEMA = "conv_id long, turn long, role string, text string, example string, piece long, n int, whole string, path string, block int"
 
@@ -106,3 +109,67 @@ def test_chat_digests(table, turns):
 def test_no_conversations(table):
     none = table.where("1 = 0")
     assert chat_examples(none).collect() == [] and digests(read_back(chat_examples(none))).collect() == []
+
+
+def trie_by_hand(lists: dict[int, list[tuple[str, str]]]) -> set[tuple]:
+    """The nodes of a trie of dictionaries."""
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, said in sorted(lists.items()):
+        for d in range(len(said) + 1):
+            members[tuple(said[:d])].append(c)
+        ends[tuple(said)].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+        saved[node] = sum(saved[x] for x in children[node]) + (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+    return {
+        (members[x][0], len(x), members[x[:-1]][0] if x else None, len(members[x]), len(children[x]), leaves[x], saved[x], sha(",".join(map(str, ends[x]))))
+        for x in members
+    }
+
+
+def by_digest(role: str, text: str) -> str:
+    return hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+
+
+def rebuilt_by_hand(turns):
+    own = conversations([t for t in turns if t[0] is not None], by_digest)
+    lists = {}
+    for c, said in own.items():
+        h, base = zlib.crc32(str(c).encode()) % 6, c - (c - c // 100 * 100 if c >= 0 else -(-c - -c // 100 * 100))
+        lists[c] = own.get(base, [])[:h] + said[h:]
+    return lists
+
+
+def test_trie_of_conversations(spark, table, turns):
+    want = trie_by_hand(rebuilt_by_hand(turns))
+    got = [tuple(r) for r in prefix_trie(rebuilt(table)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("block_turns", [3, 60])
+def test_trie_over_blocks(spark, block_turns):
+    """Blocks smaller than groups of copies, in several rounds of merging."""
+    r = random.Random(block_turns)
+    lists = {}
+    for k in range(330):
+        said = [("r", r.choice("abc") * r.randint(1, 2)) for _ in range(r.choice((0, 1, 2, 2, 3, 5)))]
+        lists[k * 7 - 300] = [("r", "copy"), ("r", "again")] if k % 3 == 0 else said
+    lists[5] = [("r", "deep")] * 200
+    lists[6] = [("r", "deep")] * 150 + [("r", "end")]
+    table = spark.createDataFrame([(c, [by_digest(*t) for t in said], [len(t[1]) for t in said]) for c, said in lists.items()], "conv_id long, digests array<string>, chars array<int>")
+    sequences = table.select("conv_id", F.unhex(F.array_join("digests", "")).alias("path"), "chars", F.lit("x").alias("key"))
+    got = [tuple(r) for r in prefix_trie(sequences, block_turns).collect()]
+    assert len(got) == len(set(got)) and set(got) == trie_by_hand(lists)
+
+
+def test_trie_of_nothing(spark, table):
+    assert prefix_trie(rebuilt(table.where("1 = 0"))).collect() == []
+    assert prefix_trie(rebuilt(table.where("conv_id IS NULL"))).collect() == []
+    one = spark.createDataFrame([(101, None, None, None)], "conv_id long, turn long, role string, text string")
+    h = zlib.crc32(b"101") % 6
+    assert sorted(tuple(r)[:7] for r in prefix_trie(rebuilt(one)).collect()) == ([(101, 0, None, 1, 0, 1, 0)] if h else [(101, 0, None, 1, 1, 1, 0), (101, 1, 101, 1, 0, 1, 0)])
