@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, url_filter, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_chat_format": chat_format.op11_chat_format,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
