@@ -17,8 +17,8 @@ MAX_TOKENS = 4096
 END_ID = 1
 #: Pieces of at most so many tokens are one class.
 SMALL = 128
-#: Pieces and slots of a range, the least number of ranges, and how many rows are one range at any rate.
-ROWS_PER_RANGE, MIN_RANGES, FEW_ROWS = 500_000, 8, 50_000
+#: Pieces and slots of a range, and the least number of ranges.
+ROWS_PER_RANGE, MIN_RANGES = 500_000, 8
 #: A class's last pieces, of so many one, join the next class.
 REST = 20
 #: Text that is encoded at once.
@@ -134,10 +134,9 @@ class _State:
         slots = offered.select(F.floor(F.col("gap") / F.col("n")).alias("key"), F.lit(False).alias("is_piece"), F.explode(F.array_repeat("seq", F.col("n"))).alias("name"))
         items = slots.unionAll(todo.select(F.col("length").alias("key"), F.lit(True).alias("is_piece"), F.col("uid").alias("name")))
         rows = n_todo + min(2 * n_todo + n_gaps, n_gaps * useful)
-        n_parts = max(MIN_RANGES, -(-rows // ROWS_PER_RANGE)) if rows > FEW_ROWS else 1
+        n_parts = max(MIN_RANGES, -(-rows // ROWS_PER_RANGE))
         order = (F.desc("key"), F.asc("is_piece"), F.asc("name"))
-        ranged = items.repartitionByRange(n_parts, *order) if n_parts > 1 else items.coalesce(1)
-        ranges = ranged.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        ranges = items.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
         swept = written(ranges.mapInArrow(_sweep, "part int, role int, uid bigint, length bigint, seq bigint, rank bigint"), "swept")
         left: dict[int, list[int]] = {}
         for r in swept.where("role > 0").groupBy("part", "role").count().collect():  # two rows a range

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import bits, bucket_ends, chunked, contains, distinct_sorted, in_order, mix, pack5, unbits, unpack5
+from .exchange import bits, bucket_ends, chunked, contains, distinct_sorted, in_order, mix, pack5, pack_counts, unbits, unpack5, unpack_counts
 from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
@@ -160,15 +160,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
         first = np.flatnonzero(new)
         many = d[first] != d[np.append(first[1:], len(a))[: len(first)] - 1]
-        n = np.minimum(np.diff(np.append(first, len(a))), 255).astype(np.uint8)
-        return _blobs(key[0].as_py(), a[first], n_buckets, lambda x, z: (pack5(a[first[x:z]]), bits(many[x:z]) + n[x:z].tobytes()))
+        n = np.diff(np.append(first, len(a)))
+        return _blobs(key[0].as_py(), a[first], n_buckets, lambda x, z: (pack5(a[first[x:z]]), bits(many[x:z]) + pack_counts(n[x:z])))
 
     def repeated(key, table):
         n = table.column("n").to_numpy()
         values = np.concatenate([unpack5(v.as_py()) for v in table.column("a")])
         flags = [f.as_py() for f in table.column("b")]
-        many = np.concatenate([unbits(f[:-k], k) for f, k in zip(flags, n.tolist(), strict=True)])
-        times = np.concatenate([np.frombuffer(f, np.uint8, k, len(f) - k) for f, k in zip(flags, n.tolist(), strict=True)])
+        edge = (n + 7) // 8
+        many = np.concatenate([unbits(f[:e], k) for f, e, k in zip(flags, edge.tolist(), n.tolist(), strict=True)])
+        times = np.concatenate([unpack_counts(f, e)[0] for f, e in zip(flags, edge.tolist(), strict=True)])
         order = np.argsort(values, kind="stable")
         v = values[order]
         group = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1

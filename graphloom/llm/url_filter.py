@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,10 +101,10 @@ def scores(hosts: list[str], paths: list[str], weights: np.ndarray) -> np.ndarra
 def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", block_from: float = BLOCK_FROM) -> DataFrame:
     """Per input row: id_col, host, path, rule, verdict and score (the classifier's probability of unwanted).
 
-    The longest fitting rule decides, else the classifier; a row that a rule decides has no score. `labelled` has url and label (1 unwanted); the classifier
-    is fitted on at most MAX_LABELLED of its rows, the first by url; rows with a null are left out. A null url, or one
-    without ://, has an empty host and path, fits no rule and is judged by the classifier's intercept and edges.
-    Repeated rows each give a row; other columns of `pages` are not looked at.
+    The longest fitting rule decides, else the classifier; a row that a rule decides has no score. `labelled` has url and
+    label (1 unwanted); the classifier is fitted on at most MAX_LABELLED of its rows, the first by url; rows with a null
+    are left out. A null url, or one without ://, has an empty host and path; as these tell nothing, it is allowed, and
+    has no score. Repeated rows each give a row; other columns of `pages` are not looked at.
     """
     host, path = parts(F.col("url"))
     known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(host, path, F.col("label").cast("int"), "url")
@@ -114,7 +115,8 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            open_rows = np.flatnonzero(np.array(b.column("rule").is_null()))
+            said = pc.or_(pc.greater(pc.binary_length(b.column("host")), 0), pc.greater(pc.binary_length(b.column("path")), 0))
+            open_rows = np.flatnonzero(np.array(pc.and_(b.column("rule").is_null(), said)))
             score, known = np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             known[open_rows] = False
             some = b.select(["host", "path"]).take(pa.array(open_rows))
@@ -125,7 +127,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str =
 
     kind = start.schema["id"].dataType.simpleString()
     judged = ruled.mapInArrow(scored, f"id {kind}, host string, path string, rule string, verdict string, score double")
-    own = F.when(F.col("score") >= block_from, "block").otherwise("allow")
+    own = F.when(F.col("score") >= block_from, "block").otherwise("allow")  # of no score, too
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
 
 

@@ -58,6 +58,32 @@ def test_suffix_dedup(docs, rows, per_chunk, hot, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_suffix_dedup_around_one_anchor(spark):
+    """Some hundred segments of one chunk around the same bytes: more than one byte counts."""
+    r = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    word = lambda n: r.choice(letters, n).tobytes()
+    core = word(30)
+    texts = [word(int(r.integers(5, 18))) + core + word(int(r.integers(5, 18))) for _ in range(500)]
+    texts += [texts[7] + b" " + word(60), word(60) + texts[9], *texts[20:24]]
+    first: dict[bytes, int] = {}
+    for i, b in enumerate(texts):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    want = {}
+    for i, b in enumerate(texts):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        want[i] = int(gone.sum())
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(texts)], "doc_id long, text string")
+    assert sum(want.values()) > 200
+    for hot in (300, 1 << 14):
+        got = {row.doc_id: row.n_removed for row in suffix_dedup(docs, hot_segments=hot).collect()}
+        assert got == want
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup(none).collect() == []
 

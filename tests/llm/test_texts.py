@@ -257,7 +257,6 @@ def test_packing_of_lengths(spark, kind, monkeypatch):
     }[kind]
     monkeypatch.setattr("graphloom.llm.packing.MIN_RANGES", 3)
     monkeypatch.setattr("graphloom.llm.packing.ROWS_PER_RANGE", 200)
-    monkeypatch.setattr("graphloom.llm.packing.FEW_ROWS", 50)
     df = spark.createDataFrame([(k, int(x), 1, "s") for k, x in enumerate(lengths)], "doc_id long, length long, seq int, row string")
     placed = pack(df).toPandas()
     assert sorted(zip(placed.doc_id, placed.length, strict=True)) == sorted(enumerate(lengths.tolist()))
