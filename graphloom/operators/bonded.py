@@ -8,24 +8,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import canonical, canonical_order
+from .kernels import canonical, canonical_search
 from .mining import each
 
 BOND = "struct<src:int,trg:int,color:int>"
 
 
-def canonical_bonded(colors: list[int], bonds: list[tuple[int, int, int]]) -> tuple[str, int]:
-    """Text `s,t,c,s,t,c,...;colors` that isomorphic graphs with coloured bonds share, and the number of automorphisms.
+def bonded_search(colors: list[int], bonds: list[tuple[int, int, int]]) -> tuple[list[int], int, list[tuple[int, ...]]]:
+    """Vertices in an order in which isomorphic graphs are equal, the number of automorphisms, and some that make all.
 
     Each bond becomes a vertex between its ends, of a colour that no vertex has.
     """
     n, top = len(colors), max(colors, default=0) + 1
     first = min((c for _, _, c in bonds), default=0)
     inner = [(v, n + k) for k, (a, b, _) in enumerate(bonds) for v in (a, b)]
-    order, automorphisms = canonical_order((*colors, *(top + c - first for _, _, c in bonds)), tuple(inner))
-    place = {v: k for k, v in enumerate(v for v in order if v < n)}
+    order, automorphisms, moves = canonical_search((*colors, *(top + c - first for _, _, c in bonds)), tuple(inner))
+    return [v for v in order if v < n], automorphisms, [g[:n] for g in moves]
+
+
+def bonded_text(colors: list[int], bonds: list[tuple[int, int, int]], order: list[int]) -> str:
+    """Text `s,t,c,s,t,c,...;colors` of the graph with its vertices in the order."""
+    place = {v: k for k, v in enumerate(order)}
     named = sorted((max(place[a], place[b]), min(place[a], place[b]), c) for a, b, c in bonds)
-    return ",".join(f"{a},{b},{c}" for b, a, c in named) + ";" + ",".join(str(colors[v]) for v in place), automorphisms
+    return ",".join(f"{a},{b},{c}" for b, a, c in named) + ";" + ",".join(str(colors[v]) for v in order)
+
+
+def canonical_bonded(colors: list[int], bonds: list[tuple[int, int, int]]) -> tuple[str, int]:
+    """Text that isomorphic graphs with coloured bonds share, and the number of automorphisms."""
+    order, automorphisms, _ = bonded_search(colors, bonds)
+    return bonded_text(colors, bonds, order), automorphisms
+
+
+def parse_bonded(text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Colours and bonds of such a text."""
+    triples, _, colors = text.partition(";")
+    x = [int(i) for i in triples.split(",")] if triples else []
+    return [int(c) for c in colors.split(",")] if colors else [], list(zip(x[::3], x[1::3], x[2::3], strict=True))
 
 
 def canonical_typed(labels: list[str], bonds: list[tuple[int, int]]) -> str:

@@ -12,15 +12,22 @@ from math import exp, inf, log, log1p
 Bonds = tuple[tuple[int, int], ...]
 
 
-def remembered(f, most: int = 100_000):
-    """`f` with its latest results kept; unlike the standard cache it can be sent to executors with its code."""
+def remembered(f, most: int = 4_000_000):
+    """`f` with its latest results kept; unlike the standard cache it can be sent to executors with its code.
+
+    `most` bounds the entries of all arguments that are kept together, not their number, so large graphs can't fill a
+    worker's memory.
+    """
     kept: dict = {}
+    held = [0]
 
     @wraps(f)
     def g(*args):
         if args not in kept:
-            if len(kept) >= most:
+            held[0] += 8 + sum(len(a) for a in args)
+            if held[0] > most:
                 kept.clear()
+                held[0] = 0
             kept[args] = f(*args)
         return kept[args]
 
@@ -36,59 +43,128 @@ def neighbors(n: int, bonds: Iterable[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _refined(colors: list[int], near: list[int]) -> list[int]:
+def _refined(colors: list[int], near: list[list[int]]) -> list[int]:
     """Colours split by the multisets of neighbours' colours until nothing changes; numbered in an order free of names."""
-    n = len(colors)
+    classes = len(set(colors))
     while True:
-        seen = [(colors[v], tuple(sorted(colors[w] for w in range(n) if near[v] >> w & 1))) for v in range(n)]
+        seen = [(c, tuple(sorted([colors[w] for w in near[v]]))) for v, c in enumerate(colors)]
         rank = {s: k for k, s in enumerate(sorted(set(seen)))}
-        new = [rank[s] for s in seen]
-        if len(rank) == len(set(colors)):
-            return new
-        colors = new
-
+        colors = [rank[s] for s in seen]
+        if len(rank) == classes:
+            return colors
+        classes = len(rank)
+
+
+def _twin_swaps(colors: tuple[int, ...], near: list[int]) -> list[tuple[int, ...]]:
+    """Exchanges of two vertices of a colour with the same neighbours, but for each other: automorphisms at sight."""
+    swaps, last = [], {}
+    for v, m in enumerate(near):
+        for kind in ((colors[v], True, m), (colors[v], False, m | 1 << v)):
+            if kind in last:
+                u = last[kind]
+                swaps.append(tuple(v if x == u else u if x == v else x for x in range(len(near))))
+            last[kind] = v
+    return swaps
+
+
+def orbits(n: int, moves: Iterable[tuple[int, ...]]) -> list[int]:
+    """For each vertex the smallest that the moves, which are permutations, can bring it to."""
+    least = list(range(n))
+
+    def find(v: int) -> int:
+        while least[v] != v:
+            least[v] = least[least[v]]
+            v = least[v]
+        return v
+
+    for g in moves:
+        for v, w in enumerate(g):
+            a, b = find(v), find(w)
+            if a != b:
+                least[max(a, b)] = min(a, b)
+    return [find(v) for v in range(n)]
+
+
+class _Labelling:
+    """The search of `canonical_search`.
+
+    A way singles out vertices one by one, each time refining what that tells apart, down to a leaf, where all are apart.
+    The traces of a way (sizes of its classes) and its leaf's graph don't depend on names; the least wins. A leaf with
+    the graph of the first or the best one shows an automorphism. Of vertices that the known automorphisms without effect
+    on the way so far bring to one another, one is tried; and a leaf that shows an automorphism ends all up to where its
+    way parted from the other's, since the rest there is alike.
+    """
 
-def _twins(near: list[int]) -> list[tuple[bool, int]]:
-    """For each vertex what it shares with those that it can change places with alone: neighbours, with or without itself."""
-    apart = Counter(near)
-    return [(True, m) if apart[m] > 1 else (False, m | 1 << v) for v, m in enumerate(near)]
+    def __init__(self, colors: tuple[int, ...], bonds: Bonds):
+        self.colors, self.bonds, self.n = colors, {(min(b), max(b)) for b in bonds}, len(colors)
+        masks = neighbors(self.n, bonds)
+        self.near = [[w for w in range(self.n) if m >> w & 1] for m in masks]
+        self.moves = _twin_swaps(colors, masks)
+        self.first = self.best = None
+        self.automorphisms = 1
+
+    def alike(self, fixed: tuple[int, ...]) -> list[int]:
+        return orbits(self.n, (g for g in self.moves if all(g[v] == v for v in fixed)))
+
+    def leaf(self, split: list[int], fixed: tuple[int, ...], trace: tuple, like_first: bool) -> int:
+        order = sorted(range(self.n), key=split.__getitem__)
+        edges = sorted((max(split[a], split[b]), min(split[a], split[b])) for a, b in self.bonds)
+        key = (trace, tuple(self.colors[v] for v in order), tuple(edges))
+        if self.first is None:
+            self.first = self.best = (key, order, fixed)
+            return len(fixed)
+        for known, order_then, fixed_then in ((self.first, self.best) if like_first else (self.best,)):
+            if key == known:
+                move = [0] * self.n
+                for v, w in zip(order_then, order, strict=True):
+                    move[v] = w
+                self.moves.append(tuple(move))
+                return next(k for k, (v, w) in enumerate(zip(fixed, fixed_then, strict=True)) if v != w)
+        if key < self.best[0]:
+            self.best = (key, order, fixed)
+        return len(fixed)
+
+    def visit(self, split: list[int], fixed: tuple[int, ...], trace: tuple) -> int:
+        """How many of the vertices in `fixed` are still of use to look on from."""
+        split = _refined(split, self.near)
+        sizes, depth = Counter(split), len(fixed)
+        trace = (*trace, tuple(sorted(sizes.items())))
+        on_first = self.first is None
+        like_first = on_first or trace == self.first[0][0][: depth + 1]
+        if not like_first and trace > self.best[0][0][: depth + 1]:
+            return depth
+        if len(sizes) == self.n:
+            return self.leaf(split, fixed, trace, like_first)
+        cell = min((size, c) for c, size in sizes.items() if size > 1)[1]
+        tried: list[int] = []
+        for v in (v for v in range(self.n) if split[v] == cell):
+            if tried:
+                alike = self.alike(fixed)
+                if any(alike[v] == alike[u] for u in tried):
+                    continue
+            back = self.visit([2 * c + (w != v and c == cell) for w, c in enumerate(split)], (*fixed, v), trace)
+            tried.append(v)
+            if back < depth:
+                return back
+        if on_first:
+            alike = self.alike(fixed)
+            self.automorphisms *= sum(a == alike[tried[0]] for a in alike)
+        return depth
 
 
 @remembered
-def canonical_order(colors: tuple[int, ...], bonds: Bonds) -> tuple[tuple[int, ...], int]:
-    """Vertices in an order in which isomorphic graphs are equal, and the number of automorphisms.
+def canonical_search(colors: tuple[int, ...], bonds: Bonds) -> tuple[tuple[int, ...], int, tuple[tuple[int, ...], ...]]:
+    """Vertices in an order in which isomorphic graphs are equal, the number of automorphisms, and some that make all."""
+    search = _Labelling(colors, bonds)
+    if not colors:
+        return (), 1, ()
+    search.visit(list(colors), (), ())
+    return tuple(search.best[1]), search.automorphisms, tuple(search.moves)
 
-    Vertices are told apart by refinement; where some stay alike, each of the smallest class is singled out in turn and
-    the smallest graph wins; of vertices that can change places alone, one is singled out for all. Ways that give the
-    winning graph count the automorphisms.
-    """
-    n, near = len(colors), neighbors(len(colors), bonds)
-    twin = _twins(near)
-    best: list = [None, 0, ()]
-
-    def visit(split: list[int], ways: int) -> None:
-        split = _refined(split, near)
-        sizes = Counter(split)
-        cell = min((s, c) for c, s in sizes.items() if s > 1) if len(sizes) < n else None
-        if cell is None:
-            edges = sorted(((max(split[a], split[b]), min(split[a], split[b])) for a, b in set(bonds)))
-            order = sorted(range(n), key=split.__getitem__)
-            key = (tuple(colors[v] for v in order), tuple(edges))
-            if best[0] is None or key < best[0]:
-                best[:] = [key, ways, tuple(order)]
-            elif key == best[0]:
-                best[1] += ways
-            return
-        alike: dict[tuple[bool, int], list[int]] = {}
-        for v in range(n):
-            if split[v] == cell[1]:
-                alike.setdefault(twin[v], []).append(v)
-        for v, *more in alike.values():
-            visit([2 * c + (w != v and c == cell[1]) for w, c in enumerate(split)], ways * (1 + len(more)))
-
-    if n:
-        visit(list(colors), 1)
-    return best[2], max(1, best[1])
+
+def canonical_order(colors: tuple[int, ...], bonds: Bonds) -> tuple[tuple[int, ...], int]:
+    """The order and number of `canonical_search`."""
+    return canonical_search(colors, bonds)[:2]
 
 
 @remembered
