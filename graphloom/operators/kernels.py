@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from functools import wraps
 from itertools import count
 from math import exp, inf, log, log1p
@@ -297,8 +297,8 @@ def all_exact_covers(covers: list[list[int]]) -> Iterator[list[int]]:
     return visit(0, [])
 
 
-def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: int | None = None, max_heap: int | None = None) -> Iterator[list[int]]:
-    """Exact covers best first by search cost, the sum of weight over size of the rows.
+def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: int | None = None, max_heap: int | None = None) -> Generator[list[int], None, bool]:
+    """Exact covers best first by search cost, the sum of weight over size of the rows; returns whether these are all.
 
     Partial covers wait by that cost and, for each open item, the least cost of a row that fits; of equal ones the first
     in goes first. Every state taken counts against max_iter; a state that finds max_heap waiting ends the search.
@@ -316,10 +316,24 @@ def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: in
         best = min(c.fitting(covered), key=len)
         for r in reversed(best):
             if max_heap is not None and len(heap) >= max_heap:
-                return
+                return False
             now, picked = covered | c.masks[r], (*chosen, r)
             ahead = [min((cost[x] for x in rows), default=inf) for rows in c.fitting(now)]
             heapq.heappush(heap, (sum(cost[x] for x in picked) + sum(ahead), next(ticket), now, picked))
+    return not heap
+
+
+def top_exact_covers_or_all(covers, weights, n: int | None, max_iter: int | None = None, max_heap: int | None = None) -> tuple[list[list[int]], bool]:
+    """The covers of `top_n_exact_covers`, and whether the search came to its end with no more than these."""
+    search, out = top_exact_covers(covers, weights, max_iter, max_heap), []
+    while True:
+        try:
+            found = next(search)
+        except StopIteration as end:
+            return out, bool(end.value)
+        if n is not None and len(out) == n:
+            return out, False
+        out.append(found)
 
 
 def top_n_exact_covers(covers, weights, n: int | None, max_iter: int | None = None, max_heap: int | None = None) -> list[list[int]]:

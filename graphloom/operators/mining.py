@@ -140,32 +140,30 @@ def fragment_loss(parts: DataFrame, weights: DataFrame, model: dict[str, tuple[i
     number of their pieces; graphs add the logarithm of the sum by weight. A graph with none left makes it minus
     infinity. The fragment's own cost is the log-likelihood of its colours, by their counts over the model's fragments.
     `parts` is a table of `partitions`, `weights` has graph_id and weight. Sums are made in each task for all fragments,
-    which the model bounds.
+    which the model bounds; a graph adds one array of as many numbers for each number of pieces (`tuning.losses_of`).
     """
-    ids = sorted(i for i, _ in model.values())
-    at, free = {i: k for k, i in enumerate(ids)}, np.zeros(len(ids))
+    from .tuning import color_costs, freed, losses_of
+
+    ids, own = sorted(i for i, _ in model.values()), color_costs(model)
+    at, spark = {i: k for k, i in enumerate(ids)}, parts.sparkSession
+    by_place = np.empty(len(ids))
     for i, w in model.values():
-        free[at[i]] = math.log1p(-math.exp(w)) if w < 0 else -math.inf
-    counts = Counter(c for t in model for c in t.partition(";")[2].split(",") if c)
-    total = sum(counts.values())
-    own = {i: sum(math.log(counts[c] / total) for c in t.partition(";")[2].split(",") if c) for t, (i, _) in model.items()}
+        by_place[at[i]] = w
+    shared = spark.sparkContext.broadcast((at, freed(by_place)))
     each_graph = parts.groupBy("graph_id").agg(F.collect_list(F.struct("lweight", "frags")).alias("parts")).join(weights.select("graph_id", "weight"), "graph_id")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(ids))
+        place, free = shared.value
+        found = np.zeros(len(place))
         for b in batches:
             for r in b.to_pylist():
-                q = np.stack([p["lweight"] - sum(f["n"] for f in p["frags"]) * free for p in r["parts"]])
-                for k, p in enumerate(r["parts"]):
-                    q[k, [at[f["id"]] for f in p["frags"]]] = -math.inf
-                top = q.max(axis=0)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found += r["weight"] * np.where(top == -math.inf, -math.inf, top + np.log(np.exp(q - top).sum(axis=0)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(found)], ["id", "loss"])
+                own_parts = [(p["lweight"], [{"id": place[f["id"]], "n": f["n"]} for f in p["frags"]]) for p in r["parts"]]
+                found += r["weight"] * losses_of(own_parts, free)
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.int32()), pa.array(found)], ["id", "loss"])
 
     loss = each_graph.mapInArrow(sums, "id int, loss double").groupBy("id").agg(F.sum("loss").alias("loss"))
-    cost = F.create_map(*[F.lit(x) for i in ids for x in (i, own[i])]) if ids else F.create_map().cast("map<int,double>")
-    return loss.select("id", (F.col("loss") - F.element_at(cost, F.col("id"))).alias("loss"))
+    cost = spark.createDataFrame(sorted(own.items()), "id int, cost double")
+    return loss.join(cost, "id").select("id", (F.col("loss") - F.col("cost")).alias("loss"))
 
 
 def least_lossy(table: DataFrame, share: float) -> DataFrame:
@@ -217,30 +215,30 @@ def em_step(parts: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]
     return mass.crossJoin(F.broadcast(total)).where("mass > 0").select("id", F.ln(F.col("mass") / F.col("total")).alias("lweight")), likelihood
 
 
-def fit_fragments(graphs: DataFrame, max_size: int, limit: int | None = None, min_count: int | None = None, rounds: int = 5, prune: float = 0.0, floor: float = -50.0, **search) -> dict[str, tuple[int, float]]:
-    """Mined fragments and their log-weights after `rounds` of expectation-maximisation.
-
-    After the first half of the rounds the share `prune` of fragments of more than one vertex with the least weight goes.
+def fit_fragments(
+    graphs: DataFrame,
+    max_size: int,
+    limit: int | None = None,
+    min_count: int | None = None,
+    rounds: int = 5,
+    prune: float = 0.0,
+    floor: float = -50.0,
+    size: int | None = None,
+    search=None,
+) -> dict[str, tuple[int, float]]:
+    """Mined fragments and their log-weights, tuned by `tuning.tune` over partitions that are searched once.
+
+    `prune` is the share of fragments that goes at a time, by loss, as long as the model gets likelier or, with `size`,
+    until so many are left. `search` is a `tuning.Search`, the limits of the search for partitions.
     """
+    from .tuning import Search, partition_store, resized, tune
+
     graphs = written(graphs, "graphs")
     rows = _bounded(most_common(graphs, max_size, limit, min_count).orderBy("rank", "fragment"))
-    seeds = [(r["fragment"], r["size"], r["weight"]) for r in rows]
-    total = sum(w for _, _, w in seeds) or 1.0
-    model = {t: (k, math.log(w / total) if w else floor) for k, (t, _, w) in enumerate(seeds)}
-    size = {t: s for t, s, _ in seeds}
-    # equal graphs have equal partitions, so each is searched once, with the weight of all of them
-    graphs = written(graphs.groupBy("bonds", "colors").agg(F.min("graph_id").alias("graph_id"), F.sum("weight").alias("weight")), "distinct-graphs")
-    weights = graphs.select("graph_id", "weight")
-    for k in range(rounds):
-        new = {r["id"]: r["lweight"] for r in em_step(partitions(graphs, model, max_size, **search), weights)[0].toLocalIterator()}
-        model = {t: (i, max(new.get(i, floor), floor)) for t, (i, _) in model.items()}
-        if prune and k == rounds // 2:
-            large = sorted((t for t in model if size[t] > 1), key=lambda t: (model[t][1], t))
-            for t in large[: int(len(large) * prune)]:
-                del model[t]
-        norm = math.log(sum(math.exp(w) for _, w in model.values()) or 1.0)
-        model = {t: (i, w - norm) for t, (i, w) in model.items()}
-    return model
+    total = sum(r["weight"] for r in rows) or 1.0
+    model = {r["fragment"]: (k, math.log(r["weight"] / total) if r["weight"] else floor) for k, r in enumerate(rows)}
+    store = partition_store(graphs, model, max_size, search or Search())
+    return resized(tune(store, model, rounds, prune, floor, size))
 
 
 def model_table(spark: SparkSession, model: dict[str, tuple[int, float]]) -> DataFrame:
