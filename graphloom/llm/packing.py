@@ -20,7 +20,7 @@ SMALL = 128
 #: Pieces and slots of a range, and the least number of ranges.
 ROWS_PER_RANGE, MIN_RANGES = 500_000, 8
 #: A class's last pieces, of so many one, join the next class.
-REST = 20
+REST = 4
 #: Text that is encoded at once.
 BYTES_AT_ONCE = 4 << 20
 
