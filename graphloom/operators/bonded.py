@@ -76,11 +76,11 @@ def canonical_typed_forms(graphs: DataFrame) -> DataFrame:
 
 
 def common_bonded(vertices: DataFrame, bonds: DataFrame, min_groups: int = 1) -> DataFrame:
-    """Fragments of a vertex, or of two and their bond's colour, ranked by weight, groups, graphs and embeddings.
+    """Fragments of a vertex, or of two and their bond's colour, with weight, groups, graphs and embeddings.
 
     `vertices` has graph_id, v, color, group and weight, `bonds` graph_id, src, trg and color. A fragment is (first,
     bond, second), with null for what it lacks; those of two vertices need `min_groups` groups. Weight is that of the
-    graphs that have it, each counted once; equal keys share a rank, single vertices come first.
+    graphs that have it, each counted once. `growth.mine` finds larger ones, and ranks them.
     """
     ends = vertices.select("graph_id", "v", "color", "group", "weight")
     single = ends.select("graph_id", "group", "weight", F.col("color").alias("first"), F.lit(None).cast("int").alias("bond"), F.lit(None).cast("int").alias("second"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import growth_queries, path_queries, table_queries  # noqa: F401 (these register their queries)
+from . import growth_queries, path_queries, table_queries, tuning_queries  # noqa: F401 (these register their queries)
 from .catalog import CHORDS, FREQ, NEAR, ORACLE_SQL, OV, PATH, QUERIES, query  # noqa: F401
 from .catalog import order_lines as _ov
 from .catalog import rounded as _r

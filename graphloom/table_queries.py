@@ -199,18 +199,6 @@ def model_subset(spark, sf_dir) -> DataFrame:
     return mining.subset(scoring.label_logweights(order_lines(spark, sf_dir)), "label LIKE '%F'").withColumn("lweight", rounded("lweight"))
 
 
-@query(f"""WITH {RUNS}, f AS (SELECT name, any_value(size) AS size, count(*) AS n, count(DISTINCT grp) AS g FROM runs WHERE size <= 2 GROUP BY name),
-r AS (SELECT *, row_number() OVER (ORDER BY g DESC, n, name DESC) AS place, greatest(CAST(floor(count(*) OVER () * 0.4) AS INT), 1) AS gone FROM f WHERE size > 1)
-SELECT name AS fragment, CAST(size AS INT) AS size FROM f WHERE name NOT IN (SELECT name FROM r WHERE place <= gone)""")
-def prune_by_loss(spark, sf_dir) -> DataFrame:
-    """By a loss and a weight that SQL can count: groups with a fragment, and its embeddings."""
-    from .path_queries import _path_graphs
-
-    found = _named(mining.embeddings(_path_graphs(spark, sf_dir), 2))
-    table = found.groupBy(F.col("fragment").alias("id"), "size").agg(F.ln(F.sum("n")).alias("lweight"), F.countDistinct("group").cast("double").alias("loss"))
-    return mining.least_lossy(table, 0.4).select(F.col("id").alias("fragment"), "size")
-
-
 @query(f"""WITH {RUNS}, n AS (SELECT DISTINCT name FROM runs), c AS (SELECT name, unnest(string_split(name, '-')) AS color FROM n), s AS (SELECT color, ln(count(*) / (SELECT count(*) FROM c)) AS w FROM c GROUP BY color)
 SELECT name AS fragment, round(sum(w), 6) AS lweight FROM c JOIN s USING (color) GROUP BY name""")
 def fragment_color_likelihood(spark, sf_dir) -> DataFrame:
