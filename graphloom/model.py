@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
+
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import graphtext
-from .functions.features import FEATURES, STATES, state_rank
-from .operators import dictionary, linear, mining, scoring
+from .functions.features import FEATURES, state_rank
+from .operators import dictionary, krylov, linear, mining, scoring
+from .operators.tuning import Search
+from .parsing import parsed
 from .plans.shared import written
 from .sources.tables import read_json, write_json
+from .stages import Stages
 
 
-#: Labels of a dictionary that is broadcast, at most.
-MAX_BROADCAST = 1_000_000
-
-
-@dataclass(frozen=True)
-class Stages:
-    """What may be replaced in `GraphModel.process`: each takes and returns a table, as the function that stands here does."""
-
-    parse: Callable[[DataFrame], DataFrame] | None = None
-    color: Callable[[DataFrame], DataFrame] | None = None
-    partition: Callable[..., DataFrame] = mining.partitions
-    in_span: Callable[..., DataFrame] = linear.in_span_of
-    predict: Callable[[DataFrame], DataFrame] | None = None
+#: Labels or features of a dictionary, at most.
+MAX_LABELS = 1_000_000
+GRAPH = ("group_item", "group_norm")
+ROW = (*GRAPH, "part")
 
 
 @dataclass
@@ -36,6 +30,7 @@ class GraphModel:
     """Label and feature dictionaries, fragments by canonical text with id and log-weight, and linear coefficients.
 
     `span` has the columns, norms and basis of what training rows span, which the filter lets pass; None: no filter.
+    `stages` are what is replaced in `process`; those of registered types are saved with the model.
     """
 
     labels: dict[str, int]
@@ -44,9 +39,11 @@ class GraphModel:
     max_size: int = 1
     coefficients: dict[str, dict[int, float]] = field(default_factory=dict)
     span: dict[str, list] | None = None
+    stages: Stages = Stages()
 
     def save(self, path: str, spark: SparkSession | None = None) -> None:
-        write_json({"type": "graph-model-1", "data": asdict(self)}, path, spark)
+        data = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "stages"}
+        write_json({"type": "graph-model-1", "data": {**data, "stages": self.stages.to_json()}}, path, spark)
 
     @staticmethod
     def load(path: str, spark: SparkSession | None = None) -> GraphModel:
@@ -57,32 +54,50 @@ class GraphModel:
         ints = lambda x: {int(k): v for k, v in x.items()}
         d["fragments"] = {k: (i, w) for k, (i, w) in d["fragments"].items()}
         d["coefficients"] = {t: ints(c) for t, c in d["coefficients"].items()}
+        d["stages"] = Stages.from_json(d.get("stages", {}))
         return GraphModel(**d)
 
-    def process(self, rows: DataFrame, stages: Stages = Stages()) -> DataFrame:
-        """One row per input and partition: group_item, filter, lweight_part, cells (idx, value) and pred_<target>.
+    def final_features(self) -> list[str]:
+        """What each column of a vector counts, in order: fragments by their text, then features by their name."""
+        texts = [t for t, _ in sorted(self.fragments.items(), key=lambda x: x[1][0])]
+        return [*texts, *sorted(self.features, key=self.features.get)]
+
+    def parsed(self, rows: DataFrame, stages: Stages | None = None) -> DataFrame:
+        """What the parser makes of the rows: labels, bonds, group_norm and weight_ug, and the state so far."""
+        if "extern_feat" not in rows.columns:
+            rows = rows.withColumn("extern_feat", F.lit(None).cast(FEATURES))
+        g = (stages or self.stages).parse(rows)
+        for name, value in (("group_norm", 0), ("weight_ug", 1.0)):
+            g = g if name in g.columns else g.withColumn(name, F.lit(value))
+        return g
+
+    def process(self, rows: DataFrame, stages: Stages | None = None) -> DataFrame:
+        """One row per input, graph and partition: group_item, group_norm, weight_ug, filter, lweight_part, cells (idx, value) and pred_<target>.
 
         `rows` has group_item (a long that tells rows apart), group, data (labelled graph text) and may have
         extern_feat. A row that fails keeps its place with the state of the stage that stopped it and null results.
-        `stages` may replace the parser (see `parsed`), change what colouring or prediction has made, and replace the
-        partition search and the span test.
+        `stages` stand in for the model's own.
         """
-        spark = rows.sparkSession
-        if "extern_feat" not in rows.columns:
-            rows = rows.withColumn("extern_feat", F.lit(None).cast(FEATURES))
-        g = (stages.parse or parsed)(rows).withColumn("group_norm", F.lit(0)).withColumn("weight_ug", F.lit(1.0))
-        labels = spark.createDataFrame(list(self.labels.items()) or [("", -1)], "label string, idx int").where("idx >= 0")
-        feats = F.create_map(*[x for k, v in self.features.items() for x in (F.lit(k), F.lit(v))]) if self.features else F.lit(None).cast("map<string,int>")
-        vertices = g.select("group_item", F.posexplode("labels").alias("v", "label")).join(F.broadcast(labels) if len(self.labels) <= MAX_BROADCAST else labels, "label", "left")
+        spark, stages = rows.sparkSession, stages or self.stages
+        g = self.parsed(rows, stages)
+        vertices = g.select(*GRAPH, F.posexplode("labels").alias("v", "label")).join(self._dictionary(spark, "labels"), "label", "left")
         cells = F.array_sort(F.collect_list(F.struct("v", "idx")))
-        colors = vertices.groupBy("group_item").agg(F.when(F.bool_and(F.col("idx").isNotNull()), F.transform(cells, lambda x: x["idx"])).alias("colors"))
-        g = g.join(colors, "group_item", "left").withColumn("extras", F.transform(F.coalesce("extern_feat", F.array().cast(FEATURES)), lambda f: F.struct(F.try_element_at(feats, f["name"]).alias("idx"), f["count"].alias("count"))))
+        colors = vertices.groupBy(*GRAPH).agg(F.when(F.bool_and(F.col("idx").isNotNull()), F.transform(cells, lambda x: x["idx"])).alias("colors"))
+        g = g.join(colors, list(GRAPH), "left")
+        none = F.array().cast("array<struct<idx:int,count:bigint>>")
+        if self.features:
+            named = g.select(*GRAPH, F.explode("extern_feat").alias("f")).select(*GRAPH, F.col("f.name").alias("label"), F.col("f.count").alias("count"))
+            named = named.join(self._dictionary(spark, "features"), "label", "left").groupBy(*GRAPH).agg(F.array_sort(F.collect_list(F.struct("idx", "count"))).alias("extras"))
+            g = g.join(named, list(GRAPH), "left").withColumn("extras", F.coalesce("extras", none))
+        else:
+            unnamed = F.transform("extern_feat", lambda f: F.struct(F.lit(None).cast("int").alias("idx"), f["count"].alias("count")))
+            g = g.withColumn("extras", F.coalesce(unnamed, none))
         unknown = (F.size("labels") > 0) & F.col("colors").isNull() | F.exists("extras", lambda f: f["idx"].isNull())
         g = g.withColumn("filter", F.when((F.col("filter") == "NONE") & unknown, "COLOR").otherwise(F.col("filter")))
         g = stages.color(g) if stages.color else g
-        good = g.where("filter = 'NONE'").select(F.col("group_item").alias("graph_id"), "bonds", "colors")
-        n, parts = len(self.fragments), stages.partition(good.where("size(colors) > 0"), self.fragments, self.max_size).withColumnRenamed("graph_id", "group_item")
-        out = g.join(parts, "group_item", "left")
+        good = g.where("filter = 'NONE'").select(F.struct(*GRAPH).alias("graph_id"), "bonds", "colors")
+        n, parts = len(self.fragments), stages.partition(good.where("size(colors) > 0"), self.fragments, self.max_size)
+        out = g.join(parts.select("graph_id.*", *(c for c in parts.columns if c != "graph_id")), list(GRAPH), "left")
         # a row without a graph but with features has one partition, of log-weight 0
         bare = (F.col("filter") == "NONE") & (F.coalesce(F.size("labels"), F.lit(0)) == 0)
         out = out.withColumn("lweight_part", F.when(bare, 0.0).otherwise(F.col("lweight")))
@@ -95,22 +110,28 @@ class GraphModel:
         if self.span is not None:
             n_columns = len(self.span["columns"])
             ok = stages.in_span(long_cells(out), self.span["columns"], np.array(self.span["norms"]), np.array(self.span["basis"], float).reshape(n_columns, -1))
-            out = out.withColumn("row_id", F.struct("group_item", "part")).join(ok, "row_id", "left").drop("row_id")
+            out = out.withColumn("row_id", F.struct(*ROW)).join(ok, "row_id", "left").drop("row_id")
             out = out.withColumn("filter", F.when((F.col("filter") == "NONE") & ~F.coalesce("in_span", F.lit(True)), "FILTER").otherwise(F.col("filter"))).drop("in_span")
         for target, c in self.coefficients.items():
-            weights = F.create_map(*[x for k, v in c.items() for x in (F.lit(k), F.lit(v))])
-            total = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.try_element_at(weights, x["idx"]), F.lit(0.0)))
-            out = out.withColumn(f"pred_{target}", F.when(F.col("filter") == "NONE", total))
+            # one row of data, not literals of the plan; a vector's columns are as many as the model's dictionaries
+            row = spark.createDataFrame([([c.get(i, 0.0) for i in range(n + len(self.features))],)], "_weights array<double>")
+            out = out.crossJoin(F.broadcast(row))
+            total = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["value"] * F.coalesce(F.get("_weights", x["idx"]), F.lit(0.0)))
+            out = out.withColumn(f"pred_{target}", F.when(F.col("filter") == "NONE", total)).drop("_weights")
         out = stages.predict(out) if stages.predict else out
         return out.drop("lweight", "frags", "extras", "bonds", "labels", "colors")
 
+    def _dictionary(self, spark: SparkSession, kind: str) -> DataFrame:
+        """(label, idx); Spark broadcasts it if it is small enough."""
+        return spark.createDataFrame(list(getattr(self, kind).items()) or [("", -1)], "label string, idx int").where("idx >= 0")
+
     def explain(self, rows: DataFrame) -> DataFrame:
         """group_item, filter and reason of each input: what stopped it, in words; null for those that nothing stopped."""
-        known = F.array(*map(F.lit, sorted(self.labels))).cast("array<string>")
         done = self.process(rows).groupBy("group_item").agg(F.max_by("filter", state_rank(F.col("filter"))).alias("filter"))
-        found = parsed(rows if "extern_feat" in rows.columns else rows.withColumn("extern_feat", F.lit(None).cast(FEATURES)))
-        unknown = F.array_sort(F.array_except(F.coalesce("labels", F.array().cast("array<string>")), known))
-        named = found.select("group_item", unknown.alias("unknown"), F.array_sort(F.array_distinct("labels")).alias("labels"))
+        labels = self.parsed(rows).select("group_item", F.explode("labels").alias("label")).distinct()
+        found = labels.join(self._dictionary(rows.sparkSession, "labels"), "label", "left")
+        unknown = F.collect_list(F.when(F.col("idx").isNull(), F.col("label")))
+        found = found.groupBy("group_item").agg(F.array_sort(F.collect_list("label")).alias("labels"), F.array_sort(unknown).alias("unknown"))
         says = (
             F.when(F.col("filter") == "PARSE", "no graph text, or bonds beyond its vertices")
             .when((F.col("filter") == "COLOR") & (F.size("unknown") > 0), F.concat(F.lit("unknown labels: "), F.array_join("unknown", ", ")))
@@ -118,59 +139,72 @@ class GraphModel:
             .when(F.col("filter") == "PARTITION", F.concat(F.lit("no partition into known fragments of: "), F.array_join("labels", ", ")))
             .when(F.col("filter") == "FILTER", "outside the span of the training rows")
         )
-        return done.join(named, "group_item").select("group_item", "filter", says.alias("reason"))
+        return done.join(found, "group_item", "left").select("group_item", "filter", says.alias("reason"))
 
     def evaluate(self, rows: DataFrame, strict: bool = True) -> DataFrame:
         """One row per input: information (lweight_part) and predictions over all its partitions."""
         return scoring.compact(self.process(rows), tuple(f"pred_{t}" for t in self.coefficients), strict)
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """Labels and bonds of each row's graph text; text that names no vertex labels, or bonds beyond them, is tagged PARSE."""
-    rows = rows.withColumns({"labels": graphtext.parse_labels(F.col("data")), "bonds": graphtext.parse_bonds(F.col("data")), "given": F.size(F.coalesce("extern_feat", F.array().cast(FEATURES))) > 0})
-    n = F.coalesce(F.size("labels"), F.lit(0))
-    wrong = F.exists("bonds", lambda b: b["src"].isNull() | b["trg"].isNull() | (b["src"] >= n) | (b["trg"] >= n) | (b["src"] < 0) | (b["trg"] < 0))
-    bad = F.when(F.col("data").isNull(), ~F.col("given")).otherwise(F.col("labels").isNull() | (n == 0) | wrong)
-    state = F.col("filter") if "filter" in rows.columns else F.lit(STATES[0])
-    return rows.withColumn("filter", F.when((state == "NONE") & F.coalesce(bad, F.lit(True)), "PARSE").otherwise(state)).drop("given")
-
-
 def long_cells(rows: DataFrame) -> DataFrame:
-    return rows.where("filter = 'NONE'").select(F.struct("group_item", "part").alias("row_id"), F.explode("cells").alias("c")).select("row_id", F.col("c.idx").alias("idx"), F.col("c.value").alias("value"))
+    return rows.where("filter = 'NONE'").select(F.struct(*ROW).alias("row_id"), F.explode("cells").alias("c")).select("row_id", F.col("c.idx").alias("idx"), F.col("c.value").alias("value"))
 
 
 def train(
-    spark: SparkSession, rows: DataFrame, targets: tuple[str, ...] = (), min_count: int = 1, max_size: int = 1, limit: int | None = None, rounds: int = 5, prune: float = 0.0, filtered: bool = False
+    spark: SparkSession,
+    rows: DataFrame,
+    targets: tuple[str, ...] = (),
+    min_count: int = 1,
+    max_size: int = 1,
+    limit: int | None = None,
+    rounds: int = 5,
+    prune: float = 0.0,
+    filtered: bool = False,
+    stages: Stages = Stages(),
+    floor: float = -50.0,
+    search: Search = Search(),
+    tolerance: float | None = None,
+    max_iterations: int = 10_000,
 ) -> GraphModel:
     """Fits dictionaries, fragments and a linear model for each target; rows that don't parse are left out.
 
-    `rows` has group_item, group, weight, data, extern_feat if any, and value_<target> columns.
+    `rows` has group_item, group, weight, data, extern_feat if any, and value_<target> columns. A row that parses to
+    several graphs trains with each by its share. `floor` is the least log-weight of a fragment, `search` limits the
+    search for partitions. With a tolerance, linear models are solved by `krylov` iterations, of `max_iterations` at
+    most, else on the driver; one that doesn't converge is an error. Dictionaries beyond MAX_LABELS are an error.
     """
-    if "extern_feat" not in rows.columns:
-        rows = rows.withColumn("extern_feat", F.lit(None).cast(FEATURES))
-    good = written(parsed(rows).where("filter = 'NONE'"), "parsed")
+    model = GraphModel({}, {}, {}, max_size, stages=stages)
+    good = written(model.parsed(rows).where("filter = 'NONE'"), "parsed")
     seen = good.select("group", F.col("group_item").alias("item"), F.explode("labels").alias("label"), F.lit("label").alias("kind"))
     named = good.select("group", F.col("group_item").alias("item"), F.explode("extern_feat.name").alias("label"), F.lit("feature").alias("kind"))
     left = dictionary.mincount_cascade(seen.unionAll(named), min_count, "kind")
-    ranked = left.groupBy("kind", "label").agg(F.countDistinct("group").alias("n")).orderBy(F.desc("n"), "label").toLocalIterator()
-    labels: dict[str, int] = {}
-    features: dict[str, int] = {}
-    for r in ranked:
-        names = labels if r["kind"] == "label" else features
+    counts = left.groupBy("kind", "label").agg(F.countDistinct("group").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels and features; set a larger min_count")
+    for r in counts:
+        names = model.labels if r["kind"] == "label" else model.features
         names[r["label"]] = len(names)
     items = left.select(F.col("item").alias("group_item")).distinct()
     good = written(good.join(items, "group_item", "left_semi"), "kept")
-    color = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]) if labels else F.create_map(F.lit(""), F.lit(0))
-    graphs = good.where("size(labels) > 0").select(F.col("group_item").alias("graph_id"), "group", "weight", "bonds", F.transform("labels", lambda x: F.element_at(color, x)).alias("colors"))
-    model = GraphModel(labels, features, mining.fit_fragments(graphs, max_size, limit, min_count, rounds, prune), max_size)
+    colors = good.select(*GRAPH, F.posexplode("labels").alias("v", "label")).join(model._dictionary(spark, "labels"), "label")
+    colors = colors.groupBy(*GRAPH).agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "idx"))), lambda x: x["idx"]).alias("colors"))
+    graphs = good.join(colors, list(GRAPH)).select(F.col("group_item").alias("graph_id"), "group", (F.col("weight") * F.col("weight_ug")).alias("weight"), "bonds", "colors")
+    model.fragments = mining.fit_fragments(graphs, max_size, limit, min_count, rounds, prune, floor, search=search)
     if targets or filtered:
-        done = written(model.process(good.drop("labels", "bonds")), "vectors")
+        plain = good.drop("labels", "bonds", *GRAPH[1:], "weight_ug").dropDuplicates(["group_item"])
+        done = written(model.process(plain), "vectors")
         cells = long_cells(done)
         if filtered:
             columns, norms, basis = linear.span_basis(cells)
             model.span = {"columns": columns, "norms": norms.tolist(), "basis": basis.tolist()}
+        known = written(scoring.final_weights(done.where("filter = 'NONE'")), "weighted") if targets else None
         for t in targets:
-            known = scoring.final_weights(done.where("filter = 'NONE'"))
-            y = known.select(F.struct("group_item", "part").alias("row_id"), F.col("final_weight").alias("weight"), F.col(f"value_{t}").alias("y"))
-            model.coefficients[t] = linear.least_squares(cells, y)
+            y = known.select(F.struct(*ROW).alias("row_id"), F.col("final_weight").alias("weight"), F.col(f"value_{t}").alias("y"))
+            missing = good.where(F.col(f"value_{t}").isNull()).select("group_item").distinct().count()
+            if missing:
+                warnings.warn(f"{missing} rows have no value of {t!r} and are left out of its model", stacklevel=2)
+            if tolerance is None:
+                model.coefficients[t] = linear.least_squares(cells, y)
+            else:
+                model.coefficients[t] = krylov.solved(cells, y, tolerance, max_iterations)
     return model

@@ -92,17 +92,20 @@ def in_span(cells: DataFrame, train: DataFrame, tolerance: float = 1e-6) -> Data
 
 
 def in_span_of(cells: DataFrame, idx: list[int], norm: np.ndarray, basis: np.ndarray, tolerance: float = 1e-6) -> DataFrame:
-    """The same for a span that `span_basis` has found."""
-    at = {k: n for n, k in enumerate(idx)}
+    """The same for a span that `span_basis` has found; tasks get it as one broadcast, of MAX_COLUMNS columns at most."""
+    if len(idx) > MAX_COLUMNS:
+        raise ValueError(f"{len(idx)} columns; at most {MAX_COLUMNS}")
+    shared = cells.sparkSession.sparkContext.broadcast(({k: n for n, k in enumerate(idx)}, norm, basis))
 
     def judge(batches):
+        at, norm, basis = shared.value
         for b in batches:
             ok = []
             for row in b.column("c").to_pylist():
                 if any(c["idx"] not in at and c["value"] for c in row):
                     ok.append(False)
                     continue
-                x = np.zeros(len(idx))
+                x = np.zeros(len(at))
                 for c in row:
                     if c["idx"] in at:
                         x[at[c["idx"]]] += c["value"] / norm[at[c["idx"]]]
@@ -112,3 +115,28 @@ def in_span_of(cells: DataFrame, idx: list[int], norm: np.ndarray, basis: np.nda
 
     rows = cells.groupBy("row_id").agg(F.collect_list(F.struct("idx", "value")).alias("c"))
     return rows.mapInArrow(judge, f"row_id {rows.schema['row_id'].dataType.simpleString()}, in_span boolean")
+
+
+def covariance_groups(scaled: DataFrame, tolerance: float = 1e-6) -> list[list[int]]:
+    """Columns whose coefficients can't be told apart: groups of two or more that share combinations with no effect.
+
+    `scaled` is a `scaled_gram`. Two columns belong together if a vector that the matrix makes zero, among those nearest
+    to one of them, has a part of the other; groups are the components of that. Columns of which no such vector has a
+    part are in none.
+    """
+    idx = sorted({r["i"] for r in scaled.where("i = j").select("i").toLocalIterator()})
+    if len(idx) > MAX_COLUMNS:
+        raise ValueError(f"{len(idx)} columns; at most {MAX_COLUMNS} are solved on the driver")
+    if not idx:
+        return []
+    values, vectors = np.linalg.eigh(_dense(scaled, idx))
+    kernel = vectors[:, values <= tolerance * max(values.max(), 1e-300)]
+    together = np.abs(kernel @ kernel.T) > tolerance
+    group = np.arange(len(idx))
+    while True:  # the smallest number among neighbours, until nothing changes
+        least = np.where(together, group[None, :], len(idx)).min(axis=1)
+        new = np.minimum(group, least)
+        if (new == group).all():
+            break
+        group = new
+    return [[idx[k] for k in np.flatnonzero(group == g)] for g in np.unique(group) if (group == g).sum() > 1]

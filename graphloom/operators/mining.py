@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.logs import logsumexp, normalized_logs, shares_of_counts
 from ..plans.shared import written
@@ -129,9 +130,9 @@ def partitions(
             used = Counter(rows[x][1] for x in cover)
             yield {"graph_id": r["graph_id"], "part": k, "lweight": sum(rows[x][2] for x in cover), "frags": [{"id": i, "n": n} for i, n in sorted(used.items())]}
 
-    frag = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())]))
-    fields = [("graph_id", pa.int64()), ("part", pa.int32()), ("lweight", pa.float64()), ("frags", frag)]
-    return graphs.mapInArrow(each(fields, kernel), "graph_id bigint, part int, lweight double, frags array<struct<id:int,n:int>>")
+    frag, kind = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())])), graphs.schema["graph_id"].dataType
+    fields = [("graph_id", to_arrow_type(kind)), ("part", pa.int32()), ("lweight", pa.float64()), ("frags", frag)]
+    return graphs.mapInArrow(each(fields, kernel), f"graph_id {kind.simpleString()}, part int, lweight double, frags array<struct<id:int,n:int>>")
 
 
 def fragment_loss(parts: DataFrame, weights: DataFrame, model: dict[str, tuple[int, float]]) -> DataFrame:

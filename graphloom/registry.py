@@ -456,3 +456,6 @@ def in_span_filter(spark, sf_dir) -> DataFrame:
     """Of rows of all labels, those in the span of what the first four labels give; there, they span all four columns."""
     cells = _cells(spark, sf_dir)
     return linear.in_span(cells, cells.where("idx < 4"))
+
+
+from . import stage_queries  # noqa: E402, F401 (these use what stands above)
