@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.features import canonical_columns, decode_features, encode_features
-from .model import GraphModel, parsed, train
+from .model import GraphModel, train
+from .operators.tuning import Search
+from .plans.shared import written
 from .sources.tables import load_table, save_table
+from .stages import Alternatives, Best, Stages
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,13 +35,20 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--train-iter", type=int, default=5)
     t.add_argument("--prune-frac", type=float, default=0.0)
     t.add_argument("--filter", action="store_true")
+    t.add_argument("--min-part-weight", type=float, default=-50.0, help="least log-weight of a fragment")
+    t.add_argument("--plimit", type=int, default=64, help="partitions of a graph that are looked at; 0: all")
+    t.add_argument("--max-iter", type=int, default=65536, help="states of a search for partitions; 0: any number")
+    t.add_argument("--max-heap", type=int, default=65536, help="states that a search keeps; 0: any number")
+    t.add_argument("--fit-tolerance", type=float, help="solve linear models by iteration, to this tolerance")
+    t.add_argument("--fit-iter-lim", type=int, default=10_000)
+    t.add_argument("--alternatives", action="store_true", help="labels may be lists of alternatives")
     m = sub.add_parser("map", parents=[columns])
     for name in ("model", "datafile", "outfile"):
         m.add_argument(name)
     m.add_argument("--format")
     m.add_argument("--compact", action="store_true")
     e = sub.add_parser("eval")
-    e.add_argument("what", choices=("label", "filter", "info", "predict", "debug"))
+    e.add_argument("what", choices=("label", "filter", "info", "predict", "debug", "explain", "features"))
     e.add_argument("model")
     e.add_argument("graph")
     e.add_argument("target", nargs="?")
@@ -49,23 +59,28 @@ def _parser() -> argparse.ArgumentParser:
 def _rows(spark: SparkSession, a, path: str):
     df = load_table(spark, path, a.input_format)
     rows = canonical_columns(df, a.data_column, a.group_column, a.weight_column, a.feature_column, tuple(getattr(a, "target_column", ())))
-    return rows.withColumn("group_item", F.monotonically_increasing_id())
+    return written(rows.withColumn("group_item", F.monotonically_increasing_id()), "rows")  # numbers that stay, however often they are read
 
 
 def evaluate(spark: SparkSession, model: GraphModel, what: str, graph: str, target: str | None = None, features: str | None = None):
-    """One graph's labels, state, information or prediction; None if it has none. debug says why it was rejected."""
+    """One graph's labels, features, state, information or prediction; None if it has none.
+
+    debug and explain say why it was rejected, by unknown labels and in words. A graph with several readings has a list of labels for each; its state is the worst of theirs.
+    """
     row = spark.createDataFrame([(0, 0, 1.0, graph, features)], "group_item long, group long, weight double, data string, f string")
     row = row.withColumn("extern_feat", decode_features(F.col("f"))).drop("f")
     if what == "label":
-        return parsed(row).first()["labels"]
-    done = model.process(row)
-    if what == "filter":
-        return min((r["filter"] for r in done.select("filter").collect()), key=lambda s: s != "NONE")
-    if what == "debug":
-        state = done.select("filter").first()["filter"]
-        labels = parsed(row).first()["labels"] or []
-        unknown = sorted({x for x in labels if x not in model.labels})
-        return {"filter": state, "unknown_labels": unknown}
+        found = [r["labels"] for r in model.parsed(row).orderBy("group_norm").select("labels").collect()]
+        return found[0] if len(found) == 1 else found
+    if what == "features":
+        cells = [c for r in model.process(row).where("group_norm = 0 AND part = 0").select("cells").collect() for c in r["cells"] or ()]
+        names = model.final_features()
+        return {names[c["idx"]]: c["value"] for c in cells} or None
+    if what in ("filter", "debug", "explain"):
+        said = model.explain(row).first()
+        labels = {x for r in model.parsed(row).select("labels").collect() for x in r["labels"] or ()}
+        more = {"debug": {"unknown_labels": sorted(labels - model.labels.keys())}, "explain": {"reason": said["reason"]}}
+        return said["filter"] if what == "filter" else {"filter": said["filter"], **more[what]}
     found = model.evaluate(row).first()
     if found is None:
         return None
@@ -77,7 +92,13 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     if a.command == "train":
         size = a.max_ssize if a.enable_part else 1
-        train(spark, _rows(spark, a, a.data), tuple(a.target_column), a.min_count, size, a.slimit, a.train_iter, a.prune_frac, a.filter).save(a.outfile)
+        search = Search(a.plimit or None, a.max_iter or None, a.max_heap or None)
+        parse = {"parse": Alternatives()} if a.alternatives else {}
+        model = train(
+            spark, _rows(spark, a, a.data), tuple(a.target_column), a.min_count, size, a.slimit, a.train_iter, a.prune_frac, a.filter,
+            Stages(partition=Best(search.limit, search.max_iter, search.max_heap), **parse), a.min_part_weight, search, a.fit_tolerance, a.fit_iter_lim,
+        )
+        model.save(a.outfile)
     elif a.command == "map":
         model, rows = GraphModel.load(a.model), _rows(spark, a, a.datafile)
         out = model.evaluate(rows) if a.compact else model.process(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.cli import evaluate, main
 from graphloom.model import GraphModel, Stages, parsed, train
 from graphloom.operators import mining
+from graphloom.stages import Alternatives, Best
 
 # Rows and a query whose information and prediction must come out as below.
 ROWS = [
@@ -29,6 +30,8 @@ def test_single_labels(spark, rows, tmp_path):
     assert evaluate(spark, model, "filter", BUTANOL) == "NONE"
     assert evaluate(spark, model, "label", BUTANOL) == ["A", "B", "B", "C", "D"]
     assert evaluate(spark, model, "debug", '0,1;["A","Z"]') == {"filter": "COLOR", "unknown_labels": ["Z"]}
+    assert evaluate(spark, model, "explain", '0,1;["A","Z"]') == {"filter": "COLOR", "reason": "unknown labels: Z"}
+    assert evaluate(spark, model, "features", BUTANOL) == {f";{model.labels[x]}": float(n) for x, n in (("A", 1), ("B", 2), ("C", 1), ("D", 1))}
     assert evaluate(spark, model, "info", '0,1;["A","Z"]') is None
     for bad in ("", "x", "0,5;[\"A\"]", ";[]"):
         assert evaluate(spark, model, "filter", bad) == "PARSE"
@@ -63,6 +66,11 @@ def test_command_line(spark, rows, tmp_path, capsys):
     capsys.readouterr()
     assert main(["eval", "filter", model, BUTANOL]) == 0 and "NONE" in capsys.readouterr().out
     assert main(["eval", "info", model, ';["unknown"]']) == 1
+    more = ["--enable-part", "--max-ssize", "2", "--prune-frac", "0.3", "--plimit", "0", "--max-iter", "0", "--max-heap", "0", "--min-part-weight", "-20"]
+    assert main(["train", path, model, "--group-column", "group", "--target-column", "value_h", "--alternatives", "--fit-tolerance", "1e-10", *more]) == 0
+    found = GraphModel.load(model)
+    assert found.stages == Stages(parse=Alternatives(), partition=Best(None, None, None)) and all(w >= -21 for _, w in found.fragments.values())
+    assert evaluate(spark, found, "label", ';[["A","B"]]') == [["A"], ["B"]]
 
 
 def test_replaced_stages(spark):
