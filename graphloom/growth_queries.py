@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import order_lines, query, rounded
-from .operators import growth
+from .catalog import CHORDS, OV, order_lines, query, rounded
+from .functions import graphtext
+from .operators import graphs as graph_operators
+from .operators import growth, mining
 from .operators.bonded import BOND, parse_bonded
 from .operators.mining import each
-from .path_queries import N_COLORS, PV
+from .path_queries import N_COLORS, PV, _model, _path_graphs, _pieces_sql, _summed
+from .plans import views
 from .plans.shared import written
 
 MIN_GROUPS = 5
@@ -35,8 +38,8 @@ FROM em JOIN apart USING (graph_id, name) GROUP BY name),
 kept AS (SELECT *, rank() OVER (ORDER BY CASE WHEN size > 1 THEN 1 ELSE 0 END, weight DESC, n_groups DESC, n_graphs DESC, n_disjoint DESC) AS place FROM f WHERE size = 1 OR n_groups >= {MIN_GROUPS})"""
 
 
-def _graphs(spark, sf_dir) -> DataFrame:
-    v = order_lines(spark, sf_dir).withColumn("color", (F.col("supplier") % N_COLORS).cast("int"))
+def _graphs(spark, sf_dir, color: str = f"supplier % {N_COLORS}") -> DataFrame:
+    v = order_lines(spark, sf_dir).withColumn("color", F.expr(color).cast("int"))
     lines = F.array_sort(F.collect_list(F.struct("v", "color", "supplier"))).alias("lines")
     g = v.groupBy("graph_id").agg(F.first("group").alias("group"), F.first("weight").alias("weight"), lines)
     later = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
@@ -96,3 +99,63 @@ def locate_by_tree(spark, sf_dir) -> DataFrame:
     pins = written(found.select("fragment"), "pins")
     at = growth.locate(graphs, growth.tree_of(pins), pins)
     return _named(at.select("graph_id", "fragment", F.size("maps").cast("bigint").alias("n"), "n_disjoint"))
+
+
+@query(f"""WITH {OV}, q AS (SELECT graph_id, v, supplier AS c, (supplier + lead(supplier) OVER w) % 2 AS b, lead(supplier) OVER w AS c2, (lead(supplier) OVER w + lead(supplier, 2) OVER w) % 2 AS b2,
+lead(supplier, 2) OVER w AS c3 FROM ov WINDOW w AS (PARTITION BY graph_id ORDER BY v)),
+r2 AS (SELECT graph_id, v, least(c || '(' || b || ')' || c2, c2 || '(' || b || ')' || c) AS name FROM q WHERE c2 IS NOT NULL),
+r3 AS (SELECT graph_id, v, least(c || '(' || b || ')' || c2 || '(' || b2 || ')' || c3, c3 || '(' || b2 || ')' || c2 || '(' || b || ')' || c) AS child FROM q WHERE c3 IS NOT NULL),
+n AS (SELECT name, count(*) AS n FROM r2 GROUP BY name),
+i AS (SELECT DISTINCT r2.graph_id, r2.v, name, child FROM r2 JOIN r3 ON r2.graph_id = r3.graph_id AND r3.v IN (r2.v, r2.v - 1)),
+d AS (SELECT name FROM i JOIN n USING (name) GROUP BY name, child HAVING count(*) = any_value(n))
+SELECT name AS fragment, 2 AS size, n FROM n WHERE name NOT IN (SELECT name FROM d) UNION ALL SELECT CAST(c AS VARCHAR), 1, count(*) FROM q GROUP BY c""")
+def mine_bonded_closed(spark, sf_dir) -> DataFrame:
+    """Fragments of up to two vertices without those that always lie in one and the same larger one; colours are suppliers."""
+    found, _ = growth.mine(_graphs(spark, sf_dir, "supplier"), 2, closed=True)
+    return _named(found.select("fragment", "size", "n"))
+
+
+def _bell(n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {n} * (ln(0.792 * {n}) - ln(ln({n} + 1))) ELSE 0 END"
+
+
+SEEDS = 20
+
+
+@query(f"""WITH {BONDED_RUNS}, al AS (SELECT graph_id, count(*) AS n FROM pv GROUP BY graph_id),
+w1 AS (SELECT graph_id, name, size, count(*) AS ways FROM runs WHERE size = 1 GROUP BY graph_id, name, size), w2 AS (SELECT graph_id, name, size, 2 * count(*) AS ways FROM runs WHERE size = 2 GROUP BY graph_id, name, size),
+room AS (SELECT {SEEDS} - count(DISTINCT name) AS room FROM w1),
+k2 AS (SELECT name, g FROM (SELECT name, count(*) AS g, rank() OVER (ORDER BY count(*) DESC) AS place FROM w2 GROUP BY name HAVING count(*) >= {MIN_GROUPS}), room WHERE place <= room),
+w3 AS (SELECT graph_id, name, size, CAST(sum((left_part IN (SELECT name FROM k2))::INT + (right_part IN (SELECT name FROM k2))::INT) AS BIGINT) AS ways FROM runs WHERE size = 3 GROUP BY graph_id, name, size HAVING sum((left_part IN (SELECT name FROM k2))::INT + (right_part IN (SELECT name FROM k2))::INT) > 0),
+k3 AS (SELECT name, count(*) AS g FROM w3 GROUP BY name HAVING count(*) >= {MIN_GROUPS}),
+k AS (SELECT name FROM (SELECT name, rank() OVER (ORDER BY g DESC) AS place FROM (SELECT * FROM k2 UNION ALL SELECT * FROM k3)), room WHERE place <= room UNION ALL SELECT DISTINCT name FROM w1),
+m AS (SELECT name, any_value(size) AS size, count(*) AS n_graphs, sum(exp(ln(ways) + CASE WHEN size < n THEN {_bell("size")} + {_bell("(n - size)")} - ({_bell("n")}) ELSE 0 END)) AS mass
+FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) JOIN al USING (graph_id) JOIN k USING (name) GROUP BY name)
+SELECT name AS fragment, CAST(size AS INT) AS size, n_graphs, round(ln(mass / (SELECT sum(mass) FROM m)), 6) AS lweight FROM m""")
+def bell_seeds(spark, sf_dir) -> DataFrame:
+    """First log-weights of the fragments in the most graphs, by shares of partitions that Bell numbers estimate."""
+    found = growth.bell_seeds(_graphs(spark, sf_dir), 3, SEEDS, MIN_GROUPS)
+    return _named(found).withColumn("lweight", rounded("lweight"))
+
+
+@query(f"""WITH {CHORDS}, b AS (SELECT DISTINCT graph_id, src, trg FROM ob), c AS (SELECT * FROM b WHERE trg - src > 1),
+p AS (SELECT b.graph_id, b.src, EXISTS (SELECT 1 FROM c WHERE c.graph_id = b.graph_id AND c.src <= b.src AND c.trg >= b.trg) AS inside FROM b WHERE trg - src = 1),
+s AS (SELECT *, src - row_number() OVER (PARTITION BY graph_id, inside ORDER BY src) AS island FROM p), r AS (SELECT graph_id, src, CASE WHEN inside THEN min(src) OVER (PARTITION BY graph_id, inside, island) END AS ring FROM s)
+SELECT b.graph_id, CAST(b.src AS INT) AS src, CAST(b.trg AS INT) AS trg, CAST(r.ring AS INT) AS ring FROM b JOIN r ON r.graph_id = b.graph_id AND r.src = b.src""")
+def graph_rings(spark, sf_dir) -> DataFrame:
+    """Order graphs with chords between lines of one supplier: which bonds lie on rings, and which rings hang together."""
+    v = order_lines(spark, sf_dir).withColumn("color", F.lit(0))
+    g = graphtext.gather(v, views.supplier_bonds(v), "color").select("graph_id", "bonds", F.col("values").alias("colors"))
+    return graph_operators.rings(g).select("graph_id", "src", "trg", "ring")
+
+
+@query(f"""WITH RECURSIVE {_pieces_sql()}, len AS (SELECT graph_id, count(*) AS n FROM pv GROUP BY graph_id),
+r AS (SELECT graph_id, 0 AS v, [0]::INT[] AS ids, 0::BIGINT AS inner_bonds, 0.0::DOUBLE AS lw FROM len UNION ALL
+SELECT r.graph_id, r.v + t.size, list_append(ids, CAST(id AS INT)), inner_bonds + t.size - 1, r.lw + t.lw FROM r JOIN tiles t ON t.graph_id = r.graph_id AND t.v = r.v),
+f AS (SELECT r.graph_id, n, ids[2:] AS ids, n - 1 - inner_bonds AS outer_bonds, lw FROM r JOIN len ON len.graph_id = r.graph_id AND r.v = n),
+g AS (SELECT graph_id, lw - list_sum(list_transform(list_distinct(ids), lambda i: lgamma(len(list_filter(ids, lambda x: x = i)) + 1))) + lgamma(len(ids) + 1)
+- CASE WHEN outer_bonds < 2 THEN 0 ELSE outer_bonds * ln(2) - ln(pi()) / 2 + lgamma(outer_bonds + 0.5) END AS lw FROM f)
+SELECT graph_id, CAST(count(*) AS BIGINT) AS n_parts, round(ln(sum(exp(lw))), 6) AS lweight, round(max(lw), 6) AS best FROM g GROUP BY graph_id""")
+def structural_covers(spark, sf_dir) -> DataFrame:
+    """All partitions, likelier by the ways to compose their pieces and less likely by those to bond them."""
+    return _summed(mining.partitions(_path_graphs(spark, sf_dir), _model(), 2, limit=None, max_iter=None, max_heap=None, structural=True))

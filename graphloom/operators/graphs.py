@@ -133,3 +133,25 @@ def top_with_ties(df: DataFrame, k: int, value: str, keys: list[str] | None = No
         return df.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(value)))).where(F.col("_r") <= k).drop("_r")
     bound = df.select(value).orderBy(F.desc(value)).limit(k).agg(F.min(value).alias("_least"))
     return df.crossJoin(F.broadcast(bound)).where(F.col(value) >= F.col("_least")).drop("_least")
+
+
+def rings(graphs: DataFrame) -> DataFrame:
+    """graph_id, src, trg (src < trg), block and ring of every bond of rows (graph_id, bonds, colors).
+
+    block: number of the bonds' block in the graph, the largest set of bonds any two of which lie on one ring. ring: the
+    smallest vertex that both ends reach without a bridge; null for a bridge, which lies on no ring.
+    """
+    from .kernels import ring_blocks
+    from .mining import each, graph_of
+
+    def kernel(r):
+        colors, bonds = graph_of(r)
+        block, least = ring_blocks(len(colors), bonds)
+        sizes: dict[int, int] = {}
+        for k in block.values():
+            sizes[k] = sizes.get(k, 0) + 1
+        for (a, b), k in sorted(block.items()):
+            yield {"graph_id": r["graph_id"], "src": a, "trg": b, "block": k, "ring": least[a] if sizes[k] > 1 else None}
+
+    fields = [("graph_id", pa.int64()), ("src", pa.int32()), ("trg", pa.int32()), ("block", pa.int32()), ("ring", pa.int32())]
+    return graphs.select("graph_id", "bonds", "colors").mapInArrow(each(fields, kernel), "graph_id bigint, src int, trg int, block int, ring int")

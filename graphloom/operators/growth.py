@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.logs import ln_bell, shares_of_counts
 from ..plans.shared import written
 from .bonded import BOND, bonded_search, bonded_text, parse_bonded
 from .kernels import most_disjoint
@@ -130,7 +131,18 @@ def _bounded(fragments: DataFrame) -> DataFrame:
     return fragments
 
 
-def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def dependent(rows: DataFrame, more: DataFrame, made: DataFrame) -> DataFrame:
+    """The fragments of `rows` all of whose occurrences grow, by a step of `made`, into one and the same fragment.
+
+    `more` are their extensions; an occurrence counts once for each fragment that it grows into.
+    """
+    n = rows.groupBy("fragment").agg(F.sum(F.size("maps")).alias("n"))
+    into = more.join(made, ["parent", "op"]).select("graph_id", F.col("parent").alias("fragment"), F.slice("full", F.lit(1), F.size("full") - 1).alias("m"), F.col("fragment").alias("child"))
+    into = into.distinct().groupBy("fragment", "child").agg(F.count(F.lit(1)).alias("inside"))
+    return into.join(n, "fragment").where("inside = n").select("fragment").distinct()
+
+
+def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | None = None, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The common fragments of up to `max_size` vertices with their rank, and the steps that made them.
 
     Fragments are what connected sets of vertices induce. Single vertices all stay and come first; they and larger ones
@@ -140,20 +152,28 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
     in enough groups reach it alone, only single vertices. As no fragment has a better key than one that it grew from,
     those behind the limit don't grow.
 
+    With `closed`, a fragment of more than one vertex is left out, though it grows, if all its occurrences grow into one
+    and the same larger one, which then says all that it does; the limit counts those that stay. Those of `max_size` are
+    judged by what they would grow into.
+
     One shuffle of occurrences by graph for each size; what is ranked in one place is the dictionary of fragments, at
     most MAX_FRAGMENTS of a size. Graphs without vertices have no occurrences; repeated graph_ids are one graph's rows
     and not allowed.
     """
     near = written(with_neighbors(graphs), "neighbors")
-    occurrences, levels, steps = single_vertices(near), [], []
+    occurrences, steps = single_vertices(near), []
     found = enough = n_single = None
     for size in range(1, max_size + 1):
         rows = written(by_graph(occurrences), "occurrences")
         level = measured(rows, near)
         level = written(_bounded(level if size == 1 else level.where(F.col("n_groups") >= min_groups)), "fragments")
-        levels.append(level)
-        found = level if found is None else found.unionByName(level)
         growing = level.where(F.col("n_groups") >= min_groups)
+        if closed and size > 1:
+            all_of = rows.join(level.select("fragment"), "fragment", "left_semi")
+            longer = written(extensions(all_of.select("graph_id", "fragment", F.explode("maps").alias("m")), near), "extensions")
+            idle = dependent(all_of, longer, steps_of(longer.select("parent", "op").distinct()))
+            level = written(level.join(idle, "fragment", "left_anti"), "closed")
+        found = level if found is None else found.unionByName(level)
         if limit is not None:
             if size == 1:
                 n_single, n_growing = level.count(), growing.count()
@@ -179,7 +199,46 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
     none = graphs.sparkSession.createDataFrame([], STEPS)
     for made in steps:
         none = none.unionByName(made)
-    return ranked, none.join(ranked.select("fragment"), "fragment", "left_semi").select("parent", "op", "fragment", "places")
+    # of closed fragments, those that are left out may lie on the way
+    return ranked, none if closed else none.join(ranked.select("fragment"), "fragment", "left_semi").select("parent", "op", "fragment", "places")
+
+
+def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: int = 1, ratio: bool = True) -> DataFrame:
+    """fragment, size, n_graphs and lweight, a first guess of a model's log-weights.
+
+    Single vertices all stay. Of larger fragments, found size by size from those that stay so far, those in the most
+    graphs stay, so that there are n_fragments with the single ones; all that tie with the last one do, too, so their
+    number may be larger, by less than those that tie. A graph adds, to a fragment, its number of ways to grow it from
+    one that stayed, by `ratio` times the share of partitions of as many vertices that have it as a piece, as Bell
+    numbers estimate it; the log-weights are of these sums, to sum to 1.
+    """
+    near = written(with_neighbors(graphs), "neighbors")
+    total = near.select("graph_id", F.size("colors").alias("all"))
+    occurrences = written(single_vertices(near), "occurrences")
+    counts = occurrences.groupBy("graph_id", "fragment").agg(F.count(F.lit(1)).alias("ways"))
+
+    def judged(counts: DataFrame) -> DataFrame:
+        c = counts.join(total, "graph_id").withColumn("size", size_of("fragment"))
+        share = ln_bell(F.col("size")) + ln_bell(F.col("all") - F.col("size")) - ln_bell(F.col("all"))
+        share = F.when(F.col("size") < F.col("all"), share).otherwise(0.0) if ratio else F.lit(0.0)
+        return c.groupBy("fragment", "size").agg(F.count(F.lit(1)).alias("n_graphs"), F.sum(F.exp(F.ln("ways") + share)).alias("mass"))
+
+    found = written(_bounded(judged(counts)), "fragments")
+    room = n_fragments - found.count()
+    if room < 0:
+        raise ValueError(f"more than {n_fragments} single vertices")
+    for size in range(2, max_size + 1):
+        growing = occurrences.join(found.where(F.col("size") == size - 1), "fragment", "left_semi")
+        more = written(extensions(growing, near), "extensions")
+        made = written(steps_of(more.select("parent", "op").distinct()), "steps")
+        level = judged(more.join(made, ["parent", "op"]).groupBy("graph_id", "fragment").agg(F.count(F.lit(1)).alias("ways")))
+        both = written(_bounded(found.where("size > 1").unionByName(level.where(F.col("n_graphs") >= min_graphs))), "fragments")
+        kept = both.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n_graphs")))).where(F.col("rank") <= room).drop("rank")  # of a bounded dictionary
+        found = written(found.where("size = 1").unionByName(kept), "fragments")
+        if found.where(F.col("size") == size).isEmpty():
+            break
+        occurrences = written(grown(more, made), "occurrences")
+    return shares_of_counts(found, "mass", "lweight").select("fragment", "size", "n_graphs", "lweight")
 
 
 def _chain(text: str) -> list[dict]:

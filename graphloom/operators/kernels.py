@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 from collections.abc import Generator, Iterable, Iterator
 from functools import wraps
 from itertools import count
-from math import exp, inf, log, log1p
+from math import exp, inf, lgamma, log, log1p, pi
 
 Bonds = tuple[tuple[int, int], ...]
 
@@ -297,16 +297,13 @@ def all_exact_covers(covers: list[list[int]]) -> Iterator[list[int]]:
     return visit(0, [])
 
 
-def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: int | None = None, max_heap: int | None = None) -> Generator[list[int], None, bool]:
-    """Exact covers best first by search cost, the sum of weight over size of the rows; returns whether these are all.
+def _best_first(c: _Covers, rating, start: float, max_iter: int | None, max_heap: int | None) -> Generator[list[int], None, bool]:
+    """Exact covers in the order of `rating(chosen rows, covered)`, of equal ones the first in; returns whether these are all.
 
-    Partial covers wait by that cost and, for each open item, the least cost of a row that fits; of equal ones the first
-    in goes first. Every state taken counts against max_iter; a state that finds max_heap waiting ends the search.
+    Every state taken counts against max_iter; a state that finds max_heap waiting ends the search.
     """
-    c = _Covers(covers)
-    cost = [w / max(1, m.bit_count()) for w, m in zip(weights, c.masks, strict=True)]
     ticket, heap, left = count(), [], max_iter
-    heapq.heappush(heap, (0.0, next(ticket), 0, ()))
+    heapq.heappush(heap, (start, next(ticket), 0, ()))
     while heap and left != 0:
         left = None if left is None else left - 1
         _, _, covered, chosen = heapq.heappop(heap)
@@ -318,11 +315,131 @@ def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: in
             if max_heap is not None and len(heap) >= max_heap:
                 return False
             now, picked = covered | c.masks[r], (*chosen, r)
-            ahead = [min((cost[x] for x in rows), default=inf) for rows in c.fitting(now)]
-            heapq.heappush(heap, (sum(cost[x] for x in picked) + sum(ahead), next(ticket), now, picked))
+            heapq.heappush(heap, (rating(picked, now), next(ticket), now, picked))
     return not heap
 
 
+def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: int | None = None, max_heap: int | None = None) -> Generator[list[int], None, bool]:
+    """Exact covers best first by search cost, the sum of weight over size of the rows; returns whether these are all.
+
+    Partial covers wait by that cost and, for each open item, the least cost of a row that fits. See `_best_first`.
+    """
+    c = _Covers(covers)
+    cost = [w / max(1, m.bit_count()) for w, m in zip(weights, c.masks, strict=True)]
+
+    def rating(picked: tuple[int, ...], covered: int) -> float:
+        return sum(cost[x] for x in picked) + sum(min((cost[x] for x in rows), default=inf) for rows in c.fitting(covered))
+
+    return _best_first(c, rating, 0.0, max_iter, max_heap)
+
+
+def least_by_size(sizes: Iterable[int], costs: Iterable[float], most: int) -> list[float]:
+    """The least cost of rows of 0, 1, ... `most` items together, whichever items; infinite where sizes don't add up."""
+    single: dict[int, float] = {}
+    for s, w in zip(sizes, costs, strict=True):
+        if s > 0:
+            single[s] = min(single.get(s, inf), w)
+    least = [0.0]
+    for n in range(1, most + 1):
+        least.append(min((w + least[n - s] for s, w in single.items() if s <= n), default=inf))
+    return least
+
+
+def _ln_factorial(n: int) -> float:
+    return lgamma(n + 1)
+
+
+def composition_cost(labels: Iterable[int], open_vertices: int) -> float:
+    """ln of the product of the labels' count factorials, less that of as many things as there are labels and open vertices."""
+    counts = Counter(labels)
+    return sum(map(_ln_factorial, counts.values())) - _ln_factorial(counts.total() + open_vertices)
+
+
+def bonding_cost(inner: int, bonds: int) -> float:
+    """ln of the ways to pair the ends of the bonds that no piece has inside."""
+    n = bonds - inner
+    return 0.0 if n < 2 else n * log(2) - log(pi) / 2 + lgamma(n + 0.5)
+
+
+def top_structural_covers(
+    covers: list[list[int]], weights: list[float], inner_bonds: list[int], bonds: int, labels: list[int], vertices: int, max_iter: int | None = None, max_heap: int | None = None
+) -> Generator[list[int], None, bool]:
+    """Exact covers by the sum of their rows' weights and what their composition costs; returns whether these are all.
+
+    A cover adds `composition_cost` of its rows' labels and `bonding_cost` of the bonds that no row has inside. A partial
+    one counts its open vertices as pieces of their own, and the least that rows of so many items can weigh. As that is an
+    estimate only, the order is that of the search, not of the cost.
+    """
+    c = _Covers(covers)
+    sizes = [m.bit_count() for m in c.masks]
+    ahead = least_by_size(sizes, weights, len(c.columns))
+
+    def rating(picked: tuple[int, ...], covered: int) -> float:
+        done, own = covered.bit_count(), sum(weights[x] for x in picked)
+        cost = own + composition_cost((labels[x] for x in picked), max(vertices - done, 0))
+        if done >= vertices:
+            return cost + bonding_cost(sum(inner_bonds[x] for x in picked), bonds)
+        return cost + ahead[len(c.columns) - done]
+
+    return _best_first(c, rating, 0.0, max_iter, max_heap)
+
+
+def ring_blocks(n: int, bonds: Iterable[tuple[int, int]]) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """Each bond's block, and each vertex's smallest fellow that it reaches without a bridge.
+
+    Blocks are the largest sets of bonds any two of which lie on one ring, numbered from 0; a bridge is a block alone.
+    Bonds are pairs (smaller, larger), repeated ones are one and loops none. A walk keeps, for each vertex, the earliest
+    one that it or what follows can reach by one bond back; where nothing reaches before a vertex, a block ends.
+    """
+    near: dict[int, list[int]] = {v: [] for v in range(n)}
+    for a, b in sorted({(min(b), max(b)) for b in bonds if b[0] != b[1]}):
+        near[a].append(b)
+        near[b].append(a)
+    seen, low, block, waiting = [-1] * n, [0] * n, {}, []
+    order = count()
+    blocks = count()
+    for start in range(n):
+        if seen[start] >= 0:
+            continue
+        seen[start] = low[start] = next(order)
+        walk = [(start, -1, iter(near[start]))]
+        while walk:
+            v, before, rest = walk[-1]
+            w = next(rest, None)
+            if w is None:
+                walk.pop()
+                if walk:
+                    u = walk[-1][0]
+                    low[u] = min(low[u], low[v])
+                    if low[v] >= seen[u]:
+                        number = next(blocks)
+                        while True:
+                            bond = waiting.pop()
+                            block[min(bond), max(bond)] = number
+                            if bond == (u, v):
+                                break
+            elif seen[w] < 0:
+                seen[w] = low[w] = next(order)
+                waiting.append((v, w))
+                walk.append((w, v, iter(near[w])))
+            elif w != before and seen[w] < seen[v]:
+                waiting.append((v, w))
+                low[v] = min(low[v], seen[w])
+    sizes = Counter(block.values())
+    least = list(range(n))
+
+    def find(v: int) -> int:
+        while least[v] != v:
+            v = least[v]
+        return v
+
+    for (a, b), k in block.items():
+        if sizes[k] > 1:
+            x, y = find(a), find(b)
+            least[max(x, y)] = min(x, y)
+    return block, [find(v) for v in range(n)]
+
+
 def top_exact_covers_or_all(covers, weights, n: int | None, max_iter: int | None = None, max_heap: int | None = None) -> tuple[list[list[int]], bool]:
     """The covers of `top_n_exact_covers`, and whether the search came to its end with no more than these."""
     search, out = top_exact_covers(covers, weights, max_iter, max_heap), []

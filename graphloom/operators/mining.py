@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.logs import logsumexp, normalized_logs, shares_of_counts
 from ..plans.shared import written
-from .kernels import all_exact_covers, canonical, fragments_of, most_disjoint, top_n_exact_covers, top_p_exact_covers
+from .kernels import all_exact_covers, bonding_cost, canonical, composition_cost, fragments_of, most_disjoint, top_n_exact_covers, top_p_exact_covers, top_structural_covers
 
 
 #: Fragments of a model, and of a level of its search, at most.
@@ -103,13 +104,15 @@ def partitions(
     max_heap: int | None = 65536,
     share: float | None = None,
     every: bool = False,
+    structural: bool = False,
 ) -> DataFrame:
     """graph_id, part, lweight and frags (id, count) of partitions into the model's fragments.
 
     `model` maps a fragment's text to its id and log-weight. A graph with a vertex that no fragment covers has none.
     They come in the order of the search, by the sum of each piece's negative log-weight over its number of vertices
     (not by likelihood), `limit` of them; with `share`, as many as leave at most that share of the likelihood by
-    estimate; with `every`, all there are, in no order.
+    estimate; with `every`, all there are, in no order. With `structural`, `limit` of them by a search whose costs, and
+    whose lweight, also tell how many ways there are to compose and bond the pieces (`top_structural_covers`).
     """
 
     def search(covers: list[list[int]], costs: list[float]):
@@ -126,9 +129,20 @@ def partitions(
         if not colors or {v for m, _, _ in rows for v in m} != set(range(len(colors))):
             return
         rows.sort()
-        for k, cover in enumerate(search([list(m) for m, _, _ in rows], [-w for _, _, w in rows])):
+        places, costs = [list(m) for m, _, _ in rows], [-w for _, _, w in rows]
+        if structural:
+            pairs = {(min(b), max(b)) for b in bonds}
+            inner = [sum(a in m and b in m for a, b in pairs) for m in map(set, places)]
+            ids = [i for _, i, _ in rows]
+            found_covers = islice(top_structural_covers(places, costs, inner, len(pairs), ids, len(colors), max_iter, max_heap), limit)
+        else:
+            found_covers = search(places, costs)
+        for k, cover in enumerate(found_covers):
             used = Counter(rows[x][1] for x in cover)
-            yield {"graph_id": r["graph_id"], "part": k, "lweight": sum(rows[x][2] for x in cover), "frags": [{"id": i, "n": n} for i, n in sorted(used.items())]}
+            lweight = sum(rows[x][2] for x in cover)
+            if structural:
+                lweight -= composition_cost(used.elements(), 0) + bonding_cost(sum(inner[x] for x in cover), len(pairs))
+            yield {"graph_id": r["graph_id"], "part": k, "lweight": lweight, "frags": [{"id": i, "n": n} for i, n in sorted(used.items())]}
 
     frag, kind = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())])), graphs.schema["graph_id"].dataType
     fields = [("graph_id", to_arrow_type(kind)), ("part", pa.int32()), ("lweight", pa.float64()), ("frags", frag)]

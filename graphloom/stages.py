@@ -107,6 +107,15 @@ class Share:
         return mining.partitions(graphs, fragments, most, None, self.max_iter, self.max_heap, self.share)
 
 
+@stage("partition", "structural")
+@dataclass(frozen=True)
+class Structural(Best):
+    """The first partitions of a search that also weighs how pieces are composed and bonded."""
+
+    def __call__(self, graphs: DataFrame, fragments: dict[str, tuple[int, float]], most: int) -> DataFrame:
+        return mining.partitions(graphs, fragments, most, self.limit, self.max_iter, self.max_heap, structural=True)
+
+
 @stage("partition", "every")
 @dataclass(frozen=True)
 class Every:

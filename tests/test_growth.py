@@ -4,7 +4,7 @@ import itertools
 import math
 import random
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -121,6 +121,60 @@ def test_few_pins_in_other_graphs(spark, graphs):
     assert got == {k: v for k, v in want.items() if k[1] in pins}
 
 
+@pytest.mark.parametrize("most", [2, 3])
+def test_closed(spark, graphs, most):
+    """Without those of which every occurrence grows into one and the same fragment."""
+    graphs = [*graphs, (910, 1, 1.0, [(0, 1, 0), (1, 2, 0), (2, 3, 1)], [5, 5, 6, 6]), (911, 1, 1.0, [(0, 1, 1)], [6, 6])]
+    table = spark.createDataFrame(graphs, GRAPH)
+    want, at = by_hand(graphs, most + 1)
+    within = defaultdict(list)
+    for (g, text), sets in at.items():
+        for m in sets:
+            larger = {t for (h, t), more in at.items() if h == g for x in more if len(x) == len(m) + 1 and set(m) < set(x)}
+            within[text].append(larger)
+    idle = {t for t, found in within.items() if set.intersection(*found)}
+    rows = growth.mine(table, most, closed=True)[0].collect()
+    small = {t for t in want if t.count(",", t.index(";")) < most}
+    assert {r.fragment for r in rows} == {t for t in small if t.startswith(";") or t not in idle}
+    assert idle & small and all(want[r.fragment][4] == r.n for r in rows)
+
+
+def ln_bell(n):
+    return n * (math.log(0.792 * n) - math.log(math.log(n + 1))) if n else 0.0
+
+
+@pytest.mark.parametrize("n_fragments, ratio", [(4, True), (9, True), (9, False), (1000, True)])
+def test_bell_seeds(table, graphs, n_fragments, ratio):
+    _, at = by_hand(graphs, 3)
+    size = lambda t: t.count(",", t.index(";")) + 1
+    colors = {g[0]: len(g[4] or ()) for g in graphs}
+    singles = {t for _, t in at if size(t) == 1}
+    ways = {(g, t): len(sets) for (g, t), sets in at.items() if size(t) == 1}
+    kept, larger = set(singles), Counter()
+    for k in (2, 3):
+        level = Counter()
+        for (g, t), sets in at.items():
+            if size(t) == k:
+                parents = [p for (h, p), small in at.items() if h == g and p in kept and size(p) == k - 1 for x in small for m in sets if set(x) < set(m)]
+                if parents:
+                    ways[g, t] = len(parents)
+                    level[t] += 1
+        larger = Counter({t: n for t, n in (larger + level).items() if n >= 2 or t in kept})
+        room = n_fragments - len(singles)
+        larger = Counter({t: n for t, n in larger.items() if sum(m > n for m in larger.values()) < room})
+        kept = singles | set(larger)
+    mass = Counter()
+    for (g, t), n in ways.items():
+        if t in kept:
+            whole, k = colors[g], size(t)
+            mass[t] += n * math.exp(ln_bell(k) + ln_bell(whole - k) - ln_bell(whole)) if ratio and k < whole else n
+    total = sum(mass.values())
+    got = {r.fragment: r.lweight for r in growth.bell_seeds(table, 3, n_fragments, 2, ratio).collect()}
+    assert got.keys() == mass.keys() and all(math.isclose(got[t], math.log(m / total), rel_tol=1e-9) for t, m in mass.items())
+    with pytest.raises(ValueError):
+        growth.bell_seeds(table, 2, 1)
+
+
 def test_nothing_grows(spark, table):
     none = table.where("1 = 0")
     found, steps = growth.mine(none, 3)

@@ -1,11 +1,15 @@
 import itertools
+import math
 import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.operators.bonded import canonical_bonded, canonical_typed
-from graphloom.operators.kernels import all_exact_covers, canonical, connected_sets, most_disjoint, neighbors, overlap_clusters, top_exact_covers, top_n_exact_covers, top_p_exact_covers
+from graphloom.operators.kernels import (
+    all_exact_covers, bonding_cost, canonical, composition_cost, connected_sets, least_by_size, most_disjoint, neighbors, overlap_clusters, ring_blocks, top_exact_covers, top_n_exact_covers,
+    top_p_exact_covers, top_structural_covers,
+)
 
 # Covers whose order, and whose number by share, must come out as below.
 SMALL = [[1], [2], [3], [4], [5], [6], [7], [1, 2], [1, 2, 3], [3, 4]]
@@ -35,6 +39,7 @@ def test_covers_by_share():
 
 
 def test_most_disjoint():
+    # Counts that must come out so, also where they are not the most.
     for covers, n in (([], 0), ([[1]], 1), ([[0, 1], [1, 2], [2, 3], [3, 4], [3, 5], [3, 6]], 2), ([[2, 3, 4, 5], [2, 3, 4, 6], [2, 3, 5, 6], [3, 4, 5, 6]], 1)):
         assert most_disjoint(covers) == most_disjoint(covers, exact=False) == n
     odd = [[1, 2, 3, 5], [1, 4], [2, 6], [3, 7]]
@@ -103,3 +108,70 @@ def test_automorphisms_and_connected_sets():
     assert canonical((0,) * 6, ring)[1] == 12
     sets = list(connected_sets(6, neighbors(6, ring), 3))
     assert len(sets) == len(set(sets)) == 18
+
+
+def test_structural_covers():
+    """The same covers as without structure; what a finished cover costs; and first the cheapest where the estimate is exact."""
+    r = random.Random(6)
+    for _ in range(60):
+        n = r.randint(1, 6)
+        covers = [[v] for v in range(n)] + [sorted(r.sample(range(n), r.randint(1, n))) for _ in range(5)]
+        weights = [r.random() * 3 for _ in covers]
+        bonds = [(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.5]
+        inner = [sum(a in c and b in c for a, b in bonds) for c in covers]
+        labels = [r.randint(0, 3) for _ in covers]
+        search = top_structural_covers(covers, weights, inner, len(bonds), labels, n)
+        found = [tuple(sorted(x)) for x in search]
+        assert sorted(found) == sorted(tuple(sorted(x)) for x in all_exact_covers(covers)) and len(set(found)) == len(found)
+        for x in found:
+            apart = len(bonds) - sum(inner[k] for k in x)
+            pairings = math.prod(range(2 * apart - 1, 0, -2)) if apart > 1 else 1
+            counts = [sum(labels[k] == label for k in x) for label in range(4)]
+            want = math.log(math.prod(map(math.factorial, counts)) / math.factorial(len(x))) + math.log(pairings)
+            assert math.isclose(composition_cost((labels[k] for k in x), 0) + bonding_cost(sum(inner[k] for k in x), len(bonds)), want, abs_tol=1e-9)
+    some = top_structural_covers([[0], [1], [0, 1]], [1.0, 1.0, 1.0], [0, 0, 1], 1, [0, 1, 2], 2, max_iter=1)
+    assert list(some) == []
+    # two pieces of unlike kinds can be composed in two ways: ln 2 less
+    ordered = list(top_structural_covers([[0], [1], [0, 1]], [1.0, 1.0, 1.5], [0, 0, 1], 1, [0, 1, 2], 2))
+    assert [sorted(x) for x in ordered] == [[0, 1], [2]]
+
+
+def test_least_by_size():
+    r = random.Random(7)
+    for _ in range(40):
+        rows = [(r.randint(0, 5), r.choice((1.0, 2.5, -1.0 + r.random() * 4))) for _ in range(r.randint(0, 5))]
+        got = least_by_size([s for s, _ in rows], [w for _, w in rows], 7)
+        kinds = [(s, w) for s, w in rows if s]
+        for n in range(8):
+            best = min((sum(w for _, w in c) for k in range(n + 1) for c in itertools.combinations_with_replacement(kinds, k) if sum(s for s, _ in c) == n), default=math.inf)
+            assert got[n] == best or math.isclose(got[n], best)
+
+
+def pieces(n, bonds):
+    """Component of each vertex, by its smallest member."""
+    at = list(range(n))
+    for _ in range(n):
+        for a, b in bonds:
+            at[a] = at[b] = min(at[a], at[b])
+    return at
+
+
+def test_ring_blocks():
+    """A bridge is a bond whose ends part without it; two bonds share a block if no single vertex parts them."""
+    r = random.Random(8)
+    for _ in range(150):
+        n = r.randint(1, 8)
+        bonds = sorted({(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < r.choice((0.2, 0.4))})
+        block, least = ring_blocks(n, [(b, a) if r.random() < 0.5 else (a, b) for a, b in [*bonds, *bonds[:2], (0, 0)]])
+        assert sorted(block) == bonds
+        bridges = {b for b in bonds if (p := pieces(n, [x for x in bonds if x != b]))[b[0]] != p[b[1]]}
+        assert {b for b in bonds if list(block.values()).count(block[b]) == 1} == bridges
+        assert least == pieces(n, [b for b in bonds if b not in bridges])
+        for x, y in itertools.combinations(bonds, 2):
+            # on one ring: no vertex (but a shared end) whose loss parts what is left of the two
+            together = x not in bridges and y not in bridges
+            for v in range(n):
+                p = pieces(n, [b for b in bonds if v not in b])
+                ends = [[w for w in z if w != v] for z in (x, y)]
+                together &= p[ends[0][0]] == p[ends[1][0]]
+            assert (block[x] == block[y]) == together

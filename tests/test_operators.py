@@ -30,6 +30,7 @@ def test_cascade(spark):
         assert got == largest_without_rare(rows, k)
 
 
+# How infinite and missing log-weights share.
 @pytest.mark.parametrize(
     "given, want",
     [
@@ -44,6 +45,7 @@ def test_normalized_logs(spark, given, want):
 
 
 def test_mappings(spark):
+    # Mappings with gaps and repeats, and what must become of them.
     one = spark.range(1)
     arr = lambda *x: F.array(*(F.lit(v) for v in x)).cast("array<int>")
     r = one.select(
