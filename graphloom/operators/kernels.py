@@ -320,9 +320,10 @@ def _best_first(c: _Covers, rating, start: float, max_iter: int | None, max_heap
 
 
 def top_exact_covers(covers: list[list[int]], weights: list[float], max_iter: int | None = None, max_heap: int | None = None) -> Generator[list[int], None, bool]:
-    """Exact covers best first by search cost, the sum of weight over size of the rows; returns whether these are all.
+    """Exact covers by search cost, the sum of weight over size of the rows; returns whether these are all.
 
-    Partial covers wait by that cost and, for each open item, the least cost of a row that fits. See `_best_first`.
+    Partial covers wait by that cost and, for each open item, the least cost of a row that fits. As a row may fit several
+    items, that can be more than what follows costs, so covers needn't come in the order of their costs. See `_best_first`.
     """
     c = _Covers(covers)
     cost = [w / max(1, m.bit_count()) for w, m in zip(weights, c.masks, strict=True)]

@@ -109,8 +109,8 @@ def partitions(
     """graph_id, part, lweight and frags (id, count) of partitions into the model's fragments.
 
     `model` maps a fragment's text to its id and log-weight. A graph with a vertex that no fragment covers has none.
-    They come in the order of the search, by the sum of each piece's negative log-weight over its number of vertices
-    (not by likelihood), `limit` of them; with `share`, as many as leave at most that share of the likelihood by
+    They come in the order of the search (`top_exact_covers`), which is not that of their likelihood, `limit` of them;
+    with `share`, as many as leave at most that share of the likelihood by
     estimate; with `every`, all there are, in no order. With `structural`, `limit` of them by a search whose costs, and
     whose lweight, also tell how many ways there are to compose and bond the pieces (`top_structural_covers`).
     """

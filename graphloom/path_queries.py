@@ -229,6 +229,27 @@ def top_three_covers(spark, sf_dir) -> DataFrame:
     return parts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_parts"))
 
 
+#: Every tiling's search cost and log-weight, by cost; those of equal cost have as many pieces, so the same log-weight.
+_TILINGS = f"""{_pieces_sql()}, len AS (SELECT graph_id, count(*) AS n FROM pv GROUP BY graph_id),
+tl AS (SELECT graph_id, 0 AS v, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS lw FROM len UNION ALL
+SELECT r.graph_id, r.v + t.size, r.cost - t.lw / t.size, r.lw + t.lw FROM tl r JOIN tiles t ON t.graph_id = r.graph_id AND t.v = r.v),
+by_cost AS (SELECT tl.graph_id, n, cost, lw, row_number() OVER (PARTITION BY tl.graph_id ORDER BY round(cost, 9)) AS place FROM tl JOIN len ON len.graph_id = tl.graph_id AND tl.v = len.n)"""
+
+
+SHARE = 0.65
+
+
+@query(f"""WITH RECURSIVE {_TILINGS}, ms AS (SELECT *, n * ln(0.792 * n / ln(n + 1)) AS total, ln(place) AS seen, ln(sum(exp(lw)) OVER (PARTITION BY graph_id ORDER BY place)) AS known FROM by_cost),
+e AS (SELECT *, CASE WHEN total > seen THEN lw + total + ln(1 - exp(seen - total)) END AS rest FROM ms),
+k AS (SELECT graph_id, count(*) AS n_all, min(place) FILTER (rest IS NULL OR rest - ln(exp(rest) + exp(known)) <= ln({SHARE})) AS stop FROM e GROUP BY graph_id)
+SELECT graph_id, n_all, coalesce(stop, n_all) AS n_parts FROM k""")
+def covers_until_share(spark, sf_dir) -> DataFrame:
+    """How many partitions the search gives until the rest is estimated at a share of the likelihood, of how many."""
+    g = _path_graphs(spark, sf_dir)
+    some = mining.partitions(g, _model(), 2, share=SHARE, max_iter=None, max_heap=None).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    return mining.partitions(g, _model(), 2, every=True).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_all")).join(some, "graph_id")
+
+
 #: tp: each tile's share of its graph's likelihood.
 _SHARES = f"""{_SUMS}, bw AS (SELECT graph_id, n AS v, 1.0::DOUBLE AS z, 0.0::DOUBLE AS z0 FROM len
 UNION ALL SELECT f.graph_id, f.v - 1, f.z * exp(a.lw) + CASE WHEN b.lw IS NULL THEN 0 ELSE f.z0 * exp(b.lw) END, f.z
