@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
-from .tokens import slices, word_encoder
+from .tokens import give_back, slices, word_encoder
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -48,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
                 [part.column("id").take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     start = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = start.schema["id"].dataType.simpleString()

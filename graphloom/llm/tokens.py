@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from array import array
 from collections.abc import Iterator
@@ -11,14 +12,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids are kept at most; the store starts anew when it is full.
-STORE_WORDS = 800_000
+#: Words whose ids are kept at most, by each worker as long as it lives; the store starts anew when it is full.
+STORE_WORDS = 300_000
 
 _TAIL = ".,!?;:|#$%&*"
 #: Words of letters that are encoded in one line.
 LINE_WORDS = 1000
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the machine, as its worker lives on and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for `size` places each, one after the other."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
