@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import numbered
+
 FEATURES = "array<struct<name:string,count:bigint>>"
 #: Row states in order of severity.
 STATES = ("NONE", "PARSE", "COLOR", "PARTITION", "FILTER")
@@ -20,17 +22,17 @@ def canonical_columns(df: DataFrame, data: str, group: str | None = None, weight
     """data, group, weight, filter, extern_feat and a value_<target> each.
 
     Empty data is null, a missing weight 1. Without a group column every row is a group of its own, numbered from 0 by
-    `order`, a column that tells rows apart (which takes one task over all rows), or else by any distinct numbers.
+    `order`, a column that tells rows apart, or else by any distinct numbers.
     """
-    from pyspark.sql import Window
-
-    numbered = F.row_number().over(Window.orderBy(order)) - 1 if order else F.monotonically_increasing_id()
+    number = F.monotonically_increasing_id()
+    if order and not group:
+        df, number = numbered(df, "_number", order), F.col("_number")
     feats = F.lit(None).cast(FEATURES)
     if features:
         feats = F.col(features) if df.schema[features].dataType.simpleString().startswith("array") else decode_features(F.col(features))
     return df.select(
         F.nullif(F.col(data).cast("string"), F.lit("")).alias("data"),
-        (F.col(group) if group else numbered).cast("bigint").alias("group"),
+        (F.col(group) if group else number).cast("bigint").alias("group"),
         (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight"),
         F.lit("NONE").alias("filter"),
         feats.alias("extern_feat"),

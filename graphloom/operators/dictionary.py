@@ -31,12 +31,25 @@ def mincount_cascade(occurrences: DataFrame, min_count: int, kind: str | None =
         return left
     keys = ["label"] + ([kind] if kind else [])
     left = written(left, "occurrences")
-    while True:
-        rare = left.groupBy(*keys).agg(F.countDistinct("group").alias("n")).where(F.col("n") < min_count).select(*keys)
-        bad = written(left.join(rare, keys, "left_semi").select("group", "item").distinct(), "rare-items")
-        if bad.isEmpty():
-            return left
-        left = written(left.join(bad, ["group", "item"], "left_anti"), "occurrences")
+    # items of each label and group; a round writes only what it takes away, and the occurrences are joined with that
+    support = written(left.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n")), "support")
+    counts = support.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"))
+    rare, gone, taken = written(counts.where(F.col("groups") < min_count).select(*keys), "rare-labels"), None, None
+    counts = written(counts.join(rare, keys, "left_anti"), "labels")
+    while not rare.isEmpty():
+        bad = left.join(rare, keys, "left_semi").select("group", "item").distinct()
+        bad = written(bad if gone is None else bad.join(gone, ["group", "item"], "left_anti"), "rare-items")
+        gone = bad if gone is None else gone.unionAll(bad)
+        now = written(left.join(bad, ["group", "item"], "left_semi").groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("less")), "taken")
+        taken = now if taken is None else taken.unionAll(now)
+        # of the labels' groups that this round has touched, those without an item left
+        touched = taken.join(now.select(*keys, "group"), [*keys, "group"], "left_semi").groupBy(*keys, "group").agg(F.sum("less").alias("less"))
+        empty = touched.join(support, [*keys, "group"]).where("less = n").groupBy(*keys).agg(F.count(F.lit(1)).alias("fewer"))
+        counts = counts.join(empty, keys, "left").withColumn("groups", F.col("groups") - F.coalesce("fewer", F.lit(0))).drop("fewer")
+        counts = written(counts, "labels")
+        rare = counts.where(F.col("groups") < min_count).select(*keys)
+        counts = counts.where(F.col("groups") >= min_count)
+    return left if gone is None else left.join(gone, ["group", "item"], "left_anti")
 
 
 def colored(vertices: DataFrame, dictionary: DataFrame) -> DataFrame:

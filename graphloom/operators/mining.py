@@ -87,9 +87,9 @@ def most_common(graphs: DataFrame, max_size: int, limit: int | None = None, min_
     for size in range(1, max_size + 1):
         found = embeddings(graphs, size, accepted).groupBy("fragment", "size")
         level = found.agg(F.sum(F.col("n_disjoint") * F.col("weight")).alias("weight"), F.countDistinct("group").alias("n_groups"))
-        level = level.where((F.col("size") == 1) | (F.col("n_groups") >= (min_count or 1)))
-        if size < max_size:
-            accepted = frozenset(r["fragment"] for r in _bounded(level.select("fragment")))
+        level = written(level.where((F.col("size") == 1) | (F.col("n_groups") >= (min_count or 1))), "fragments")
+        accepted = frozenset(r["fragment"] for r in _bounded(level.select("fragment")))
+    # one place ranks a dictionary that has been found to be of MAX_FRAGMENTS at most
     order = Window.orderBy((F.col("size") > 1).cast("int"), F.desc(F.round("weight", 9)), F.desc("n_groups"))
     ranked = level.withColumn("rank", F.rank().over(order))
     return ranked if limit is None else ranked.where((F.col("rank") <= limit) | (F.col("size") == 1))

@@ -149,8 +149,9 @@ def losses_of(parts: list[tuple[float, list[dict]]], free: np.ndarray) -> np.nda
 
 
 def freed(weights: np.ndarray) -> np.ndarray:
+    """What each fragment's absence makes every piece likelier by, less than zero; nothing for one that is gone."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(weights < 0, np.log1p(-np.exp(weights)), np.where(np.isnan(weights), np.nan, -math.inf))
+        return np.where(weights < 0, np.log1p(-np.exp(weights)), np.where(np.isnan(weights), 0.0, -math.inf))
 
 
 def color_costs(model: dict[str, tuple[int, float]]) -> dict[int, float]:

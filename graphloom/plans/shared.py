@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """`df` with `name`, its rows' numbers from 0 in the order of columns that tell them apart.
+
+    Rows are range-sorted and written with their place in their range; the driver holds a count for each range.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    ranges = written(ranges, "numbered")
+    part = F.shiftright(name, 33)
+    starts, n = [], 0
+    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], n))
+        n += r["count"]
+    firsts = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
+    place = F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_first")
+    return ranges.withColumn("_part", part).join(F.broadcast(firsts), "_part").withColumn(name, place).drop("_part", "_first")

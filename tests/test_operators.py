@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import features, graphtext, logs, mappings
 from graphloom.operators import dictionary, graphs, mining, scoring
+from graphloom.plans.shared import numbered
 from graphloom.sources import tables
 from graphloom.streaming import scoring as streaming
 
@@ -118,3 +119,17 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, streaming.label_counts(rows).collect()))
+
+
+def test_numbers(spark):
+    """In order, without gaps, over many ranges; and rows without a group are numbered so."""
+    r = random.Random(5)
+    keys = r.sample(range(10_000), 700)
+    df = spark.createDataFrame([(k, f"d{k}") for k in keys], "k int, d string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {x["k"]: x["n"] for x in numbered(df, "n", "k").collect()}
+    rows = features.canonical_columns(df, "d", order="k").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: n for n, k in enumerate(sorted(keys))}
+    assert {x["data"]: x["group"] for x in rows} == {f"d{k}": n for k, n in got.items()}
+    assert numbered(df.where("1 = 0"), "n", "k").collect() == []
