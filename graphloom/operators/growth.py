@@ -1,6 +1,7 @@
 """Growth of fragments over a table of their occurrences, and the tree of fragments that names what it meets.
 
-Graphs are rows (graph_id, group, weight, bonds, colors) with coloured bonds. An occurrence is a fragment and its vertex
+Graphs are rows (graph_id, group, weight, bonds, colors) with coloured bonds; equal ones (bonds and colours) are one, which
+counts as often as it stands, so work grows with the distinct graphs. An occurrence is a fragment and its vertex
 map: the graph's vertex for each vertex of the fragment's canonical form. One step adds a vertex and its bonds by a join
 with the graph's neighbours; which fragment that makes, and how its vertices are numbered, depends on the fragment and
 the operation alone, so it is looked up in a table of steps (parent, operation) -> (fragment, places), made once for each
@@ -13,29 +14,33 @@ for each vertex of the grown fragment, its place among the parent's vertices and
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logs import ln_bell, shares_of_counts
-from ..plans.shared import written
+from ..plans.shared import ranked, same_rows, written
 from .bonded import BOND, bonded_search, bonded_text, parse_bonded
 from .kernels import most_disjoint
-from .mining import MAX_FRAGMENTS, each
+from .mining import each
 
 STEPS = "parent string, op string, fragment string, places array<int>"
 _STEP_FIELDS = [("parent", pa.string()), ("op", pa.string()), ("fragment", pa.string()), ("places", pa.list_(pa.int32()))]
 
 
-def with_neighbors(graphs: DataFrame) -> DataFrame:
-    """graph_id, group, weight, colors and near, each vertex's (w, bond); null bonds and colours are none."""
+def with_neighbors(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """graph_id, n_same, colors and near, each vertex's (w, bond), of distinct graphs; and all graphs (graph_id, group, weight, first).
+
+    Null bonds and colours are none.
+    """
     none = F.array().cast(f"array<{BOND}>")
     g = graphs.select("graph_id", "group", "weight", F.coalesce("bonds", none).alias("bonds"), F.coalesce("colors", F.array().cast("array<int>")).alias("colors"))
+    g, members = same_rows(g, "graph_id", "bonds", "colors")
 
     def near(v: Column) -> Column:
         ends = F.filter("bonds", lambda b: ((b["src"] == v) | (b["trg"] == v)) & (b["src"] != b["trg"]))
         return F.transform(ends, lambda b: F.struct(F.when(b["src"] == v, b["trg"]).otherwise(b["src"]).alias("w"), b["color"].alias("bond")))
 
-    return g.select("graph_id", "group", "weight", "colors", F.transform("colors", lambda _, v: near(v)).alias("near"))
+    return written(g.select("graph_id", "n_same", "colors", F.transform("colors", lambda _, v: near(v)).alias("near")), "neighbors"), members
 
 
 def single_vertices(near: DataFrame) -> DataFrame:
@@ -46,7 +51,8 @@ def single_vertices(near: DataFrame) -> DataFrame:
 
 def extensions(occurrences: DataFrame, near: DataFrame) -> DataFrame:
     """graph_id, parent, op and full (the map and the new vertex): each way to add a neighbour with all its bonds."""
-    at = occurrences.join(near.select("graph_id", "colors", "near"), "graph_id")
+    # a table of packed arrays is far larger on the driver than its file says, so it is never broadcast
+    at = occurrences.join(near.select("graph_id", "colors", "near").hint("merge"), "graph_id")
 
     def outward(v: Column, i: Column) -> Column:
         out = F.filter(F.get("near", v), lambda x: ~F.array_contains("m", x["w"]))
@@ -96,13 +102,15 @@ def by_graph(occurrences: DataFrame) -> DataFrame:
     """graph_id, fragment, maps and n_disjoint, how many of them have no common vertices (as `most_disjoint` counts)."""
     rows = occurrences.groupBy("graph_id", "fragment").agg(F.array_sort(F.collect_list("m")).alias("maps"))
 
-    def kernel(r):
-        sets = sorted(r["maps"], key=lambda m: sum(1 << v for v in m))
-        yield {**r, "n_disjoint": most_disjoint(sets, exact=False)}
+    @F.udf("bigint", useArrow=True)
+    def disjoint(maps):
+        return most_disjoint(sorted(maps, key=lambda m: sum(1 << v for v in m)), exact=False)
 
-    kind = dict(occurrences.dtypes)["graph_id"]
-    fields = [("graph_id", pa.string() if kind == "string" else pa.int64()), ("fragment", pa.string()), ("maps", pa.list_(pa.list_(pa.int32()))), ("n_disjoint", pa.int64())]
-    return rows.mapInArrow(each(fields, kernel), f"graph_id {kind}, fragment string, maps array<array<int>>, n_disjoint bigint")
+    # equal maps are counted once; one alone needs no search
+    several = written(rows, "maps")
+    counts = several.where(F.size("maps") > 1).select("maps").distinct().withColumn("n_disjoint", disjoint("maps"))
+    out = several.join(counts, "maps", "left").withColumn("n_disjoint", F.coalesce("n_disjoint", F.lit(1).cast("bigint")))
+    return out.select("graph_id", "fragment", "maps", "n_disjoint")
 
 
 def size_of(fragment: str) -> Column:
@@ -112,23 +120,19 @@ def size_of(fragment: str) -> Column:
 KEY = ("weight", "n_groups", "n_graphs", "n_disjoint")
 
 
-def measured(rows: DataFrame, graphs: DataFrame) -> DataFrame:
+def measured(rows: DataFrame, near: DataFrame, members: DataFrame) -> DataFrame:
     """fragment, size, the key that ranks it (weight, n_groups, n_graphs, n_disjoint) and n, its occurrences."""
-    r = rows.join(graphs.select("graph_id", "group", F.col("weight").alias("w")), "graph_id")
-    sums = r.groupBy("fragment").agg(
+    same = members.groupBy("first").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n_same")).withColumnRenamed("first", "graph_id")
+    at = rows.select("graph_id", "fragment", "n_disjoint", F.size("maps").cast("bigint").alias("n"))
+    sums = at.join(same.hint("merge"), "graph_id").groupBy("fragment").agg(
         F.round(F.sum(F.col("n_disjoint") * F.col("w")), 9).alias("weight"),
-        F.countDistinct("group").alias("n_groups"),
-        F.count(F.lit(1)).alias("n_graphs"),
-        F.sum("n_disjoint").alias("n_disjoint"),
-        F.sum(F.size("maps")).alias("n"),
+        F.sum("n_same").alias("n_graphs"),
+        F.sum(F.col("n_disjoint") * F.col("n_same")).alias("n_disjoint"),
+        F.sum(F.col("n") * F.col("n_same")).alias("n"),
     )
-    return sums.select("fragment", size_of("fragment").alias("size"), *KEY, "n")
-
-
-def _bounded(fragments: DataFrame) -> DataFrame:
-    if fragments.limit(MAX_FRAGMENTS + 1).count() > MAX_FRAGMENTS:
-        raise ValueError(f"more than {MAX_FRAGMENTS} fragments; set a larger min_groups, a limit or a smaller size")
-    return fragments
+    groups = members.select(F.col("first").alias("graph_id"), "group").distinct()
+    groups = at.select("graph_id", "fragment").join(groups.hint("merge"), "graph_id").groupBy("fragment").agg(F.countDistinct("group").alias("n_groups"))
+    return sums.join(groups, "fragment").select("fragment", size_of("fragment").alias("size"), *KEY, "n")
 
 
 def dependent(rows: DataFrame, more: DataFrame, made: DataFrame) -> DataFrame:
@@ -156,17 +160,17 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
     and the same larger one, which then says all that it does; the limit counts those that stay. Those of `max_size` are
     judged by what they would grow into.
 
-    One shuffle of occurrences by graph for each size; what is ranked in one place is the dictionary of fragments, at
-    most MAX_FRAGMENTS of a size. Graphs without vertices have no occurrences; repeated graph_ids are one graph's rows
+    One shuffle of occurrences by graph for each size; the dictionary of fragments is a table of any length, ranked over
+    ranges, and nothing of it comes to the driver but the key of the last one within `limit`. Graphs without vertices have no occurrences; repeated graph_ids are one graph's rows
     and not allowed.
     """
-    near = written(with_neighbors(graphs), "neighbors")
+    near, members = with_neighbors(graphs)
     occurrences, steps = single_vertices(near), []
     found = enough = n_single = None
     for size in range(1, max_size + 1):
         rows = written(by_graph(occurrences), "occurrences")
-        level = measured(rows, near)
-        level = written(_bounded(level if size == 1 else level.where(F.col("n_groups") >= min_groups)), "fragments")
+        level = measured(rows, near, members)
+        level = written(level if size == 1 else level.where(F.col("n_groups") >= min_groups), "fragments")
         growing = level.where(F.col("n_groups") >= min_groups)
         if closed and size > 1:
             all_of = rows.join(level.select("fragment"), "fragment", "left_semi")
@@ -192,15 +196,15 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
         made = written(steps_of(more.select("parent", "op").distinct()), "steps")
         steps.append(made)
         occurrences = grown(more, made)
-    order = Window.orderBy((F.col("size") > 1).cast("int"), *(F.desc(k) for k in KEY))  # of a bounded dictionary
-    ranked = found.withColumn("rank", F.rank().over(order))
+    order = {"single": (F.col("size") > 1).cast("int"), **{k: -F.col(k) for k in KEY}}
+    places = ranked(found, "rank", order)
     if limit is not None:
-        ranked = ranked.where("size = 1") if enough is None else ranked.where((F.col("size") == 1) | (F.col("rank") <= n_single + enough))
+        places = places.where("size = 1") if enough is None else places.where((F.col("size") == 1) | (F.col("rank") <= n_single + enough))
     none = graphs.sparkSession.createDataFrame([], STEPS)
     for made in steps:
         none = none.unionByName(made)
     # of closed fragments, those that are left out may lie on the way
-    return ranked, none if closed else none.join(ranked.select("fragment"), "fragment", "left_semi").select("parent", "op", "fragment", "places")
+    return places, none if closed else none.join(places.select("fragment"), "fragment", "left_semi").select("parent", "op", "fragment", "places")
 
 
 def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: int = 1, ratio: bool = True) -> DataFrame:
@@ -212,18 +216,18 @@ def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: i
     one that stayed, by `ratio` times the share of partitions of as many vertices that have it as a piece, as Bell
     numbers estimate it; the log-weights are of these sums, to sum to 1.
     """
-    near = written(with_neighbors(graphs), "neighbors")
-    total = near.select("graph_id", F.size("colors").alias("all"))
+    near, _ = with_neighbors(graphs)
+    total = near.select("graph_id", "n_same", F.size("colors").alias("all"))
     occurrences = written(single_vertices(near), "occurrences")
     counts = occurrences.groupBy("graph_id", "fragment").agg(F.count(F.lit(1)).alias("ways"))
 
     def judged(counts: DataFrame) -> DataFrame:
-        c = counts.join(total, "graph_id").withColumn("size", size_of("fragment"))
+        c = counts.join(total.hint("merge"), "graph_id").withColumn("size", size_of("fragment"))
         share = ln_bell(F.col("size")) + ln_bell(F.col("all") - F.col("size")) - ln_bell(F.col("all"))
         share = F.when(F.col("size") < F.col("all"), share).otherwise(0.0) if ratio else F.lit(0.0)
-        return c.groupBy("fragment", "size").agg(F.count(F.lit(1)).alias("n_graphs"), F.sum(F.exp(F.ln("ways") + share)).alias("mass"))
+        return c.groupBy("fragment", "size").agg(F.sum("n_same").alias("n_graphs"), F.sum(F.col("n_same") * F.exp(F.ln("ways") + share)).alias("mass"))
 
-    found = written(_bounded(judged(counts)), "fragments")
+    found = written(judged(counts), "fragments")
     room = n_fragments - found.count()
     if room < 0:
         raise ValueError(f"more than {n_fragments} single vertices")
@@ -232,8 +236,9 @@ def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: i
         more = written(extensions(growing, near), "extensions")
         made = written(steps_of(more.select("parent", "op").distinct()), "steps")
         level = judged(more.join(made, ["parent", "op"]).groupBy("graph_id", "fragment").agg(F.count(F.lit(1)).alias("ways")))
-        both = written(_bounded(found.where("size > 1").unionByName(level.where(F.col("n_graphs") >= min_graphs))), "fragments")
-        kept = both.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n_graphs")))).where(F.col("rank") <= room).drop("rank")  # of a bounded dictionary
+        both = written(found.where("size > 1").unionByName(level.where(F.col("n_graphs") >= min_graphs)), "fragments")
+        least = both.orderBy(F.desc("n_graphs")).limit(room).agg(F.min("n_graphs")).first()[0]
+        kept = both.where("1 = 0") if least is None else both.where(F.col("n_graphs") >= least)  # all that tie with the last
         found = written(found.where("size = 1").unionByName(kept), "fragments")
         if found.where(F.col("size") == size).isEmpty():
             break
@@ -306,7 +311,7 @@ def locate(graphs: DataFrame, tree: DataFrame, pins: DataFrame) -> DataFrame:
     vertices: what it doesn't know is left, every other connected set is kept once, and nothing is canonised. A step
     for each size of the tree; pins and tree are dictionaries, and whether they are broadcast is Spark's choice by size.
     """
-    near, tree, pins = written(with_neighbors(graphs), "neighbors"), written(tree, "tree"), written(pins.select("fragment").distinct(), "pins")
+    (near, members), tree, pins = with_neighbors(graphs), written(tree, "tree"), written(pins.select("fragment").distinct(), "pins")
     largest = pins.agg(F.max(size_of("fragment"))).first()[0] or 0
     parents = tree.select(F.col("parent").alias("fragment")).distinct()
     occurrences, out = single_vertices(near), None
@@ -317,4 +322,5 @@ def locate(graphs: DataFrame, tree: DataFrame, pins: DataFrame) -> DataFrame:
             growing = occurrences.join(parents, "fragment", "left_semi")
             occurrences = grown(extensions(growing, near), tree).select("graph_id", "fragment", "m")
     out = single_vertices(near).where("1 = 0") if out is None else out
-    return by_graph(out.join(pins, "fragment", "left_semi"))
+    found = by_graph(out.join(pins, "fragment", "left_semi")).withColumnRenamed("graph_id", "first")
+    return members.select("graph_id", "first").join(found.hint("merge"), "first").drop("first")

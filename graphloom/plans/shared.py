@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,36 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     firsts = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
     place = F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_first")
     return ranges.withColumn("_part", part).join(F.broadcast(firsts), "_part").withColumn(name, place).drop("_part", "_first")
+
+
+def same_rows(df: DataFrame, key: str, *values: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct `values` under the smallest `key` that has them, and all rows with that key as `first`, without `values`.
+
+    Both are written. Equal values are found by a hash and then compared themselves; how many share them is `n_same`.
+    """
+    rows = written(df.withColumn("_hash", F.xxhash64(*values)), "rows")
+    by = ["_hash", *values]
+    distinct = written(rows.groupBy(*by).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_same")), "distinct")
+    members = written(rows.join(distinct.drop("n_same"), by).drop(*by), "members")
+    return distinct.drop("_hash").withColumnRenamed("first", key), members
+
+
+def ranked(df: DataFrame, name: str, order: dict[str, Column]) -> DataFrame:
+    """`df` with `name`, its rows' rank from 1 by what `order` names; rows that are equal in all of it share one.
+
+    The rows are range-sorted, so no task ranks them alone; a rank is the least number of those that share it, plus one.
+    """
+    rows = df.withColumns({f"_{k}": c for k, c in order.items()})
+    keys = [f"_{k}" for k in order]
+    steps = numbered(rows.select(*keys).distinct(), "_step", *keys)
+    sized = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(steps, keys), "ranks")
+    part = F.shiftright("_step", 12)  # sums of a few thousand steps at a time, and over what comes before them
+    within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_step")) - F.col("_n")
+    sums, before, total = sized.groupBy(part.alias("_part")).agg(F.sum("_n").alias("n")).orderBy("_part").toLocalIterator(), [], 0
+    for r in sums:
+        before.append((r["_part"], total))
+        total += r["n"]
+    starts = df.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    places = sized.withColumn("_part", part).withColumn("_within", within).join(F.broadcast(starts), "_part")
+    places = places.select(*keys, (F.col("_before") + F.col("_within") + 1).cast("int").alias(name))
+    return rows.join(places, keys).drop(*keys)
