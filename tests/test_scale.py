@@ -34,3 +34,9 @@ def test_ranks_and_equal_rows(spark):
     assert all(r["k"] % 4 == r["first"] for r in members.collect()) and members.count() == 40
     got = ranked(df, "rank", {"a": -F.col("a")}).select("a", "rank").distinct().collect()
     assert {r["a"]: r["rank"] for r in got} == {3: 1, 2: 11, 1: 21, 0: 31}
+
+
+def test_dictionary_of_any_length(monkeypatch, table):
+    monkeypatch.setattr(growth, "MAX_FRAGMENTS", 1, raising=False)
+    found, _ = growth.mine(table, 2, closed=True)
+    assert found.count() > 1
