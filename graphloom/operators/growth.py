@@ -34,7 +34,7 @@ def with_neighbors(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     none = F.array().cast(f"array<{BOND}>")
     g = graphs.select("graph_id", "group", "weight", F.coalesce("bonds", none).alias("bonds"), F.coalesce("colors", F.array().cast("array<int>")).alias("colors"))
-    g, members = same_rows(g, "graph_id", "bonds", "colors")
+    g, members = same_rows(g, "graph_id", ("bonds", "colors"))
 
     def near(v: Column) -> Column:
         ends = F.filter("bonds", lambda b: ((b["src"] == v) | (b["trg"] == v)) & (b["src"] != b["trg"]))

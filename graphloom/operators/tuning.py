@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import written
 from .kernels import fragments_of, top_exact_covers_or_all
-from .mining import MAX_FRAGMENTS, each, graph_of
+from .mining import MAX_FRAGMENTS, each, few_rows, graph_of
 
 _FRAG = pa.struct([("id", pa.int32()), ("n", pa.int32())])
 _FIELDS = [
@@ -170,7 +170,7 @@ def _totals(store: PartitionStore, model: dict[str, tuple[int, float]], losses:
         w = shared.value
         free, total, likelihood = freed(w), np.zeros(len(w)), 0.0
         for b in batches:
-            for r in b.to_pylist():
+            for r in few_rows(b):
                 parts = [(sum(float(w[f["id"]]) * f["n"] for f in p), p) for p in _parts_of(r, w, search)]
                 if not parts or r["weight"] == 0:
                     continue

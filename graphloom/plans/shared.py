@@ -48,15 +48,17 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return ranges.withColumn("_part", part).join(F.broadcast(firsts), "_part").withColumn(name, place).drop("_part", "_first")
 
 
-def same_rows(df: DataFrame, key: str, *values: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct `values` under the smallest `key` that has them, and all rows with that key as `first`, without `values`.
+def same_rows(df: DataFrame, key: str, values: tuple[str, ...], sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The distinct `values` with a new `key` (any number), `n_same` and `sums` of their rows, and all rows with that key as `first`.
 
-    Both are written. Equal values are found by a hash and then compared themselves; how many share them is `n_same`.
+    Both are written; the rows keep their own key, which may repeat, and go without `values`. Equal values are found by a
+    hash and then compared themselves.
     """
     rows = written(df.withColumn("_hash", F.xxhash64(*values)), "rows")
     by = ["_hash", *values]
-    distinct = written(rows.groupBy(*by).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_same")), "distinct")
-    members = written(rows.join(distinct.drop("n_same"), by).drop(*by), "members")
+    distinct = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_same"), *(F.sum(c).alias(c) for c in sums))
+    distinct = written(distinct.withColumn("first", F.monotonically_increasing_id()), "distinct")
+    members = written(rows.join(distinct.drop("n_same", *sums), by).drop(*by), "members")
     return distinct.drop("_hash").withColumnRenamed("first", key), members
 
 

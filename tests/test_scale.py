@@ -29,9 +29,10 @@ def test_neighbors_are_shuffled_and_equal_graphs_are_one(table):
 
 def test_ranks_and_equal_rows(spark):
     df = spark.createDataFrame([(k, k % 4, [k % 4]) for k in range(40)], "k long, a int, b array<int>")
-    distinct, members = same_rows(df, "k", "a", "b")
-    assert sorted((r["k"], r["n_same"]) for r in distinct.collect()) == [(k, 10) for k in range(4)]
-    assert all(r["k"] % 4 == r["first"] for r in members.collect()) and members.count() == 40
+    distinct, members = same_rows(df, "k", ("a", "b"))
+    names = {r["k"]: r["a"] for r in distinct.where("n_same = 10").collect()}
+    assert len(names) == 4 and sorted(names.values()) == [0, 1, 2, 3]
+    assert all(r["k"] % 4 == names[r["first"]] for r in members.collect()) and members.count() == 40
     got = ranked(df, "rank", {"a": -F.col("a")}).select("a", "rank").distinct().collect()
     assert {r["a"]: r["rank"] for r in got} == {3: 1, 2: 11, 1: 21, 0: 31}
 
@@ -40,3 +41,27 @@ def test_dictionary_of_any_length(monkeypatch, table):
     monkeypatch.setattr(growth, "MAX_FRAGMENTS", 1, raising=False)
     found, _ = growth.mine(table, 2, closed=True)
     assert found.count() > 1
+
+
+def test_equal_graphs_are_searched_once(spark):
+    from graphloom.operators import mining
+
+    kind = "graph_id long, group long, weight double, bonds array<struct<src:int,trg:int>>, colors array<int>"
+    g = spark.createDataFrame([(k // 2, k % 3, 0.5, [(0, 1)], [k % 2, 1]) for k in range(12)], kind)  # two graphs a row
+    distinct, members = mining.distinct_graphs(g)
+    assert [(r["n_same"], r["weight"]) for r in distinct.collect()] == [(6, 3.0)] * 2
+    sizes = mining.for_all(members, distinct.selectExpr("graph_id", "colors[0] AS c")).groupBy("graph_id").agg(F.sum("c").alias("c"), F.count("c").alias("n"))
+    assert [(r["c"], r["n"]) for r in sizes.collect()] == [(1, 2)] * 6
+    found = mining.most_common(g, 2, min_count=3).where("size = 2").collect()
+    assert sorted((r["weight"], r["n_groups"]) for r in found) == [(3.0, 3)] * 2
+
+
+def test_batches_of_few_rows():
+    import pyarrow as pa
+
+    from graphloom.operators import mining
+
+    b = pa.RecordBatch.from_pylist([{"k": k} for k in range(100)])
+    out = list(mining.each([("k", pa.int64())], lambda r: ({"k": r["k"]} for _ in range(100)))(iter([b])))
+    assert sum(x.num_rows for x in out) == 10_000 and max(x.num_rows for x in out) <= 4096
+    assert [r["k"] for r in mining.few_rows(b)] == list(range(100))
