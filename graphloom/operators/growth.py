@@ -84,7 +84,8 @@ def steps_of(pairs: DataFrame) -> DataFrame:
         color, links = _parse_op(r["op"])
         n = len(colors)
         colors, bonds = [*colors, color], [*bonds, *((i, n, b) for i, b in links)]
-        order = bonded_search(colors, bonds)[0]
+        # of two vertices the smaller colour comes first; with many colours there are very many pairs
+        order = [0, 1] if n == 1 and colors[0] <= color else [1, 0] if n == 1 else bonded_search(colors, bonds)[0]
         yield {"parent": r["parent"], "op": r["op"], "fragment": bonded_text(colors, bonds, order), "places": order}
 
     return pairs.mapInArrow(each(_STEP_FIELDS, kernel), STEPS)
@@ -135,6 +136,26 @@ def measured(rows: DataFrame, near: DataFrame, members: DataFrame) -> DataFrame:
     return sums.join(groups, "fragment").select("fragment", size_of("fragment").alias("size"), *KEY, "n")
 
 
+def idle_fragments(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """The fragments of `rows` that `dependent` gives, with canonical forms only where they can matter.
+
+    One occurrence alone that grows at all does so into one fragment. Of others, all occurrences that grow into one and
+    the same fragment do so by a vertex of one colour and bonds of the same colours; only fragments for which some such
+    kind of operation has them all are looked at further.
+    """
+    n = written(rows.groupBy("fragment").agg(F.sum(F.size("maps")).alias("n")), "numbers")
+    alone = more.select(F.col("parent").alias("fragment")).join(n.where("n = 1"), "fragment", "left_semi").distinct()
+    several = more.join(n.where("n > 1").select(F.col("fragment").alias("parent"), "n"), "parent")
+    links = F.split(F.substring_index("op", ";", -1), ",")
+    kind = F.concat_ws(",", F.substring_index("op", ";", 1), F.array_sort(F.filter(links, lambda _, i: i % 2 == 1)))
+    each_once = several.select("parent", "n", kind.alias("kind"), "graph_id", F.slice("full", F.lit(1), F.size("full") - 1).alias("m")).distinct()
+    likely = each_once.groupBy("parent", "kind").agg(F.count(F.lit(1)).alias("inside"), F.first("n").alias("n")).where("inside = n")
+    likely = written(likely.select(F.col("parent").alias("fragment")).distinct(), "likely")
+    some = rows.join(likely, "fragment", "left_semi")
+    left = written(more.join(likely.withColumnRenamed("fragment", "parent"), "parent", "left_semi"), "likely-extensions")
+    return alone.unionByName(dependent(some, left, steps_of(left.select("parent", "op").distinct())))
+
+
 def dependent(rows: DataFrame, more: DataFrame, made: DataFrame) -> DataFrame:
     """The fragments of `rows` all of whose occurrences grow, by a step of `made`, into one and the same fragment.
 
@@ -175,7 +196,7 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
         if closed and size > 1:
             all_of = rows.join(level.select("fragment"), "fragment", "left_semi")
             longer = written(extensions(all_of.select("graph_id", "fragment", F.explode("maps").alias("m")), near), "extensions")
-            idle = dependent(all_of, longer, steps_of(longer.select("parent", "op").distinct()))
+            idle = idle_fragments(all_of, longer)
             level = written(level.join(idle, "fragment", "left_anti"), "closed")
         found = level if found is None else found.unionByName(level)
         if limit is not None:

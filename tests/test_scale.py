@@ -65,3 +65,29 @@ def test_batches_of_few_rows():
     out = list(mining.each([("k", pa.int64())], lambda r: ({"k": r["k"]} for _ in range(100)))(iter([b])))
     assert sum(x.num_rows for x in out) == 10_000 and max(x.num_rows for x in out) <= 4096
     assert [r["k"] for r in mining.few_rows(b)] == list(range(100))
+
+
+def test_small_forms_at_sight():
+    from graphloom.operators import kernels
+    from graphloom.operators.bonded import bonded_search, bonded_text
+
+    for a in range(3):
+        assert kernels.canonical((a,), ()) == kernels._canonical((a,), ())
+        for b in range(3):
+            for bonds in (((0, 1),), ((1, 0),), (), ((0, 1), (1, 0))):
+                assert kernels.canonical((a, b), bonds) == kernels._canonical((a, b), bonds)
+            order = [0, 1] if a <= b else [1, 0]
+            assert bonded_text([a, b], [(0, 1, 1)], order) == bonded_text([a, b], [(0, 1, 1)], bonded_search([a, b], [(0, 1, 1)])[0])
+
+
+def test_idle_without_forms_of_all(spark):
+    """Only fragments that can be dependent are canonised: of these pairs, one stands in one surrounding twice."""
+    rows = [(0, 0, 1.0, [(0, 1, 0), (1, 2, 0)], [1, 2, 3]), (1, 0, 1.0, [(0, 1, 0), (1, 2, 0), (2, 3, 0)], [1, 2, 3, 4])]
+    rows += [(k, 0, 1.0, [(0, 1, 0), (1, 2, 0)], [5, 6, k]) for k in (7, 8)]
+    near, _ = growth.with_neighbors(spark.createDataFrame(rows, GRAPH))
+    more = growth.extensions(growth.single_vertices(near), near)
+    at = growth.by_graph(growth.grown(more, growth.steps_of(more.select("parent", "op").distinct())))
+    longer = growth.extensions(at.selectExpr("graph_id", "fragment", "explode(maps) AS m"), near)
+    want = growth.dependent(at, longer, growth.steps_of(longer.select("parent", "op").distinct()))
+    got = growth.idle_fragments(at, longer)
+    assert {r[0] for r in got.collect()} == {r[0] for r in want.collect()} == {"0,1,0;1,2", "0,1,0;2,3", "0,1,0;3,4", "0,1,0;6,7", "0,1,0;6,8"}
