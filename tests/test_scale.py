@@ -91,3 +91,20 @@ def test_idle_without_forms_of_all(spark):
     want = growth.dependent(at, longer, growth.steps_of(longer.select("parent", "op").distinct()))
     got = growth.idle_fragments(at, longer)
     assert {r[0] for r in got.collect()} == {r[0] for r in want.collect()} == {"0,1,0;1,2", "0,1,0;2,3", "0,1,0;3,4", "0,1,0;6,7", "0,1,0;6,8"}
+
+
+def test_vertices_inside_pairs(spark):
+    import random
+
+    from graphloom.operators import structure
+
+    r, rows = random.Random(5), [(900, None, [1]), (901, [], [])]
+    for g in range(80):
+        n = r.randint(1, 6)
+        rows.append((g, [(a, b) if r.random() < 0.5 else (b, a) for a in range(n) for b in range(a) if r.random() < 0.4], [r.randint(0, 12) for _ in range(n)]))
+    g = spark.createDataFrame(rows, "graph_id long, bonds array<struct<src:int,trg:int>>, colors array<int>")
+
+    def table(df):
+        return {(x["fragment"], x["child"]): x["n"] for x in df.groupBy("fragment", "child").agg(F.sum("n").alias("n")).collect()}
+
+    assert table(structure._inside_pairs(g)) == table(structure._inside_larger(g, 1))
