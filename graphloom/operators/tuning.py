@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
+from ..plans.shared import spread, written
 from .kernels import fragments_of, top_exact_covers_or_all
 from .mining import MAX_FRAGMENTS, each, few_rows, graph_of
 
@@ -114,7 +114,7 @@ def partition_store(graphs: DataFrame, model: dict[str, tuple[int, float]], most
         parts, complete = _searched(places, weights, search)
         yield {"graph_id": r["graph_id"], "weight": r["weight"], "places": places, "complete": complete, "parts": parts if complete else None}
 
-    return PartitionStore(written(distinct.mapInArrow(each(_FIELDS, kernel), STORE), "partitions"), len(model), search)
+    return PartitionStore(written(spread(distinct).mapInArrow(each(_FIELDS, kernel), STORE), "partitions"), len(model), search)
 
 
 def _log_sum(x: np.ndarray, axis: int = 0) -> np.ndarray:

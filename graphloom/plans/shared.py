@@ -48,20 +48,49 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return ranges.withColumn("_part", part).join(F.broadcast(firsts), "_part").withColumn(name, place).drop("_part", "_first")
 
 
+def distinct_rows(df: DataFrame, key: str, values: tuple[str, ...], sums: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct `values` with a new `key` (any number that tells them apart), `n_same` and `sums` of their rows; written.
+
+    Equal values are found by a hash and then compared themselves.
+    """
+    return _distinct(df.withColumn("_hash", F.xxhash64(*values)), values, sums)[0].drop("_hash").withColumnRenamed("first", key)
+
+
+def _distinct(rows: DataFrame, values: tuple[str, ...], sums: tuple[str, ...]) -> tuple[DataFrame, bool]:
+    """The distinct rows with `_hash` and a number as `first`, and whether that is the hash, as it tells them apart."""
+    found = rows.groupBy("_hash", *values).agg(F.count(F.lit(1)).alias("n_same"), *(F.sum(c).alias(c) for c in sums))
+    found = written(found.withColumn("first", F.monotonically_increasing_id()), "distinct")
+    apart = found.agg(F.count(F.lit(1)) == F.countDistinct("_hash")).first()[0]
+    return (found.withColumn("first", F.col("_hash")) if apart else found), apart
+
+
 def same_rows(df: DataFrame, key: str, values: tuple[str, ...], sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The distinct `values` with a new `key` (any number), `n_same` and `sums` of their rows, and all rows with that key as `first`.
+    """What `distinct_rows` gives, and all rows with that key as `first`.
 
-    Both are written; the rows keep their own key, which may repeat, and go without `values`. Equal values are found by a
-    hash and then compared themselves.
+    The rows are written; they keep their own key, which may repeat, and go without `values`. Where no two distinct values
+    share their hash, which is looked up, it is the key, so rows have theirs without a join.
     """
     rows = written(df.withColumn("_hash", F.xxhash64(*values)), "rows")
-    by = ["_hash", *values]
-    distinct = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_same"), *(F.sum(c).alias(c) for c in sums))
-    distinct = written(distinct.withColumn("first", F.monotonically_increasing_id()), "distinct")
-    members = written(rows.join(distinct.drop("n_same", *sums), by).drop(*by), "members")
+    distinct, apart = _distinct(rows, values, sums)
+    if apart:
+        members = rows.withColumnRenamed("_hash", "first").drop(*values)
+    else:
+        names = distinct.select(F.col("first"), *(F.col(c).alias(f"_as_{c}") for c in ("_hash", *values)))
+        same = [F.col(c).eqNullSafe(F.col(f"_as_{c}")) for c in ("_hash", *values)]
+        members = written(rows.join(names, same).select(*(c for c in rows.columns if c not in ("_hash", *values)), "first"), "members")
     return distinct.drop("_hash").withColumnRenamed("first", key), members
 
 
+def for_members(members: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """`found`, rows of what `same_rows` found distinct, as rows of all that equal them."""
+    return members.select(key, "first").join(found.withColumnRenamed(key, "first"), "first").drop("first")
+
+
+def spread(df: DataFrame, key: str = "graph_id") -> DataFrame:
+    """Rows over as many tasks as a shuffle has; of few and small files, or blocks that Spark joins, a task could get all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def ranked(df: DataFrame, name: str, order: dict[str, Column]) -> DataFrame:
     """`df` with `name`, its rows' rank from 1 by what `order` names; rows that are equal in all of it share one.
 

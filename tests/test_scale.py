@@ -108,3 +108,59 @@ def test_vertices_inside_pairs(spark):
         return {(x["fragment"], x["child"]): x["n"] for x in df.groupBy("fragment", "child").agg(F.sum("n").alias("n")).collect()}
 
     assert table(structure._inside_pairs(g)) == table(structure._inside_larger(g, 1))
+
+
+def test_rows_get_their_key_without_a_join(spark, monkeypatch):
+    """Rows with null values keep their place, too, and values that share a hash are told apart."""
+    from graphloom.plans import shared
+
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else [k % 3], 1.0) for k in range(12)], "k long, b array<int>, w double")
+    distinct, members = same_rows(df, "k", ("b",), ("w",))
+    assert "Join" not in members._jdf.queryExecution().executedPlan().toString()
+    names = {r["k"]: r["b"] for r in distinct.collect()}
+    assert {r["k"]: names[r["first"]] for r in members.collect()} == {r["k"]: r["b"] for r in df.collect()}
+    monkeypatch.setattr(shared.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    distinct, members = same_rows(df, "k", ("b",), ("w",))
+    names = {r["k"]: r["b"] for r in distinct.where("n_same = 4 AND w = 4").collect()}
+    assert {r["k"]: names[r["first"]] for r in members.collect()} == {r["k"]: r["b"] for r in df.collect()}
+
+
+def test_distinct_graphs_are_spread(table):
+    from graphloom.operators import mining
+
+    for distinct in (mining.distinct_graphs(table)[0], mining.counted_graphs(table)):
+        assert distinct.rdd.getNumPartitions() == 4 and sorted(r["n_same"] for r in distinct.collect()) == [6, 6]
+
+
+def test_batches_hold_little():
+    """A graph may have thousands of partitions, so what is handed on goes by the entries of lists, too."""
+    import pyarrow as pa
+
+    from graphloom.operators import mining
+
+    b = pa.RecordBatch.from_pylist([{"k": k} for k in range(100)])
+    fields = [("parts", pa.list_(pa.list_(pa.int64())))]
+    out = list(mining.each(fields, lambda r: [{"parts": [list(range(10))] * 1000}])(iter([b])))
+    assert sum(x.num_rows for x in out) == 100 and max(x.num_rows for x in out) <= 6
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Four equal orders of five lines, the last two customers' and the others another's."""
+    d = str(tmp_path_factory.mktemp("orders"))
+    spark.sql("SELECT id AS o_orderkey, id DIV 2 AS o_custkey, 1.0D AS o_totalprice FROM range(4)").write.parquet(f"{d}/orders.parquet")
+    lines = """SELECT id DIV 5 AS l_orderkey, id % 5 AS l_linenumber, 1 AS l_partkey, element_at(array(3, 4, 3, 3, 4), cast(id % 5 AS int) + 1) AS l_suppkey, 1 AS l_shipdate,
+    1 AS l_extendedprice, 1 AS l_quantity, 1 AS l_discount, 1 AS l_tax, if(id % 5 = 1, 'N', 'R') AS l_returnflag, 'F' AS l_linestatus FROM range(20)"""
+    spark.sql(lines).write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_lines_are_gathered_once(spark, orders):
+    """Chords come from a graph's own lines, so no lines are joined with lines."""
+    from graphloom import registry
+
+    g = registry._order_graphs(spark, orders)
+    assert g._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # that of labels and their dictionary
+    want = [(0, 1), (0, 2), (1, 2), (0, 3), (2, 3), (1, 4), (3, 4)]
+    assert [[(b["src"], b["trg"]) for b in r["bonds"]] for r in g.collect()] == [want] * 4
+    assert {(r["group"], r["weight"], tuple(r["colors"])) for r in g.collect()} in ({(k, 0.5, c) for k in (0, 1)} for c in ((0, 1, 0, 0, 0), (1, 0, 1, 1, 1)))
