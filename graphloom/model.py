@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import warnings
 
@@ -14,7 +14,7 @@ from .functions.features import FEATURES, state_rank
 from .operators import dictionary, krylov, linear, mining, scoring
 from .operators.tuning import Search
 from .parsing import parsed  # noqa: F401 (the default parser, under its old name)
-from .plans.shared import written
+from .plans.shared import same_rows, spread, written
 from .sources.tables import read_json, write_json
 from .stages import Stages
 
@@ -142,8 +142,17 @@ class GraphModel:
         return done.join(found, "group_item", "left").select("group_item", "filter", says.alias("reason"))
 
     def evaluate(self, rows: DataFrame, strict: bool = True) -> DataFrame:
-        """One row per input: information (lweight_part) and predictions over all its partitions."""
-        return scoring.compact(self.process(rows), tuple(f"pred_{t}" for t in self.coefficients), strict)
+        """One row per input: information (lweight_part) and predictions over all its partitions.
+
+        Inputs that are equal but for group and group_item are one, and what the parser makes of them is written, so that
+        it is parsed once. A stage that looks at these two needs `process`.
+        """
+        said = tuple(c for c in rows.columns if c not in ("group", "group_item"))
+        distinct, members = same_rows(rows, "group_item", said)
+        good = written(self.parsed(spread(distinct.withColumn("group", F.lit(None).cast(rows.schema["group"].dataType)), "group_item")), "parsed")
+        done = self.process(good, replace(self.stages, parse=lambda g: g))
+        found = scoring.compact(done, tuple(f"pred_{t}" for t in self.coefficients), strict).drop("group").withColumnRenamed("group_item", "first")
+        return members.select("group", "group_item", "first").join(found, "first").drop("first")
 
 
 def long_cells(rows: DataFrame) -> DataFrame:

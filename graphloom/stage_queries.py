@@ -13,7 +13,7 @@ from .model import GraphModel
 from .operators import krylov, linear
 from .operators.mining import each
 from .parsing import parsed_alternatives
-from .plans.shared import shared_folder
+from .plans.shared import for_members, same_rows, shared_folder, spread
 from .registry import _CELLS, _cells, _solved_sql, _targets
 from .stages import Alternatives, Best, Bounded, Stages
 from .table_queries import _EVALUATED, _NAMES, _VALUES, _rows, _small_model
@@ -60,8 +60,10 @@ g AS (SELECT graph_id, least(a, b) AS name, count(*) AS c, min(k) AS first FROM
 SELECT graph_id AS group_item, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY first) - 1 AS INT) AS group_norm, round(c / sum(c) OVER (PARTITION BY graph_id), 6) AS weight_ug, name FROM g""")
 def several_graphs_a_row(spark, sf_dir) -> DataFrame:
     """Each row's readings, isomorphic ones as one, with their shares, in the order in which choices give them."""
-    rows = _uncertain_rows(spark, sf_dir).withColumn("extern_feat", F.lit(None).cast("array<struct<name:string,count:bigint>>"))
-    return _path_names(parsed_alternatives(rows)).withColumn("weight_ug", rounded("weight_ug"))
+    texts, members = same_rows(_uncertain_rows(spark, sf_dir), "group_item", ("data",))
+    texts = spread(texts, "group_item").withColumn("extern_feat", F.lit(None).cast("array<struct<name:string,count:bigint>>"))
+    found = _path_names(parsed_alternatives(texts)).withColumn("weight_ug", rounded("weight_ug"))
+    return for_members(members, found, "group_item")
 
 
 @query(f"""WITH {OV}, m AS (SELECT * FROM (VALUES {_VALUES}) t(label, w, b)), k AS (SELECT graph_id FROM ov GROUP BY graph_id HAVING bool_and(label IN ({_NAMES}))),

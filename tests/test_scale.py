@@ -164,3 +164,18 @@ def test_lines_are_gathered_once(spark, orders):
     want = [(0, 1), (0, 2), (1, 2), (0, 3), (2, 3), (1, 4), (3, 4)]
     assert [[(b["src"], b["trg"]) for b in r["bonds"]] for r in g.collect()] == [want] * 4
     assert {(r["group"], r["weight"], tuple(r["colors"])) for r in g.collect()} in ({(k, 0.5, c) for k in (0, 1)} for c in ((0, 1, 0, 0, 0), (1, 0, 1, 1, 1)))
+
+
+def test_equal_rows_are_parsed_once(spark, orders, monkeypatch):
+    from graphloom import stage_queries
+    from graphloom.model import GraphModel
+    from graphloom.parsing import parsed
+    from graphloom.stages import Stages
+
+    seen, read = [], stage_queries.parsed_alternatives
+    monkeypatch.setattr(stage_queries, "parsed_alternatives", lambda rows: (seen.append(rows.count()), read(rows))[1])
+    assert stage_queries.several_graphs_a_row(spark, orders).groupBy("group_item").count().count() == 4 and seen == [1]
+    model = GraphModel({"A": 0}, {}, {";0": (0, -1.5)}, coefficients={"y": {0: 2.0}}, stages=Stages(parse=lambda rows: (seen.append(rows.count()), parsed(rows))[1]))
+    rows = spark.createDataFrame([(k, k % 2, ';["A"]' if k < 6 else ';["B"]') for k in range(8)], "group_item long, group long, data string")
+    got = {(r["group_item"], r["group"], r["lweight_part"], r["pred_y"]) for r in model.evaluate(rows).collect()}
+    assert got == {(k, k % 2, -1.5, 2.0) for k in range(6)} and seen == [1, 2]
