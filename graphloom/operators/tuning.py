@@ -1,7 +1,8 @@
 """Tuning of a fragment model by loss, over a store of partitions that are found once.
 
-The store has a row for each distinct graph, with the places where fragments lie in it and, if the search came to its
-end within its limits, all its partitions; these are only filtered as fragments go, never searched again. Other graphs
+The store has a row for each distinct graph, with the places where fragments lie in it and whether the search came to its
+end within its limits. If so all its partitions count, which are summed over the places and not listed (see `sums`); a
+search without limits is not run at all. Other graphs
 are searched each round, over the stored places, as their best partitions change with the weights. A round hands the
 model's weights to tasks as one broadcast array, adds up each task's graphs before anything is shuffled, and brings a sum
 for each fragment to the driver.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import spread, written
-from .kernels import fragments_of, top_exact_covers_or_all
+from .kernels import all_exact_covers, fragments_of, top_exact_covers_or_all
 from .mining import MAX_FRAGMENTS, each, few_rows, graph_of
+from .sums import by_sets, log_losses, log_sums, shares
 
 _FRAG = pa.struct([("id", pa.int32()), ("n", pa.int32())])
 _FIELDS = [
@@ -45,7 +47,10 @@ class Search:
 
 @dataclass(frozen=True)
 class PartitionStore:
-    """The table (see STORE), how many fragments it was made for, whose ids stay what they were, and its search."""
+    """The table (see STORE), how many fragments it was made for, whose ids stay what they were, and its search.
+
+    `parts` are kept where the search has a limit of their number; without one a graph can have too many to be held.
+    """
 
     table: DataFrame
     n: int
@@ -71,19 +76,32 @@ class PartitionStore:
         return self.table.mapInArrow(each(fields, kernel), "graph_id bigint, part int, lweight double, frags array<struct<id:int,n:int>>")
 
 
+def _alive(places: list[dict], weights: np.ndarray) -> list[dict]:
+    """The places of fragments that are left; none if a vertex is in none of them."""
+    alive = [p for p in places if not math.isnan(weights[p["id"]])]
+    return alive if {v for p in alive for v in p["members"]} == {v for p in places for v in p["members"]} else []
+
+
+def _counted(alive: list[dict], cover: list[int]) -> list[dict]:
+    return [{"id": i, "n": n} for i, n in sorted(Counter(alive[x]["id"] for x in cover).items())]
+
+
 def _searched(places: list[dict], weights: np.ndarray, search: Search) -> tuple[list[list[dict]], bool]:
     """Partitions as counts of fragments, in search order, and whether these are all."""
-    alive = [p for p in places if not math.isnan(weights[p["id"]])]
-    if {v for p in alive for v in p["members"]} != {v for p in places for v in p["members"]}:
+    alive = _alive(places, weights)
+    if not alive:
         return [], True
     found, complete = top_exact_covers_or_all([p["members"] for p in alive], [-weights[p["id"]] for p in alive], search.limit, search.max_iter, search.max_heap)
-    return [[{"id": i, "n": n} for i, n in sorted(Counter(alive[x]["id"] for x in cover).items())] for cover in found], complete
+    return [_counted(alive, cover) for cover in found], complete
 
 
-def _parts_of(row: dict, weights: np.ndarray, search: Search) -> list[list[dict]]:
-    if row["complete"]:
+def _parts_of(row: dict, weights: np.ndarray, search: Search) -> Iterable[list[dict]]:
+    if not row["complete"]:
+        return _searched(row["places"], weights, search)[0]
+    if row["parts"] is not None:
         return [p for p in row["parts"] if not any(math.isnan(weights[f["id"]]) for f in p)]
-    return _searched(row["places"], weights, search)[0]
+    alive = _alive(row["places"], weights)
+    return (_counted(alive, cover) for cover in all_exact_covers([p["members"] for p in alive]) if alive)
 
 
 def partition_store(graphs: DataFrame, model: dict[str, tuple[int, float]], most: int, search: Search = Search()) -> PartitionStore:
@@ -111,8 +129,8 @@ def partition_store(graphs: DataFrame, model: dict[str, tuple[int, float]], most
         weights = np.empty(len(fragments))
         for i, w in fragments.values():
             weights[i] = w
-        parts, complete = _searched(places, weights, search)
-        yield {"graph_id": r["graph_id"], "weight": r["weight"], "places": places, "complete": complete, "parts": parts if complete else None}
+        parts, complete = (None, True) if search == Search(None, None, None) else _searched(places, weights, search)
+        yield {"graph_id": r["graph_id"], "weight": r["weight"], "places": places, "complete": complete, "parts": parts if complete and search.limit is not None else None}
 
     return PartitionStore(written(spread(distinct).mapInArrow(each(_FIELDS, kernel), STORE), "partitions"), len(model), search)
 
@@ -168,26 +186,44 @@ def _totals(store: PartitionStore, model: dict[str, tuple[int, float]], losses:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        free, total, likelihood = freed(w), np.zeros(len(w)), 0.0
-        for b in batches:
-            for r in few_rows(b):
-                parts = [(sum(float(w[f["id"]]) * f["n"] for f in p), p) for p in _parts_of(r, w, search)]
-                if not parts or r["weight"] == 0:
-                    continue
-                logs = np.array([x for x, _ in parts])
-                whole = float(_log_sum(logs))
-                likelihood += r["weight"] * whole
-                if losses:
-                    total += r["weight"] * losses_of(parts, free)
-                    continue
-                share = np.exp(logs - whole) if whole > -math.inf else np.full(len(logs), 1 / len(logs))
-                for s, (_, p) in zip(share, parts, strict=True):
-                    for f in p:
-                        total[f["id"]] += r["weight"] * s * f["n"]
+        free, total, likelihood = freed(w), np.zeros(len(w)), [0.0]
+
+        def some(r: dict) -> None:
+            parts = [(sum(float(w[f["id"]]) * f["n"] for f in p), p) for p in _parts_of(r, w, search)]
+            if not parts:
+                return
+            logs = np.array([x for x, _ in parts])
+            whole = float(_log_sum(logs))
+            likelihood[0] += r["weight"] * whole
+            if losses:
+                np.add(total, r["weight"] * losses_of(parts, free), out=total)
+                return
+            share = np.exp(logs - whole) if whole > -math.inf else np.full(len(logs), 1 / len(logs))
+            for s, (_, p) in zip(share, parts, strict=True):
+                for f in p:
+                    total[f["id"]] += r["weight"] * s * f["n"]
+
+        def every() -> Iterator[tuple]:
+            for r in (r for b in batches for r in few_rows(b) if r["weight"] != 0):
+                if not r["complete"]:
+                    some(r)
+                elif alive := _alive(r["places"], w):
+                    yield r["weight"], tuple(tuple(p["members"]) for p in alive), [p["id"] for p in alive]
+
+        for n, steps, ids in by_sets(every(), len(w) if losses else 1):
+            n = np.array(n, float)
+            if losses:
+                likelihood[0] += float(n @ log_sums(steps, w[ids]))
+                total += n @ log_losses(steps, w[ids], ids, free)
+            else:
+                whole, share = shares(steps, w[ids])
+                likelihood[0] += float(n @ whole)
+                np.add.at(total, ids, n[:, None] * share)
+        likelihood = likelihood[0]
         at = np.flatnonzero(total != 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], likelihood))], ["id", "s"])
 
-    rows = store.table.mapInArrow(sums, "id int, s double").groupBy("id").agg(F.sum("s").alias("s")).toLocalIterator()
+    rows = store.table.select("weight", "places", "complete").mapInArrow(sums, "id int, s double").groupBy("id").agg(F.sum("s").alias("s")).toLocalIterator()
     out, likelihood = np.zeros(store.n), 0.0
     for r in rows:
         if r["id"] < 0:

@@ -117,3 +117,20 @@ def test_round_is_that_of_listed_partitions(spark):
     assert table(new) == table(old[0]) and math.isclose(likelihood.first()[0], old[1].first()[0])
     new, expected, likelihood = mining.em_round(g.where("1 = 0"), MODEL, 2, "n_same")
     assert new.count() == 0 and expected.first()[0] is None and likelihood.first()[0] is None
+
+
+def test_store_holds_no_partitions(long_paths):
+    g, rows = long_paths
+    store = tuning.partition_store(g, MODEL, 2, tuning.Search(None, None, None))
+    assert [(r["complete"], r["parts"]) for r in store.table.collect()] == [(True, None)] * 2
+    model = tuning.em_round(store, MODEL)
+    want = masses(rows, MODEL)
+    assert all(abs(w - math.log(want[i] / sum(want.values()))) < 1e-6 for i, w in model.values())
+    losses, likelihood = tuning.fragment_losses(store, model)
+    own = tuning.color_costs(model)
+    assert math.isclose(likelihood, by_recursion(rows, model) + sum(own.values()))
+    for t, (i, w) in model.items():
+        if "," in t:
+            assert math.isclose(losses[i], by_recursion(rows, model, 1 / (1 - math.exp(w)), i) - own[i])
+    few = tuning.partition_store(g.limit(1).selectExpr("graph_id", "weight", "slice(bonds, 1, 5) AS bonds", "slice(colors, 1, 6) AS colors"), MODEL, 2, tuning.Search(None, None, None))
+    assert few.partitions(MODEL).count() == 13
