@@ -100,6 +100,31 @@ def test_round_on_more_partitions_than_can_be_listed(long_paths):
     assert math.isclose(likelihood.first()[0], by_recursion(rows, MODEL))
 
 
+def test_sums_of_more_partitions_than_can_be_listed(long_paths):
+    g, rows = long_paths
+    fib = [1, 1]
+    while len(fib) <= LONG:
+        fib.append(fib[-1] + fib[-2])
+    got = {r["graph_id"]: r for r in mining.summed_partitions(g, MODEL, 2).collect()}
+    assert {r["n_parts"] for r in got.values()} == {fib[LONG]} and len(got) == 3
+    assert all(math.isclose(got[r[0]]["lweight"], by_recursion([(*r[:2], 1.0, *r[3:])], MODEL)) for r in rows)
+
+
+def test_sums_are_those_of_a_search_without_limits(spark):
+    r, rows = random.Random(4), []
+    for k in range(30):
+        colors, bonds = random_graph(r)
+        rows.append((k, 0, 1.0, bonds, colors))
+    g = spark.createDataFrame([*rows, (99, 0, 1.0, [], [7]), (98, 0, 1.0, [], [])], GRAPH)
+    listed = {}
+    for x in mining.partitions(g, MODEL, 2, limit=None, max_iter=None, max_heap=None).collect():
+        listed.setdefault(x["graph_id"], []).append(x["lweight"])
+    got = {x["graph_id"]: x for x in mining.summed_partitions(g, MODEL, 2).collect()}
+    assert got.keys() == listed.keys()
+    for k, some in listed.items():
+        assert got[k]["n_parts"] == len(some) and math.isclose(got[k]["lweight"], np.logaddexp.reduce(some)) and math.isclose(got[k]["best"], max(some))
+
+
 def test_round_is_that_of_listed_partitions(spark):
     r, rows = random.Random(8), []
     for k in range(30):
