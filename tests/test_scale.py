@@ -179,3 +179,25 @@ def test_equal_rows_are_parsed_once(spark, orders, monkeypatch):
     rows = spark.createDataFrame([(k, k % 2, ';["A"]' if k < 6 else ';["B"]') for k in range(8)], "group_item long, group long, data string")
     got = {(r["group_item"], r["group"], r["lweight_part"], r["pred_y"]) for r in model.evaluate(rows).collect()}
     assert got == {(k, k % 2, -1.5, 2.0) for k in range(6)} and seen == [1, 2]
+
+
+def test_groups_are_counted_without_a_row_for_each_fragment(spark):
+    from graphloom.operators import mining
+
+    kind = "first long, number long"
+    found = spark.createDataFrame([(f, n) for f in range(6) for n in range(200) if (n * 7 + f) % (f + 2) == 0], kind)
+    members = spark.createDataFrame([(k % 7, None if k % 5 == 0 else k % 4) for k in range(40)], "first long, group long")
+    want = found.join(members, "first").groupBy("number").agg(F.countDistinct("group").alias("n_groups")).where("n_groups > 0")
+    got = mining._group_counts(found, members)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "count(distinct" not in plan
+
+
+def test_fragments_of_no_group(spark):
+    from graphloom.operators import mining
+
+    kind = "graph_id long, group long, weight double, bonds array<struct<src:int,trg:int>>, colors array<int>"
+    g = spark.createDataFrame([(k, None if k < 6 else k % 3, 1.0, [(0, 1)], [0, 1] if k < 6 else [2, 3]) for k in range(12)], kind)
+    got = {r["fragment"]: (r["weight"], r["n_groups"]) for r in mining.most_common(g, 2).collect()}
+    assert got == {";0": (6.0, 0), ";1": (6.0, 0), ";2": (6.0, 3), ";3": (6.0, 3), "0,1;2,3": (6.0, 3)}
