@@ -1,7 +1,7 @@
 """Sums over all partitions of graphs that are not listed: a partition is a way through what is covered so far.
 
 A step covers the first open vertex by a row, a set of vertices. Ways that have covered the same vertices go on together,
-so a path of n vertices takes n + 1 states, where its partitions grow as a power of n. Graphs whose rows are the same sets
+so a path of n vertices takes n + 1 states, while its partitions grow exponentially with n. Graphs whose rows are the same sets
 have the same states and steps, whatever their colours, and are summed at once as arrays.
 """
 
