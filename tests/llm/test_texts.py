@@ -12,6 +12,7 @@ import pytest
 from conftest import LOWER
 from pyspark.sql import functions as F
 
+from graphloom.llm import lm_score as lm
 from graphloom.llm.decontaminate import _blocks, contamination
 from graphloom.llm.exchange import pack_counts, pack_keys, unpack_counts, unpack_keys
 from graphloom.llm.language_id import Lattice, language_id, learn, long_word, op7_language_id
@@ -427,3 +428,53 @@ def test_lm_contexts_at_any_size(spark, n_filler):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {x["doc_id"]: x["n_context"] for x in lm_score(df, F.col("doc_id") >= 100, chunk_bytes=100_000).where("held_out").collect()}
     assert got == {100: 1, 101: 0}
+
+
+def test_lm_distinct_values():
+    r = np.random.default_rng(3)
+    close = np.array([5, 4, 5, 4, 1 << 63, (1 << 63) + 1, 1 << 63], np.uint64)  # told apart by low bits alone
+    for values in (np.empty(0, np.uint64), close, r.integers(0, 50, 1000).astype(np.uint64), r.integers(0, 1 << 63, 1000).astype(np.uint64)):
+        got, want = lm.distinct(values), np.unique(values, return_inverse=True)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_lm_packing():
+    r = np.random.default_rng(4)
+    for counts in (np.empty(0, np.int64), np.array([7]), r.choice([0, 1, 255, 1 << 33], 3000), r.geometric(0.8, 3000)):
+        data = b"ab" + lm.pack(counts) + lm.pack_bytes(b"xyz") + b"c"
+        back, at = lm.unpack(data, 2)
+        assert (back == counts).all() and lm.unpack_bytes(data, at) == (b"xyz", len(data) - 1)
+    assert len(lm.pack(r.geometric(0.8, 10_000))) < 3000
+
+
+def test_lm_contexts_go_as_numbers():
+    r = np.random.default_rng(5)
+    words = r.zipf(1.3, 60_000) % 3000
+    t = lm._Chunk(pa.table({"id": [1], "text": [" ".join(map(str, words))], "held": [False]}), None, 4)
+
+    def counted(places, depth):
+        n, full = t.own(places)[places.shared], bytes([255]) * ((int(places.shared.sum()) + 7) // 8)
+        numbers = np.arange((n >= 4).sum())
+        t.answers[lm.counts_level(depth)] = {0: lm.pack(n) + lm.pack_bytes(full) + lm.pack_bytes(bytes(len(full))) + lm.pack(np.diff(numbers, prepend=0))}
+        return t.counted(places, depth)
+
+    up = counted(t.words(), 0)
+    places = counted(t.longer(up), 1)
+    sent = t.ask_contexts(0, 1, places, up, (up.n + 0.5) / len(words), 1)
+    n_contexts = len(t.contexts(places, up)[0])
+    assert n_contexts > 500
+    assert sum(len(x.as_py()) for c in ("keys", "data") for x in sent.column(c)) < 9 * n_contexts
+
+
+@pytest.mark.parametrize("chunk_bytes", [500, 1 << 20])
+def test_lm_contexts_of_one_chunk(spark, chunk_bytes):
+    import random
+
+    r = random.Random(6)
+    many = [" ".join(r.choices("abcdefg", k=60)) for _ in range(40)]
+    texts = [*many, "p q r " * 30 + "p q s", "t u v " * 20, *["w x"] * 20, *many[:3]]
+    held = [k % 5 == 1 for k in range(len(texts))]
+    want = suffix_tree_scores([[*t.split(), " end"] for t in texts], [not h for h in held], 8, 0.01, 3)
+    df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held boolean")
+    got = lm_score(df, F.col("held"), min_context=8, chunk_bytes=chunk_bytes).orderBy("doc_id").collect()
+    assert [(round(x["base_score"], 5), round(x["score"], 5), x["n_context"]) for x in got] == [(round(b, 5), round(c, 5), n) for b, c, n in want]
