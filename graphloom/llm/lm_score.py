@@ -234,13 +234,13 @@ class _Chunk:
         of_event = np.cumsum(parents.several) - 1
         bucket, number = (x[of_event[used[several]]] for x in self._numbers(counts_level(depth - 1)))
         ends = np.searchsorted(bucket, np.arange(n_buckets + 1)).tolist()
-        return self.blobs(
-            chunk,
-            context_level(depth),
-            ends,
-            lambda a, z: pack(np.diff(number[a:z], prepend=0)),
-            lambda a, z: b"".join(pack_bytes(x.tobytes()) for x in gain[a:z].view(np.uint8).reshape(-1, 4).T) + b"".join(pack(x[a:z]) for x in (n, single, types)),
-        )
+
+        def data(a, z):
+            # without an occurrence that is not single there is no gain
+            planes = gain[a:z][n[a:z] > single[a:z]].view(np.uint8).reshape(-1, 4).T
+            return b"".join([*(pack(x[a:z]) for x in (n, single, types)), *(pack_bytes(x.tobytes()) for x in planes)])
+
+        return self.blobs(chunk, context_level(depth), ends, lambda a, z: pack(np.diff(number[a:z], prepend=0)), data)
 
     def judged(self, depth: int, places: _Places, parents: _Places, p: np.ndarray, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities under the contexts, smoothed towards `p`, and which contexts are nodes, by place."""
@@ -297,15 +297,17 @@ def lm_score(
         if level % 2:
             parts = [np.cumsum(unpack(k.as_py())[0]) for k in table.column("keys")]
             columns = [[], [], [], []]
-            for data, x in zip(table.column("data"), parts, strict=True):
+            for data in table.column("data"):
                 raw, at, planes = data.as_py(), 0, []
-                for _ in range(4):
-                    plane, at = unpack_bytes(raw, at)
-                    planes.append(np.frombuffer(plane, np.uint8))
-                columns[0].append(np.stack(planes, 1).view("<f4")[:, 0])
                 for c in columns[1:]:
                     one, at = unpack(raw, at)
                     c.append(one)
+                for _ in range(4):
+                    plane, at = unpack_bytes(raw, at)
+                    planes.append(np.frombuffer(plane, np.uint8))
+                gain = np.zeros(len(one), "<f4")
+                gain[columns[1][-1] > columns[2][-1]] = np.stack(planes, 1).view("<f4")[:, 0]
+                columns[0].append(gain)
             group = np.concatenate(parts)
             gain, every, single, types = (np.bincount(group, np.concatenate(c)) for c in columns)
             numbers, flags = types.astype(np.int64)[group], [_judge(every, gain, single, types, min_gain)[group]]
