@@ -1,9 +1,10 @@
 """Exact dedup of byte strings by suffix arrays, sharded by content.
 
-Every window of bytes has an anchor, the 16 bytes in it whose hash is smallest, so equal windows share their anchor's
-content wherever they stand. Consecutive windows with one anchor make a segment. Segments whose anchor occurs in one
-document only cannot repeat; the others go to the shard of their anchor, where a two-stage suffix sort and adjacent
-common prefixes find equal windows and their smallest document.
+Every window of bytes has an anchor, the 16 bytes in it whose hash is smallest, with as many bytes before or behind it as
+the window has on its longer side at least; so equal windows share their anchor's content wherever they stand. Consecutive
+windows with one anchor make a segment. Segments whose anchor occurs in one document only cannot repeat; the others go to
+the shard of their anchor, where a two-stage suffix sort and adjacent common prefixes find equal windows and their smallest
+document.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from .suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WINDOW = 50
 #: Less than elsewhere, as arrays here have an entry for each byte.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of segments that are sorted at once, if not more of them share a part of a shard; parts that a shard has.
+SORT_BYTES, PARTS = 2 << 20, 256
 #: Segments around one anchor that go to one shard; of an anchor with more, each window goes by its own hash.
 HOT_SEGMENTS = 1 << 14
 ANCHOR = 16
@@ -48,18 +51,22 @@ class _Chunk:
             self.anchor = np.empty(0, np.uint64)
             return
         grams = _grams(self.data)
-        least = (grams & ~_PLACE) | (np.arange(len(grams), dtype=np.uint64) & _PLACE)
-        # a place is kept up to a multiple of the mask's range, which is wider than any window
-        least = np.arange(n, dtype=np.uint64) + (((_sliding_min(least, span)[:n] & _PLACE) - np.arange(n, dtype=np.uint64)) & _PLACE)
+        place = _first_least(grams, span)
         room = np.repeat(self.start + size, size)[:n] - np.arange(n)
         inside = room >= window
+        # 16 bytes often repeat by chance in much text, so the half of the window's rest that lies on one side goes with them
+        before = (window - ANCHOR + 1) // 2
+        left = place - np.arange(n) >= before
         # a segment goes on while the anchor stays; windows of one anchor lie in one text
-        new = np.concatenate([[True], (least[1:] != least[:-1]) | ~inside[:-1] | ~inside[1:]])
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (left[1:] != left[:-1]) | ~inside[:-1] | ~inside[1:]])
         at = np.flatnonzero(new)
         end = np.append(at[1:], n) - 1
         good = inside[at]
         self.first, self.last = at[good], end[good]
-        self.anchor = grams[least[self.first].astype(np.int64)]
+        left, place = left[self.first], place[self.first]
+        self.anchor = np.empty(len(place), np.uint64)
+        self.anchor[left] = _joined(grams, place[left] - before, before + ANCHOR)
+        self.anchor[~left] = ~_joined(grams, place[~left], window - before + 1)
         self.doc = np.searchsorted(self.start, self.first, "right") - 1
 
 
@@ -77,6 +84,15 @@ def _grams(data: bytes) -> np.ndarray:
     return h
 
 
+def _joined(grams: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of `width` bytes, 16 or more, from each place on, made of the hashes of 16."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in (*range(0, width - ANCHOR, ANCHOR), width - ANCHOR):
+            out = mix(out * _BASE + grams[at + k])
+    return out
+
+
 def _prefix_hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the bytes' values times powers of a base, up to each place, and the base's inverse powers."""
     n = len(data)
@@ -126,6 +142,16 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _first_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of `width` hashes, by the bits above the mask, from each place on; of equal ones the first."""
+    out, step = [], int(_PLACE) + 2 - width  # so many at once that their places fit the mask
+    for a in range(0, len(hashes) - width + 1, step):
+        some = hashes[a : a + step + width - 1]
+        marked = (some & ~_PLACE) | np.arange(len(some), dtype=np.uint64)
+        out.append((_sliding_min(marked, width) & _PLACE).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -145,7 +171,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     if window < ANCHOR:
         raise ValueError(f"window must be {ANCHOR} bytes or more")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    start, n_buckets = chunked(docs, "id", "text", chunk_bytes, bucket_bytes=BUCKET_BYTES)
+    start, n_buckets = chunked(docs, "id", "text", chunk_bytes)
     start = start.withColumn("th", F.xxhash64("text"))
     digests = start.where(F.octet_length("text") >= window).select("chunk", "id", "th", F.md5("text").alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -194,8 +220,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         raw = np.frombuffer(c.data, np.uint8)[_spread(found.first[found.head], size)].tobytes()
         ends = np.concatenate([[0], np.cumsum(size)])
 
+        part = _parts(found.anchor, n_buckets)
+
         def pack(a, z):
-            return least[a:z].tobytes() + size[a:z].astype("<u4").tobytes(), raw[ends[a] : ends[z]]
+            return least[a:z].tobytes() + size[a:z].astype("<u4").tobytes() + part[a:z].tobytes(), raw[ends[a] : ends[z]]
 
         return _blobs(key[0].as_py(), found.anchor, n_buckets, pack)
 
@@ -204,35 +232,17 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         heads = [x.as_py() for x in table.column("a")]
         least = np.concatenate([np.frombuffer(h, np.int64, k) for h, k in zip(heads, n, strict=True)])
         size = np.concatenate([np.frombuffer(h, "<u4", k, 8 * k) for h, k in zip(heads, n, strict=True)]).astype(np.int64)
-        raw = b"".join(x.as_py() for x in table.column("b"))
-        ends = np.cumsum(size)
-        known: dict[bytes, int] = {}
-        which = np.array([known.setdefault(raw[z - s : z], len(known)) for s, z in zip(size.tolist(), ends.tolist(), strict=True)], np.int64)
-        own = np.full(len(known), _NO_ID)
-        np.minimum.at(own, which, least)
-        lengths = np.array([len(x) for x in known], np.int64)
-        stop = np.cumsum(lengths + 1) - 1
-        text = np.zeros(int(stop[-1]) + 1, np.uint16)
-        body = np.ones(len(text), bool)
-        body[stop] = False
-        text[body] = np.frombuffer(b"".join(known), np.uint8).astype(np.uint16) + 1
-        del known, raw, body
-        keys = sort_keys(text)
-        order = two_stage_order(text, keys, window)
-        room = np.repeat(stop.astype(np.int32), lengths + 1) - np.arange(len(text), dtype=np.int32)
-        segment = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
-        order = order[room[order] >= window]
-        group = np.cumsum(~common_prefix_reaches(order, text, keys, window)) - 1
-        smallest = np.full(int(group[-1]) + 1, _NO_ID)
-        np.minimum.at(smallest, group, own[segment[order]])
-        found = np.full(len(text), _NO_ID)
-        found[order] = smallest[group]
+        part = np.concatenate([np.frombuffer(h, np.uint8, k, 12 * k) for h, k in zip(heads, n, strict=True)])
+        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("b")])
+        begin, windows = np.cumsum(size) - size, size - window + 1
+        upto = np.cumsum(windows) - windows
         # one bit for each window of each shipped segment: does it start in a smaller document?
-        windows = size - window + 1
-        at = np.repeat(stop[which] - lengths[which], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        gone = found[at] < np.repeat(least, windows)
-        per_row = np.add.reduceat(windows, np.cumsum(n) - n)
-        return _answers(table, 1, per_row, gone)
+        gone = np.empty(int(windows.sum()), bool)
+        for low, high in _few_parts(np.bincount(part, size, PARTS), SORT_BYTES):
+            some = np.flatnonzero((part >= low) & (part < high))
+            text = raw[_spread(begin[some], size[some])].tobytes()
+            gone[_spread(upto[some], windows[some])] = _in_smaller(text, size[some], least[some], window)
+        return _answers(table, 1, np.add.reduceat(windows, np.cumsum(n) - n), gone)
 
     def finish(key, left, right):
         copies, masks = _split(right)
@@ -279,6 +289,54 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     return done.withColumn("id", F.col("id").cast(docs.schema["id"].dataType)).withColumnRenamed("id", id_col)
 
 
+def _in_smaller(raw: bytes, size: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """For each window of segments that stand one after the other, whether it also stands in one with a smaller id."""
+    ends = np.cumsum(size)
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(raw[z - s : z], len(known)) for s, z in zip(size.tolist(), ends.tolist(), strict=True)], np.int64)
+    own = np.full(len(known), _NO_ID)
+    np.minimum.at(own, which, least)
+    lengths = np.array([len(x) for x in known], np.int64)
+    stop = np.cumsum(lengths + 1) - 1
+    text = np.zeros(int(stop[-1]) + 1, np.uint16)
+    body = np.ones(len(text), bool)
+    body[stop] = False
+    text[body] = np.frombuffer(b"".join(known), np.uint8).astype(np.uint16) + 1
+    del known, body
+    keys = sort_keys(text)
+    order = two_stage_order(text, keys, window)
+    room = np.repeat(stop.astype(np.int32), lengths + 1) - np.arange(len(text), dtype=np.int32)
+    segment = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    order = order[room[order] >= window]
+    group = np.cumsum(~common_prefix_reaches(order, text, keys, window)) - 1
+    smallest = np.full(int(group[-1]) + 1, _NO_ID)
+    np.minimum.at(smallest, group, own[segment[order]])
+    found = np.full(len(text), _NO_ID)
+    found[order] = smallest[group]
+    windows = size - window + 1
+    return found[_spread(stop[which] - lengths[which], windows)] < np.repeat(least, windows)
+
+
+def _parts(values: np.ndarray, n: int) -> np.ndarray:
+    """In which of PARTS parts of its bucket each value is, sorted values of `n` buckets."""
+    ends, out = bucket_ends(values, n), np.empty(len(values), np.uint8)
+    for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
+        out[a:z] = np.minimum((values[a:z] - np.uint64((k << 64) // n)) // np.uint64((1 << 64) // n // PARTS), PARTS - 1)
+    return out
+
+
+def _few_parts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of parts that hold something, of `most` together, or one part."""
+    out, held = [], most
+    for k in np.flatnonzero(sizes).tolist():
+        if held + sizes[k] > most:
+            out.append((k, k))
+            held = 0
+        out[-1] = (out[-1][0], k + 1)
+        held += sizes[k]
+    return out
+
+
 _BLOBS = "bucket int, chunk bigint, n int, a binary, b binary"
 
 

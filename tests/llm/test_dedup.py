@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import LOWER
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from graphloom.llm.components import components
 from graphloom.llm.jaccard_join import jaccard_classes
 from graphloom.llm.signature_tree import links
 from graphloom.llm.substring_dedup import substring_dedup
-from graphloom.llm.suffix_dedup import suffix_dedup
+from graphloom.llm.suffix_dedup import _Chunk, _few_parts, _parts, suffix_dedup
 from graphloom.llm.suffix_sort import common_prefix_reaches, sort_keys, two_stage_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,6 +85,41 @@ def test_suffix_dedup_around_one_anchor(spark):
         assert got == want
 
 
+def test_anchors_of_suffix_dedup():
+    """Half a window is common wherever anchors are; they crowd in no bucket."""
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    word = lambda n: r.choice(letters, n).tobytes().decode()
+    common = [word(28) for _ in range(150)]
+    texts = ["".join(word(30) + c for c in r.permutation(common)) + word(40) for _ in range(4)]
+    texts.append(word(10) + texts[0][1000:1300])
+    none = pa.table({"id": pa.array([], pa.int64()), "th": pa.array([], pa.int64())})
+    found = [_Chunk(pa.table({"id": [k], "text": [t], "th": [k]}), none, 50) for k, t in enumerate(texts)]
+    for a, c in enumerate(found):
+        for b, d in enumerate(found[:a]):
+            assert bool(set(c.anchor.tolist()) & set(d.anchor.tolist())) == ((a, b) == (4, 0))
+    anchor_of = [{texts[k][w : w + 50]: x for f, z, x in zip(c.first, c.last, c.anchor, strict=True) for w in range(f, z + 1)} for k, c in enumerate(found)]
+    both = anchor_of[0].keys() & anchor_of[4].keys()
+    assert len(both) == 251 and all(anchor_of[0][w] == anchor_of[4][w] for w in both)
+    values = np.sort(np.concatenate([c.anchor for c in found]))
+    n = np.histogram((values >> np.uint64(56)).astype(int), 16, (0, 256))[0]
+    assert n.max() < 2 * n.min()
+    parts = _parts(values, 3).astype(int)
+    assert len(set(parts[values < (1 << 64) // 3])) > 200 and parts.max() == 255 and (np.diff(parts) < 0).sum() == 2
+
+
+def test_parts_that_are_sorted_at_once():
+    assert _few_parts(np.array([0, 3, 4, 0, 9, 1, 0, 2]), 7) == [(1, 3), (4, 5), (5, 8)]
+    assert _few_parts(np.zeros(4), 7) == []
+
+
+@pytest.mark.parametrize("most", [1, 3000])
+def test_suffix_dedup_sorts_a_few_parts_at_once(docs, most, monkeypatch):
+    want = sorted(map(tuple, suffix_dedup(docs).select("doc_id", "n_removed", "n_spans").collect()), key=repr)
+    monkeypatch.setattr("graphloom.llm.suffix_dedup.SORT_BYTES", most)
+    assert sorted(map(tuple, suffix_dedup(docs).select("doc_id", "n_removed", "n_spans").collect()), key=repr) == want
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup(none).collect() == []
 
