@@ -131,6 +131,24 @@ def log_losses(s: Steps, w: np.ndarray, ids: np.ndarray, free: np.ndarray) -> np
     return out
 
 
+def ways_by_pieces(s: Steps, kinds: list[int]) -> list[tuple[tuple[int, ...], int]]:
+    """How many of each kind of row ways use, and the number of ways that use so many; `kinds` has the rows' kinds from 0.
+
+    Ways that have covered the same vertices by as many rows of each kind go on together.
+    """
+    width, n_kinds = s.pieces.bit_length(), max(kinds, default=-1) + 1
+    at: list[dict[int, int]] = [{} for _ in range(s.n_states)]
+    if at:
+        at[0][0] = 1
+    for k, (a, r, b) in enumerate(s.steps):
+        more, into = 1 << kinds[r] * width, at[b]
+        for used, n in at[a].items():
+            into[used + more] = into.get(used + more, 0) + n
+        if k + 1 < len(s.steps) and s.steps[k + 1][0] != a:
+            at[a] = {}  # all steps from it are done
+    return [(tuple(used >> k * width & (1 << width) - 1 for k in range(n_kinds)), n) for used, n in (at[-1] if at else {}).items()]
+
+
 def by_sets(rows: Iterable[tuple[object, Sets, list[int]]], held: int = 1) -> Iterator[tuple[list, Steps, np.ndarray]]:
     """Keys, steps and ids (by graph and row) of graphs with the same sets; those that have no partition are left out.
 

@@ -55,6 +55,31 @@ def test_none_likely_and_no_cover():
     assert sums.steps_of(((0, 1), (1, 2))).n_parts == 0
 
 
+def test_structural_sums(spark):
+    """Against the list of the search; a path whose partitions are some 4e12 is summed by its pieces."""
+    r = random.Random(6)
+    graphs = [random_graph(r) for _ in range(30)] + [([0, 1, 0, 0, 1, 0], [(k, k + 1) for k in range(5)] + [(3, 2), (1, 1)]), ([], [])]
+    df = spark.createDataFrame([(k, k, 1.0, b, c) for k, (c, b) in enumerate(graphs)], GRAPH)
+    parts = mining.partitions(df, MODEL, 2, limit=None, max_iter=None, max_heap=None, structural=True).collect()
+    want = {}
+    for p in parts:
+        want.setdefault(p.graph_id, []).append(p.lweight)
+    got = {x.graph_id: x for x in mining.summed_partitions(df, MODEL, 2, structural=True).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    for k, logs in want.items():
+        assert got[k].n_parts == len(logs) and np.allclose([got[k].lweight, got[k].best], [np.logaddexp.reduce(logs), max(logs)])
+    n, long = 60, spark.createDataFrame([(1, 1, 1.0, [(k, k + 1) for k in range(59)], [0] * 60)], GRAPH)
+    (x,) = mining.summed_partitions(long, MODEL, 2, structural=True).collect()
+    logs, count = [], 0
+    for two in range(n // 2 + 1):  # pairs among n - two pieces
+        ways, outer = math.comb(n - two, two), n - 1 - two
+        bonding = outer * math.log(2) - math.log(math.pi) / 2 + math.lgamma(outer + 0.5)
+        log = -1.0 * (n - 2 * two) - 2.0 * two - math.lgamma(two + 1) - math.lgamma(n - 2 * two + 1) + math.lgamma(n - two + 1) - bonding
+        count += ways
+        logs.append((log, math.log(ways) + log))
+    assert x.n_parts == count > 10**12 and np.allclose([x.lweight, x.best], [np.logaddexp.reduce([b for _, b in logs]), max(a for a, _ in logs)])
+
+
 def test_groups_of_any_size(monkeypatch):
     rows = [(k, (((0,), (1,)) if k % 2 else ((0,), (0, 1), (1,))), [k] * (2 if k % 2 else 3)) for k in range(50)]
     monkeypatch.setattr(sums, "WAITING", 7)
