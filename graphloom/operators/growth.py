@@ -228,6 +228,78 @@ def mine(graphs: DataFrame, max_size: int, min_groups: int = 1, limit: int | Non
     return places, none if closed else none.join(places.select("fragment"), "fragment", "left_semi").select("parent", "op", "fragment", "places")
 
 
+def closed_pairs(graphs: DataFrame) -> DataFrame:
+    """fragment, size and n of what `mine(graphs, 2, closed=True)` finds, without its ranks and what they go by.
+
+    All of a pair's neighbourhood is in its graph's row, so nothing is joined by graph: graphs are written once, one sum
+    over their vertices and pairs tells how many there are of each fragment and how many of these grow at all. A pair
+    that stands once is left out if it grows; one of which some occurrence doesn't grow stays. Only for what is left it
+    is looked up into what the occurrences grow.
+    """
+    g = written(graphs.select(F.coalesce("colors", F.array().cast("array<int>")).alias("colors"), _links().alias("links")), "links")
+    single = F.transform("colors", lambda c: F.struct(F.concat(F.lit(";"), c.cast("string")).alias("fragment"), F.lit(1).alias("size"), F.lit(False).alias("grows")))
+    pairs = F.transform("links", lambda p: F.struct(_pair_text(p).alias("fragment"), F.lit(2).alias("size"), F.exists("links", lambda x: _beside(p, x)).alias("grows")))
+    counts = g.select(F.explode(F.concat(single, pairs)).alias("x")).select("x.*").where("fragment IS NOT NULL")
+    counts = written(counts.groupBy("fragment", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("grows").alias("n_grow")), "fragments")
+    likely = written(counts.where("n > 1 AND n_grow = n").select("fragment", "n"), "likely")
+    ways = F.transform("links", lambda p: F.struct(_pair_text(p).alias("fragment"), _ways(p).alias("ways")))
+    ways = g.select(F.explode(ways).alias("x")).select("x.*").where(F.size("ways") > 0)
+    into = ways.join(likely, "fragment").select("fragment", "n", F.explode("ways").alias("way"))
+    idle = into.groupBy("fragment", "way").agg(F.count(F.lit(1)).alias("inside"), F.first("n").alias("n")).where("inside = n").select("fragment").distinct()
+    left = likely.join(idle, "fragment", "left_anti").select("fragment", F.lit(2).alias("size"), "n")
+    return counts.where("n_grow < n").select("fragment", "size", "n").unionByName(left)
+
+
+def _links() -> Column:
+    """Of `bonds` and `colors`, each bonded pair of vertices a < z once: a, z, their colours ca and cz, and its bonds as text."""
+    none = F.array().cast(f"array<{BOND}>")
+    ends = F.filter(F.coalesce("bonds", none), lambda b: (b["src"] != b["trg"]) & F.get("colors", b["src"]).isNotNull() & F.get("colors", b["trg"]).isNotNull())
+    ends = F.array_sort(F.transform(ends, lambda b: F.struct(F.least(b["src"], b["trg"]).alias("a"), F.greatest(b["src"], b["trg"]).alias("z"), b["color"].alias("color"))))
+
+    def text(color: Column) -> Column:
+        return F.concat(F.lit("0,1,"), color.cast("string"))
+
+    def link(e: Column, bonds: Column) -> Column:
+        return F.struct(e["a"].alias("a"), e["z"].alias("z"), F.get("colors", e["a"]).alias("ca"), F.get("colors", e["z"]).alias("cz"), bonds.alias("bonds"))
+
+    def same(e: Column) -> Column:
+        return F.transform(F.filter(ends, lambda x: (x["a"] == e["a"]) & (x["z"] == e["z"])), lambda x: text(x["color"]))
+
+    keys = F.array_distinct(F.transform(ends, lambda e: F.struct(e["a"].alias("a"), e["z"].alias("z"))))
+    several = F.transform(keys, lambda e: link(e, F.array_join(same(e), ",")))
+    return F.when(F.size(keys) == F.size(ends), F.transform(ends, lambda e: link(e, text(e["color"])))).otherwise(several)
+
+
+def _pair_text(p: Column) -> Column:
+    """The canonical form of a link."""
+    return F.concat(p["bonds"], F.lit(";"), F.least(p["ca"], p["cz"]).cast("string"), F.lit(","), F.greatest(p["ca"], p["cz"]).cast("string"))
+
+
+def _beside(p: Column, x: Column) -> Column:
+    """Whether link x has one of the ends of link p."""
+    return ((x["a"] == p["a"]) | (x["a"] == p["z"])) != ((x["z"] == p["a"]) | (x["z"] == p["z"]))
+
+
+def _ways(p: Column) -> Column:
+    """How a third vertex can lie beside link p: its colour and its bonds to both ends, the end of the smaller colour first.
+
+    Of one pair of vertices, two ways are equal if and only if they make the same fragment: in a fragment of three vertices,
+    an automorphism brings any pair to any other that has the same bonds and colours.
+    """
+
+    def to(v: Column, w: Column) -> Column:
+        found = F.filter("links", lambda x: (x["a"] == F.least(v, w)) & (x["z"] == F.greatest(v, w)))
+        return F.coalesce(F.get(found, F.lit(0))["bonds"], F.lit(""))
+
+    def way(w: Column) -> Column:
+        a, z = to(p["a"], w), to(p["z"], w)
+        turned = (p["ca"] > p["cz"]) | ((p["ca"] == p["cz"]) & (a > z))
+        return F.concat_ws("|", F.get("colors", w).cast("string"), F.when(turned, z).otherwise(a), F.when(turned, a).otherwise(z))
+
+    third = F.transform(F.filter("links", lambda x: _beside(p, x)), lambda x: F.when((x["a"] == p["a"]) | (x["a"] == p["z"]), x["z"]).otherwise(x["a"]))
+    return F.array_distinct(F.transform(F.array_distinct(third), way))
+
+
 def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: int = 1, ratio: bool = True) -> DataFrame:
     """fragment, size, n_graphs and lweight, a first guess of a model's log-weights.
 

@@ -139,6 +139,24 @@ def test_closed(spark, graphs, most):
     assert idle & small and all(want[r.fragment][4] == r.n for r in rows)
 
 
+def test_closed_pairs(spark):
+    """As `mine` finds them, also where vertices have several bonds, loops, or fewer colours than bonds say."""
+    r, graphs = random.Random(9), random_graphs(5, 12)
+    for g in range(200, 260):
+        k = r.randint(2, 5)
+        bonds = [(*r.sample(range(k), 2), r.randint(0, 2)) for _ in range(r.randint(1, 5))] + [(0, 0, 1)] * (g % 3 == 0)
+        graphs.append((g, g % 5, 1.0, bonds, [r.randint(g % 4 * 10, g % 4 * 10 + 3) for _ in range(k)]))
+    graphs += [(910, 1, 1.0, [(0, 1, 0), (1, 2, 0), (2, 3, 1)], [5, 5, 6, 6]), (911, 1, 1.0, [(0, 1, 1)], [6, 6]), (912, 1, 1.0, [(0, 1, 1), (1, 2, 1)], [70, 71, 70]), (913, 1, 1.0, [(0, 1, 1), (0, 2, 1)], [71, 70, 70])]
+    table = spark.createDataFrame(graphs, GRAPH)
+    want = {(x.fragment, x["size"], x.n) for x in growth.mine(table, 2, closed=True)[0].collect()}
+    got = [tuple(x) for x in growth.closed_pairs(table).collect()]
+    assert set(got) == want and len(got) == len(want)
+    everything = growth.mine(table, 2)[0]
+    assert everything.count() > len(got) > everything.where("size = 1").count()
+    beyond = spark.createDataFrame([(1, 1, 1.0, [(0, 1, 1), (1, 2, 1), (None, 0, 1)], [7, 8]), (2, 1, 1.0, None, None)], GRAPH)
+    assert sorted(map(tuple, growth.closed_pairs(beyond).collect())) == [("0,1,1;7,8", 2, 1), (";7", 1, 1), (";8", 1, 1)]
+
+
 def ln_bell(n):
     return n * (math.log(0.792 * n) - math.log(math.log(n + 1))) if n else 0.0
 
