@@ -23,6 +23,8 @@ from .bonded import BOND, bonded_search, bonded_text, parse_bonded
 from .kernels import most_disjoint
 from .mining import each
 
+#: Fragments that tasks hold to pick their occurrences, at most.
+MAX_LIKELY = 1 << 19
 STEPS = "parent string, op string, fragment string, places array<int>"
 _STEP_FIELDS = [("parent", pa.string()), ("op", pa.string()), ("fragment", pa.string()), ("places", pa.list_(pa.int32()))]
 
@@ -236,25 +238,30 @@ def closed_pairs(graphs: DataFrame) -> DataFrame:
     that stands once is left out if it grows; one of which some occurrence doesn't grow stays. Only for what is left it
     is looked up into what the occurrences grow.
     """
-    g = written(graphs.select(F.coalesce("colors", F.array().cast("array<int>")).alias("colors"), _links().alias("links")), "links")
+    g = written(_linked(graphs), "links")
     single = F.transform("colors", lambda c: F.struct(F.concat(F.lit(";"), c.cast("string")).alias("fragment"), F.lit(1).alias("size"), F.lit(False).alias("grows")))
     pairs = F.transform("links", lambda p: F.struct(_pair_text(p).alias("fragment"), F.lit(2).alias("size"), F.exists("links", lambda x: _beside(p, x)).alias("grows")))
     counts = g.select(F.explode(F.concat(single, pairs)).alias("x")).select("x.*").where("fragment IS NOT NULL")
     counts = written(counts.groupBy("fragment", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("grows").alias("n_grow")), "fragments")
     likely = written(counts.where("n > 1 AND n_grow = n").select("fragment", "n"), "likely")
-    ways = F.transform("links", lambda p: F.struct(_pair_text(p).alias("fragment"), _ways(p).alias("ways")))
-    ways = g.select(F.explode(ways).alias("x")).select("x.*").where(F.size("ways") > 0)
-    into = ways.join(likely, "fragment").select("fragment", "n", F.explode("ways").alias("way"))
+    if likely.count() <= MAX_LIKELY:
+        at = g.select("links", F.explode("links").alias("p")).withColumn("fragment", _pair_text(F.col("p")))
+        ways = at.join(F.broadcast(likely), "fragment").select("fragment", "n", _ways(F.col("p")).alias("ways"))
+    else:  # rows go to the others of their fragment without their graph
+        ways = F.transform("links", lambda p: F.struct(_pair_text(p).alias("fragment"), _ways(p).alias("ways")))
+        ways = g.select(F.explode(ways).alias("x")).select("x.*").where(F.size("ways") > 0).join(likely, "fragment")
+    into = ways.select("fragment", "n", F.explode("ways").alias("way"))
     idle = into.groupBy("fragment", "way").agg(F.count(F.lit(1)).alias("inside"), F.first("n").alias("n")).where("inside = n").select("fragment").distinct()
     left = likely.join(idle, "fragment", "left_anti").select("fragment", F.lit(2).alias("size"), "n")
     return counts.where("n_grow < n").select("fragment", "size", "n").unionByName(left)
 
 
-def _links() -> Column:
-    """Of `bonds` and `colors`, each bonded pair of vertices a < z once: a, z, their colours ca and cz, and its bonds as text."""
+def _linked(graphs: DataFrame) -> DataFrame:
+    """colors and links: each bonded pair of vertices a < z once, as a, z, their colours ca and cz, and its bonds as text."""
     none = F.array().cast(f"array<{BOND}>")
     ends = F.filter(F.coalesce("bonds", none), lambda b: (b["src"] != b["trg"]) & F.get("colors", b["src"]).isNotNull() & F.get("colors", b["trg"]).isNotNull())
     ends = F.array_sort(F.transform(ends, lambda b: F.struct(F.least(b["src"], b["trg"]).alias("a"), F.greatest(b["src"], b["trg"]).alias("z"), b["color"].alias("color"))))
+    keys = F.array_distinct(F.transform("ends", lambda e: F.struct(e["a"].alias("a"), e["z"].alias("z"))))
 
     def text(color: Column) -> Column:
         return F.concat(F.lit("0,1,"), color.cast("string"))
@@ -263,11 +270,13 @@ def _links() -> Column:
         return F.struct(e["a"].alias("a"), e["z"].alias("z"), F.get("colors", e["a"]).alias("ca"), F.get("colors", e["z"]).alias("cz"), bonds.alias("bonds"))
 
     def same(e: Column) -> Column:
-        return F.transform(F.filter(ends, lambda x: (x["a"] == e["a"]) & (x["z"] == e["z"])), lambda x: text(x["color"]))
+        return F.transform(F.filter("ends", lambda x: (x["a"] == e["a"]) & (x["z"] == e["z"])), lambda x: text(x["color"]))
 
-    keys = F.array_distinct(F.transform(ends, lambda e: F.struct(e["a"].alias("a"), e["z"].alias("z"))))
-    several = F.transform(keys, lambda e: link(e, F.array_join(same(e), ",")))
-    return F.when(F.size(keys) == F.size(ends), F.transform(ends, lambda e: link(e, text(e["color"])))).otherwise(several)
+    several = F.transform("keys", lambda e: link(e, F.array_join(same(e), ",")))
+    links = F.when(F.size("keys") == F.size("ends"), F.transform("ends", lambda e: link(e, text(e["color"])))).otherwise(several)
+    # a column for each step, as what a lambda names is worked out for each element
+    g = graphs.select(F.coalesce("colors", F.array().cast("array<int>")).alias("colors"), ends.alias("ends")).withColumn("keys", keys)
+    return g.select("colors", links.alias("links"))
 
 
 def _pair_text(p: Column) -> Column:
@@ -291,13 +300,17 @@ def _ways(p: Column) -> Column:
         found = F.filter("links", lambda x: (x["a"] == F.least(v, w)) & (x["z"] == F.greatest(v, w)))
         return F.coalesce(F.get(found, F.lit(0))["bonds"], F.lit(""))
 
-    def way(w: Column) -> Column:
-        a, z = to(p["a"], w), to(p["z"], w)
-        turned = (p["ca"] > p["cz"]) | ((p["ca"] == p["cz"]) & (a > z))
-        return F.concat_ws("|", F.get("colors", w).cast("string"), F.when(turned, z).otherwise(a), F.when(turned, a).otherwise(z))
+    def way(x: Column) -> Column:
+        turned = (p["ca"] > p["cz"]) | ((p["ca"] == p["cz"]) & (x["a"] > x["z"]))
+        return F.concat_ws("|", x["color"].cast("string"), F.when(turned, x["z"]).otherwise(x["a"]), F.when(turned, x["a"]).otherwise(x["z"]))
 
-    third = F.transform(F.filter("links", lambda x: _beside(p, x)), lambda x: F.when((x["a"] == p["a"]) | (x["a"] == p["z"]), x["z"]).otherwise(x["a"]))
-    return F.array_distinct(F.transform(F.array_distinct(third), way))
+    def other(x: Column) -> Column:
+        a, z = F.struct(x["a"].alias("v"), x["ca"].alias("color")), F.struct(x["z"].alias("v"), x["cz"].alias("color"))
+        return F.when((x["a"] == p["a"]) | (x["a"] == p["z"]), z).otherwise(a)
+
+    third = F.array_distinct(F.transform(F.filter("links", lambda x: _beside(p, x)), other))
+    sides = F.transform(third, lambda w: F.struct(w["color"].alias("color"), to(p["a"], w["v"]).alias("a"), to(p["z"], w["v"]).alias("z")))
+    return F.array_distinct(F.transform(sides, way))
 
 
 def bell_seeds(graphs: DataFrame, max_size: int, n_fragments: int, min_graphs: int = 1, ratio: bool = True) -> DataFrame:

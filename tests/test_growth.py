@@ -139,8 +139,10 @@ def test_closed(spark, graphs, most):
     assert idle & small and all(want[r.fragment][4] == r.n for r in rows)
 
 
-def test_closed_pairs(spark):
+@pytest.mark.parametrize("few", [growth.MAX_LIKELY, 0])
+def test_closed_pairs(spark, few, monkeypatch):
     """As `mine` finds them, also where vertices have several bonds, loops, or fewer colours than bonds say."""
+    monkeypatch.setattr(growth, "MAX_LIKELY", few)
     r, graphs = random.Random(9), random_graphs(5, 12)
     for g in range(200, 260):
         k = r.randint(2, 5)
